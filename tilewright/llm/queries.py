@@ -7,10 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import sentencepiece_codec
+from tilewright.llm import packing, pii, sentencepiece_codec
 from tilewright.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
 def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +27,8 @@ def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_weak_supervision_pii": op1_weak_supervision_pii,
+    "op8_bin_slack_packing": op8_bin_slack_packing,
     "op9_sentencepiece_codec": op9_sentencepiece_codec,
 }
 
