@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import packing, pii, sentencepiece_codec
+from tilewright.llm import mpeg, packing, pii, sentencepiece_codec, separators
 from tilewright.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -18,6 +19,14 @@ def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.features(mpeg.store_texts(table(spark, sf_dir, "documents")))
+
+
+def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.document_lengths(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
 def op8_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
@@ -28,6 +37,8 @@ def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_supervision_pii": op1_weak_supervision_pii,
+    "op2_mpeg_audio": op2_mpeg_audio,
+    "op3_separator_scan": op3_separator_scan,
     "op8_bin_slack_packing": op8_bin_slack_packing,
     "op9_sentencepiece_codec": op9_sentencepiece_codec,
 }
