@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import mpeg, packing, pii, sentencepiece_codec, separators
+from tilewright.llm import html_text, langid, mpeg, packing, pii, sentencepiece_codec, separators
 from tilewright.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -27,6 +27,14 @@ def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.document_lengths(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op4_bidirectional_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
@@ -39,6 +47,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_supervision_pii": op1_weak_supervision_pii,
     "op2_mpeg_audio": op2_mpeg_audio,
     "op3_separator_scan": op3_separator_scan,
+    "op4_bidirectional_gru": op4_bidirectional_gru,
+    "op6_tree_scoring": op6_tree_scoring,
     "op8_bin_slack_packing": op8_bin_slack_packing,
     "op9_sentencepiece_codec": op9_sentencepiece_codec,
 }
