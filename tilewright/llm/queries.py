@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import html_text, langid, mpeg, packing, pii, sentencepiece_codec, separators
+from tilewright.llm import html_text, langid, licenses, mpeg, packing, pii, sentencepiece_codec, separators
 from tilewright.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -35,6 +35,10 @@ def op6_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
@@ -49,8 +53,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_separator_scan": op3_separator_scan,
     "op4_bidirectional_gru": op4_bidirectional_gru,
     "op6_tree_scoring": op6_tree_scoring,
+    "op7_license_join": op7_license_join,
     "op8_bin_slack_packing": op8_bin_slack_packing,
     "op9_sentencepiece_codec": op9_sentencepiece_codec,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_license_join": licenses.oracle_sql()}
