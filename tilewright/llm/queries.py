@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import html_text, langid, licenses, mpeg, packing, pii, sentencepiece_codec, separators
+from tilewright.llm import html_text, ivfpq, langid, licenses, mpeg, packing, pii, sentencepiece_codec, separators
 from tilewright.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -47,6 +47,10 @@ def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op10_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_supervision_pii": op1_weak_supervision_pii,
     "op2_mpeg_audio": op2_mpeg_audio,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_join": op7_license_join,
     "op8_bin_slack_packing": op8_bin_slack_packing,
     "op9_sentencepiece_codec": op9_sentencepiece_codec,
+    "op10_ivf_pq": op10_ivf_pq,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_license_join": licenses.oracle_sql()}
