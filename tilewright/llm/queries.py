@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import html_text, ivfpq, langid, licenses, mpeg, packing, pii, sentencepiece_codec, separators
+from tilewright.llm import html_text, ivfpq, langid, licenses, mpeg, ngram_join, packing, pii, sentencepiece_codec, separators
 from tilewright.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -31,6 +31,10 @@ def op4_bidirectional_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_t_occurrence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mpeg_audio": op2_mpeg_audio,
     "op3_separator_scan": op3_separator_scan,
     "op4_bidirectional_gru": op4_bidirectional_gru,
+    "op5_t_occurrence_join": op5_t_occurrence_join,
     "op6_tree_scoring": op6_tree_scoring,
     "op7_license_join": op7_license_join,
     "op8_bin_slack_packing": op8_bin_slack_packing,
