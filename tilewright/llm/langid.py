@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -260,3 +261,19 @@ def identify(docs: DataFrame) -> DataFrame:
     one, so repeated rows agree; an empty table gives no rows; further columns
     play no part."""
     return predict(docs, train(*training_sample(docs)))
+
+
+def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """The documents whose language is known with a score of ``least`` at least;
+    all columns stay.  Texts that are null or have no letter go."""
+    net = train(*training_sample(docs))
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        known = texts.map(lambda t: t is not None and any(map(str.isalpha, t))).to_numpy(bool)
+        if net is None:
+            return pd.Series(known.astype(float))
+        raw, at = string_bytes(pa.array(texts, pa.string(), from_pandas=True))
+        return pd.Series(np.where(known, label_bytes(net, raw, at).max(axis=1), 0.0) if len(known) else np.empty(0))
+
+    return docs.where(score("text") >= least)

@@ -328,3 +328,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     of_node = named.join(of_comp, "comp").select("node", "component")
     rows = nodes.join(of_node, "node", "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """One document of each component stays: the one with the smallest doc_id."""
+    found = jaccard_components(docs)
+    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
