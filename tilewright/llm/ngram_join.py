@@ -9,7 +9,8 @@ link, which leaves few nodes, and only their shared shingles, rarest first.
 
 Two sets of sizes a and b link when their overlap is at least 3/7 (a + b), which
 is at least T for both, so linked nodes share one of their ``shared - T + 1``
-rarest shingles: those lists propose candidates.  A candidate is searched for by
+rarest shingles, near enough to the front in both for the rest to suffice: those
+lists propose candidates.  A candidate is searched for by
 DivideSkip: the lists of a query's shingles in a block of nodes are divided into
 short ones, merged with a heap, and long ones, probed by binary search, for
 nodes that reach the overlap.
@@ -39,7 +40,9 @@ from tilewright.llm.shingles import shingle_sets
 
 WIDTH = 5
 #: Shingles that a task packs at once, and nodes of a component in one search block.
-PACK, SHARD = 4_000_000, 1000
+PACK, SHARD = 1_500_000, 1000
+#: Rows of (block, node) that may be broadcast, checked by a count; more are joined by shuffles.
+MOST_BROADCAST = 200_000
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -148,7 +151,7 @@ def _shared_postings(packed: DataFrame, bits: int) -> DataFrame:
         while by:
             yield from one(by.popitem()[1])
 
-    return packed.repartition(1 << bits, "bucket").mapInArrow(run, "range int, node binary, size binary, h binary, df binary")
+    return packed.repartitionById(1 << bits, F.col("bucket")).mapInArrow(run, "range int, node binary, size binary, h binary, df binary")
 
 
 def _linkable(shared: DataFrame, bits: int) -> DataFrame:
@@ -173,7 +176,7 @@ def _linkable(shared: DataFrame, bits: int) -> DataFrame:
             lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(size[first].astype(np.int64)), lists], names=["node", "n", "shingles"])
 
-    return shared.repartition(1 << bits, "range").mapInArrow(run, "node long, n long, shingles array<long>")
+    return shared.repartitionById(1 << bits, F.col("range")).mapInArrow(run, "node long, n long, shingles array<long>")
 
 
 def divide_skip(lists: list[list[int]], least: int, weight: float = 0.01) -> list[tuple[int, int]]:
@@ -238,7 +241,9 @@ def _search_block(members: list[tuple], queries: list[tuple]) -> list[tuple[int,
 def _search(queries: DataFrame, members: DataFrame, active: DataFrame) -> DataFrame:
     """Links (a, b) between the queries and the members of each (block, shard)."""
     marked = queries.select("block", "shard", "node", F.lit(True).alias("asks")).union(members.select("block", "shard", "node", F.lit(False).alias("asks")))
-    rows = marked.join(active, "node").select("block", "shard", "asks", "node", "n", "shingles")
+    marked = saved(marked, "jaccard-blocks")
+    few = marked.count() <= MOST_BROADCAST
+    rows = active.join(F.broadcast(marked) if few else marked, "node").select("block", "shard", "asks", "node", "n", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members, queries, links = None, [], [], []
@@ -282,15 +287,18 @@ def node_components(docs: DataFrame, rounds: int = 2) -> DataFrame | None:
     bits = min(15, max(4, int(np.ceil(np.log2(max(parts, 1)))) + 1))
     active = saved(_linkable(_shared_postings(_packed_index(docs, bits), bits), bits), "jaccard-nodes")
     least = F.ceil(F.col("n") * 3 / 4)
-    rare = active.select("node", "n", F.explode(F.slice("shingles", F.lit(1), (F.size("shingles") - least + 1).cast("int"))).alias("h"))
+    head = F.slice("shingles", F.lit(1), (F.size("shingles") - least + 1).cast("int"))
+    rare = active.select("node", "n", F.size("shingles").alias("shared"), F.posexplode(head).alias("at", "h"))
+    # with n - shared + at words passed, 4 n - 7 passed is at least 3 times the size of any set whose first common shingle is here
+    rare = rare.select("h", "node", "n", (4 * F.col("n") - 7 * (F.col("n") - F.col("shared") + F.col("at"))).alias("room"))
     comps = None
     links = None
     for k in range(rounds):
         here = rare if comps is None else rare.join(comps, "node", "left")
         here = here.withColumn("comp", F.col("node") if comps is None else F.coalesce("comp", "node"))
-        rank = F.struct(F.xxhash64("node", F.lit(k)).alias("r"), F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("comp").alias("lead_comp"))
+        rank = F.struct(F.xxhash64("node", F.lit(k)).alias("r"), F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("room").alias("lead_room"), F.col("comp").alias("lead_comp"))
         leads = here.groupBy("h").agg(F.min(rank).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "lead.*")
-        near = (4 * F.least("n", "lead_n") >= 3 * F.greatest("n", "lead_n")) & (F.col("comp") != F.col("lead_comp"))
+        near = "4 * least(n, lead_n) >= 3 * greatest(n, lead_n) and room >= 3 * lead_n and lead_room >= 3 * n and comp <> lead_comp"
         pairs = saved(here.join(leads, "h").where(near).select(F.col("lead").alias("block"), "node").distinct(), "jaccard-stars")
         members, shards = _sharded(pairs)
         asked = shards.select("block", F.col("block").alias("node"))
@@ -300,12 +308,13 @@ def node_components(docs: DataFrame, rounds: int = 2) -> DataFrame | None:
     # what two components have in common: every list once per component
     here = rare.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     size = here.select("comp", "node").distinct().groupBy("comp").count().withColumnRenamed("count", "size")
-    lists = here.select("h", "comp").distinct()
+    lists = here.groupBy("h", "comp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("room").alias("most_room"))
     mixed = lists.groupBy("h").count().where("count > 1").select("h")
-    meets = here.join(mixed, "h").select("h", "node", "n", "comp").join(size, "comp")
-    other = lists.join(mixed, "h").join(size, "comp").select("h", F.col("comp").alias("block"), F.col("size").alias("block_size"))
-    smaller = (F.col("size") < F.col("block_size")) | ((F.col("size") == F.col("block_size")) & (F.col("comp") < F.col("block")))
-    queries = saved(meets.join(other, "h").where(smaller).select("block", "node").distinct(), "jaccard-queries")
+    meets = here.join(mixed, "h").join(size, "comp").select("h", "node", "n", "room", "comp", "size")
+    other = lists.join(mixed, "h").join(size, "comp").select("h", F.col("comp").alias("block"), F.col("size").alias("block_size"), "least_n", "most_n", "most_room")
+    smaller = "(size < block_size or size = block_size and comp < block)"
+    meet = "4 * most_n >= 3 * n and 4 * n >= 3 * least_n and room >= 3 * least_n and most_room >= 3 * n"
+    queries = saved(meets.join(other, "h").where(f"{smaller} and {meet}").select("block", "node").distinct(), "jaccard-queries")
     every = active.select("node").join(comps, "node", "left").select(F.coalesce("comp", "node").alias("block"), "node")
     members, shards = _sharded(every.join(queries.select("block").distinct(), "block", "left_semi"))
     found = saved(_search(_each_shard(queries, shards), members, active), "jaccard-links")
