@@ -17,7 +17,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -226,6 +226,10 @@ def train(found: DataFrame) -> list[str]:
     return accepted_patterns({r["pattern"]: r["count"] for r in counts.limit(MOST_PATTERNS + 1).collect()})
 
 
+def _equals(value: int) -> Callable[[Column], Column]:
+    return lambda x: x == value
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind_no"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -241,7 +245,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     accepted = train(found)
     base = F.filter("found", lambda s: s["base"])
     kept = F.filter("found", lambda s: s["base"] | s["pattern"].isin(accepted)) if accepted else base
-    n = [F.size(F.filter(base, lambda s, k=k: s["kind_no"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    kinds = F.transform(base, lambda s: s["kind_no"])
+    n = [F.size(F.filter(kinds, _equals(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     return found.select("doc_id", *n, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(kept).alias("spans"))
 
 
