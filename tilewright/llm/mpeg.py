@@ -155,7 +155,7 @@ def parse(data: bytes) -> Audio:
     nor frame are skipped up to the next header that another header, a tag or
     the end of the stream confirms."""
     out, at, n, synced = Audio(), 0, len(data), False
-    first = True
+    first, kind = True, None
     while at < n:
         end = _tag_end(data, at, out)
         if end > at:
@@ -164,15 +164,19 @@ def parse(data: bytes) -> Audio:
         head = parse_header(data[at : at + 4])
         follows = at + head.size if head else 0
         if head and follows <= n:
-            sure = synced and (not out.rate or head.rate == out.rate)
-            if not sure:  # a lone header may be chance: its successor must be there too
-                after = parse_header(data[follows : follows + 4]) if follows < n else head
-                sure = bool(after and after.rate == head.rate and after.layer == head.layer) or data[follows : follows + 3] in (b"ID3", b"TAG")
+            # a lone header may be chance: its successor must be there too, or it goes on a
+            # stream of its kind, with a right checksum if it has one
+            after = parse_header(data[follows : follows + 4]) if follows < n else head
+            sure = bool(after and after.rate == head.rate and after.layer == head.layer) or data[follows : follows + 3] in (b"ID3", b"TAG")
+            frame = data[at:follows]
+            wrong = head.protected and head.layer == 3 and crc16(frame[2:4] + frame[6 : 6 + head.side]) != int.from_bytes(frame[4:6], "big")
+            if not sure and synced and kind == (head.version, head.layer, head.rate, head.protected, head.mono):
+                sure = not wrong
             if sure:
-                frame = data[at:follows]
+                kind = (head.version, head.layer, head.rate, head.protected, head.mono)
                 if head.protected and head.layer == 3:
                     out.checked += 1
-                    out.bad_crc += crc16(frame[2:4] + frame[6 : 6 + head.side]) != int.from_bytes(frame[4:6], "big")
+                    out.bad_crc += wrong
                 table = _table(frame, head) if first else None
                 first = False
                 out.rate = out.rate or head.rate
