@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import saved
 
-#: Rows to train on, vectors to a list, and vectors to a shard of a list, at most.
-TRAIN_ROWS, LIST_ROWS, SHARD_ROWS = 8192, 400, 4000
+#: Rows to train on and lists, at most; vectors to a shard of a list; candidates that a shard gives a query.
+TRAIN_ROWS, LISTS, SHARD_ROWS, SHARD_BEST = 8192, 64, 4000, 64
 
 
 @dataclass
@@ -85,7 +85,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(F.coalesce(fine, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, probe_share: float = 0.85, rerank: int = 1000) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, probe_share: float = 0.9, rerank: int = 600) -> DataFrame:
     """The ``k`` nearest vectors of each query (rows whose vec_id is divisible by
     ``every``): query_id, rank, vec_id, score (the true Euclidean distance).
 
@@ -109,10 +109,9 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, probe_share: floa
     sizes = [len(r["v"]) for r in sample]
     dim = max(set(sizes), key=lambda s: (sizes.count(s), s))
     distinct = distinct.where(F.size("v") == dim)
-    n = distinct.count()
     x = np.array([r["v"] for r in sample if len(r["v"]) == dim])
-    parts = next(p for p in (8, 4, 2, 1) if dim % p == 0)
-    index = train(x, max(1, min(len(x) // 8, n // LIST_ROWS)), parts)
+    parts = next(p for p in (16, 8, 4, 2, 1) if dim % p == 0)
+    index = train(x, max(1, min(len(x) // 8, LISTS)), parts)
     probes = max(1, int(np.ceil(probe_share * len(index.centroids))))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,7 +123,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, probe_share: floa
 
     entries = saved(distinct.select("key", "v").mapInPandas(place, "key long, list int, codes binary"), "ann-index")
     shards = entries.groupBy("list").count().select("list", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("shards"))
-    entries = entries.join(F.broadcast(shards), "list").withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))  # one row a list: at most TRAIN_ROWS / 8
+    entries = entries.join(F.broadcast(shards), "list").withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))  # one row a list: LISTS at most
 
     # queries: each distinct vector once
     asked = rows.where(F.col("vec_id") % every == 0).where(F.size("v") == dim).select("vec_id", digest.alias("digest"))
@@ -148,7 +147,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, probe_share: floa
             which = int(right["list"].iloc[0])
             for query, v in zip(left["key"], left["v"], strict=True):
                 d = index.tables(np.asarray(v), which)[np.arange(codes.shape[1]), codes].sum(axis=1)
-                best = np.argpartition(d, rerank - 1)[:rerank] if len(d) > rerank else np.arange(len(d))
+                best = np.argpartition(d, SHARD_BEST - 1)[:SHARD_BEST] if len(d) > SHARD_BEST else np.arange(len(d))
                 keys.extend([query] * len(best))
                 ids.extend(right["key"].to_numpy()[best])
                 approx.extend(d[best])
