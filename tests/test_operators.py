@@ -150,3 +150,17 @@ def test_streaming_equals_batch(spark, tmp_path):
     once = events.fresh_requests(events.read_events(spark, f"{tmp_path}/in", rows.schema), late="60 days")
     events.run_available(once.select("event_id"), f"{tmp_path}/once", f"{tmp_path}/check2")
     assert spark.read.parquet(f"{tmp_path}/once").count() == rows.dropDuplicates(["user_id", "event_type", "value"]).count()
+
+
+def test_hulls(spark):
+    from tilewright.operators.polygons import convex_hulls, monotone_chain
+
+    r = random.Random(6)
+    pts = [(n % 2, r.uniform(0, 9), r.uniform(0, 9)) for n in range(200)] + [(0, 0.0, 0.0)] * 3
+    got = convex_hulls(spark.createDataFrame(pts, "g int, x double, y double").repartition(5), "g").orderBy("g", "place").collect()
+    for g in (0, 1):
+        own = [(x, y) for a, x, y in pts if a == g]
+        hull = [(p["x"], p["y"]) for p in got if p["g"] == g]
+        assert hull == monotone_chain(own)
+        for (ax, ay), (bx, by) in zip(hull, hull[1:] + hull[:1], strict=True):
+            assert all((bx - ax) * (y - ay) - (by - ay) * (x - ax) >= -1e-9 for x, y in own)
