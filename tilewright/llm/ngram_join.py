@@ -219,9 +219,9 @@ def divide_skip(lists: list[list[int]], least: int, weight: float = 0.01) -> lis
     return out
 
 
-def _search_block(members: list[tuple], queries: list[tuple]) -> list[tuple[int, int]]:
+def _search_block(members: list[tuple], queries: list[tuple], one_each: bool) -> list[tuple[int, int]]:
     """Links (query, member) between the queries and members of a block; rows are
-    (node, n, shingles)."""
+    (node, n, shingles).  Members that are connected need but one link a query."""
     h = np.concatenate([m[2] for m in members])
     place = np.repeat(np.arange(len(members)), [len(m[2]) for m in members])
     order = np.argsort(h, kind="stable")
@@ -235,10 +235,12 @@ def _search_block(members: list[tuple], queries: list[tuple]) -> list[tuple[int,
         for k, overlap in divide_skip(lists, -(-3 * n // 4)):
             if 7 * overlap >= 3 * (n + sizes[k]) and members[k][0] != node:
                 out.append((node, members[k][0]))
+                if one_each:
+                    break
     return out
 
 
-def _search(queries: DataFrame, members: DataFrame, active: DataFrame) -> DataFrame:
+def _search(queries: DataFrame, members: DataFrame, active: DataFrame, one_each: bool = False) -> DataFrame:
     """Links (a, b) between the queries and the members of each (block, shard)."""
     marked = queries.select("block", "shard", "node", F.lit(True).alias("asks")).union(members.select("block", "shard", "node", F.lit(False).alias("asks")))
     marked = saved(marked, "jaccard-blocks")
@@ -249,7 +251,7 @@ def _search(queries: DataFrame, members: DataFrame, active: DataFrame) -> DataFr
         now, members, queries, links = None, [], [], []
 
         def done() -> pa.RecordBatch:
-            found = _search_block(members, queries) if members and queries else []
+            found = _search_block(members, queries, one_each) if members and queries else []
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -317,7 +319,7 @@ def node_components(docs: DataFrame, rounds: int = 2) -> DataFrame | None:
     queries = saved(meets.join(other, "h").where(f"{smaller} and {meet}").select("block", "node").distinct(), "jaccard-queries")
     every = active.select("node").join(comps, "node", "left").select(F.coalesce("comp", "node").alias("block"), "node")
     members, shards = _sharded(every.join(queries.select("block").distinct(), "block", "left_semi"))
-    found = saved(_search(_each_shard(queries, shards), members, active), "jaccard-links")
+    found = saved(_search(_each_shard(queries, shards), members, active, one_each=True), "jaccard-links")
     return connected_components(links.union(found))
 
 
