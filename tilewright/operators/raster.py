@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.bits import right
+from tilewright.operators import loops
 
 
 def by_pixel(pixels: DataFrame, *keys: str) -> DataFrame:
@@ -73,13 +74,14 @@ def damaged(changed: DataFrame, levels: int) -> DataFrame:
 def update(old: DataFrame, changed: DataFrame, levels: int, step: Callable[[DataFrame], DataFrame] = coarsen) -> DataFrame:
     """An old pyramid with the finest level's ``changed`` pixels: only blocks above
     them are computed anew, level by level; all others stay as they are."""
-    fresh = changed.select("x", "y", "band", "value")
+    loops.ensure_checkpoint_dir(old.sparkSession)
+    fresh = changed.select("x", "y", "band", "value").checkpoint()
     out = old.where(F.col("level") == levels).join(fresh.select("x", "y").distinct(), ["x", "y"], "left_anti").select("level", "x", "y", "band", "value").unionByName(fresh.withColumn("level", F.lit(levels)))
     below, touched = out.where(F.col("level") == levels), fresh.select("x", "y").distinct()
     for level in range(levels - 1, -1, -1):
         blocks = touched.select(right(F.col("x"), 1).cast("int").alias("bx"), right(F.col("y"), 1).cast("int").alias("by")).distinct()
         source = below.withColumn("bx", right(F.col("x"), 1)).withColumn("by", right(F.col("y"), 1)).join(blocks, ["bx", "by"], "left_semi")
-        now = step(source.select("x", "y", "band", "value")).withColumn("level", F.lit(level))
+        now = step(source.select("x", "y", "band", "value")).withColumn("level", F.lit(level)).checkpoint()  # each level reads the one below: without, plans double
         touched = blocks.select(F.col("bx").alias("x"), F.col("by").alias("y"))
         same = old.where(F.col("level") == level).join(touched, ["x", "y"], "left_anti").select("level", "x", "y", "band", "value")
         below = same.unionByName(now)

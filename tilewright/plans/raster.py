@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.catalog import query
-from tilewright.operators import cells, raster
+from tilewright.operators import cells, loops, raster
 from tilewright.sources.tables import CUSTOMERS_SQL, LAT_SQL, LON_SQL, PIXELS_SQL, customers, latitude, longitude, pixels, table
 
 LEAST = 40
@@ -61,7 +61,8 @@ _CHANGED = f"(select x, y, band, case when raster = 7 then 255 - value else valu
 @query("pyramid_update", _pyramid_sql(f"(select * from {_CHANGED} union all select * from {_COMBINED} c where not exists (select 1 from {_CHANGED} k where k.x = c.x and k.y = c.y))"))
 def pyramid_update(spark: SparkSession, folder: str) -> DataFrame:
     """A pyramid after one raster has changed: only the blocks above its pixels are rebuilt."""
-    old = raster.pyramid(_finest(spark, folder), _LEVELS)
+    loops.ensure_checkpoint_dir(spark)
+    old = raster.pyramid(_finest(spark, folder), _LEVELS).checkpoint()  # stands for the stored pyramid
     fresh = pixels(spark, folder).where("raster = 7").select("x", "y", "band", (255 - F.col("value")).alias("value"))
     return raster.update(old, fresh, _LEVELS).select("level", "x", "y", "band", "value")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.functions.bits import left, right
+from tilewright.functions.bits import left
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,11 +62,11 @@ def pixels(spark: SparkSession, folder: str) -> DataFrame:
     """(raster, x, y, band, value): three-band pixels, one raster per line number,
     a pixel per line item; equal places keep the largest value."""
     k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    cell = table(spark, folder, "lineitem").select(F.col("l_linenumber").alias("raster"), (k * 13 % 64).cast("int").alias("x"), (right(k, 3) * 7 % 64).cast("int").alias("y"), k.alias("k"))
+    cell = table(spark, folder, "lineitem").select(F.col("l_linenumber").alias("raster"), (F.col("l_partkey") * 13 % 64).cast("int").alias("x"), ((F.col("l_suppkey") * 7 + F.col("l_partkey") % 5) % 64).cast("int").alias("y"), k.alias("k"))
     rows = cell.select("raster", "x", "y", "k", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("band"))
     return rows.groupBy("raster", "x", "y", "band").agg(F.max((F.col("x") * 31 + F.col("y") * 17 + F.col("band") * 5 + F.col("k")) % 256).cast("int").alias("value"))
 
 
 PIXELS_SQL = """(select raster, x, y, band, max((x * 31 + y * 17 + band * 5 + k) % 256)::int as value from (
-  select l_linenumber as raster, ((l_orderkey * 8 + l_linenumber) * 13 % 64)::int as x, (((l_orderkey * 8 + l_linenumber) >> 3) * 7 % 64)::int as y, l_orderkey * 8 + l_linenumber as k from lineitem),
+  select l_linenumber as raster, (l_partkey * 13 % 64)::int as x, ((l_suppkey * 7 + l_partkey % 5) % 64)::int as y, l_orderkey * 8 + l_linenumber as k from lineitem),
   (select unnest(range(3))::int as band) group by all)"""
