@@ -164,3 +164,9 @@ def test_hulls(spark):
         assert hull == monotone_chain(own)
         for (ax, ay), (bx, by) in zip(hull, hull[1:] + hull[:1], strict=True):
             assert all((bx - ax) * (y - ay) - (by - ay) * (x - ax) >= -1e-9 for x, y in own)
+
+
+def test_proxy(spark):
+    log = [(1, 1, 0, "ok"), (1, 2, 5, "ok"), (1, 3, 50, "ok"), (1, 4, 150, "same"), (1, 5, 300, "error"), (1, 6, 500, "error"), (1, 7, 501, "missing"), (1, 8, 505, "ok"), (1, 9, 600, "same"), (2, 1, 0, "same"), (2, 2, 400, "error")]
+    got = replay.proxy(spark.createDataFrame(log, "key long, seq long, ms long, answer string"), 10, 100, 100).orderBy("key", "seq").collect()
+    assert [r["outcome"] for r in got] == ["MISS", "HIT-MEMORY", "HIT", "REVALIDATED", "STALE", "ERROR", "MISSING", "NEGATIVE", "MISS", "MISS", "ERROR"]

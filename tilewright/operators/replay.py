@@ -115,3 +115,41 @@ def on_change(log: DataFrame, least: float) -> DataFrame:
         return machine
 
     return _replay(log.select("consumer", "seq", "value"), "consumer", "seq", make, "consumer long, seq long, value double")
+
+
+def proxy(log: DataFrame, memory_ms: int, disk_ms: int, stale_ms: int) -> DataFrame:
+    """log (key, seq, ms, answer) with the outcome of an image proxy for each request.
+
+    ``answer`` is what the source would say: ok, same (unchanged), missing or error.
+    Within ``memory_ms`` of the last good load a key is HIT-MEMORY, within
+    ``disk_ms`` HIT; later the source is asked: same gives REVALIDATED, ok MISS,
+    missing is remembered and NEGATIVE until it expires from memory, and an error
+    gives STALE while the copy is not older than disk and stale time together,
+    else ERROR.  Keys don't share anything, so each is replayed by itself."""
+
+    def make():
+        state = {"loaded": None, "missing": None}
+
+        def one(ms: int, answer: str) -> str:
+            age = None if state["loaded"] is None else ms - state["loaded"]
+            if state["missing"] is not None and ms - state["missing"] <= memory_ms:
+                return "NEGATIVE"
+            if age is not None and age <= memory_ms:
+                return "HIT-MEMORY"
+            if age is not None and age <= disk_ms:
+                return "HIT"
+            if answer == "error":
+                return "STALE" if age is not None and age <= disk_ms + stale_ms else "ERROR"
+            if answer == "missing":
+                state.update(loaded=None, missing=ms)
+                return "MISSING"
+            known = state["loaded"] is not None
+            state.update(loaded=ms, missing=None)
+            return "REVALIDATED" if answer == "same" and known else "MISS"
+
+        def machine(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"key": rows["key"], "seq": rows["seq"], "outcome": [one(m, a) for m, a in zip(rows["ms"], rows["answer"], strict=True)]})
+
+        return machine
+
+    return _replay(log.select("key", "seq", "ms", "answer"), "key", "seq", make, "key long, seq long, outcome string")

@@ -115,3 +115,24 @@ def ledger_grants(spark: SparkSession, folder: str) -> DataFrame:
 @query("emitted_changes")
 def emitted_changes(spark: SparkSession, folder: str) -> DataFrame:
     return replay.on_change(request_log(spark, folder).where("value is not null"), 0.5)
+
+
+@query("proxy_outcomes")
+def proxy_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcomes of an image proxy over the request log."""
+    answer = F.element_at(F.array(*[F.lit(a) for a in ("ok", "same", "ok", "error", "same", "missing", "ok")]), (F.col("seq") % 7 + 1).cast("int"))
+    return replay.proxy(request_log(spark, folder).withColumn("answer", answer), 20_000, 60_000, 60_000)
+
+
+_ASKS = "(select user_id as consumer, event_id as seq, event_type as kind, value, case when event_id % 13 = 0 then null else event_id % 1000 end as due from events)"
+
+
+@query(
+    "packet_status",
+    f"select seq, case when due is null then 'no_time' when value is null or value < 0 then 'bad_value' when kind = 'error' then 'rejected' when due > 900 then 'late' else 'ok' end as status from {_ASKS}",
+)
+def packet_status(spark: SparkSession, folder: str) -> DataFrame:
+    """The first check that a packet of the log fails."""
+    e = table(spark, folder, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), "value", F.when(F.col("event_id") % 13 != 0, F.col("event_id") % 1000).alias("due"))
+    status = F.when(F.col("due").isNull(), "no_time").when(F.col("value").isNull() | (F.col("value") < 0), "bad_value").when(F.col("kind") == "error", "rejected").when(F.col("due") > 900, "late").otherwise("ok")
+    return e.select("seq", status.alias("status"))
