@@ -219,12 +219,17 @@ def label_bytes(net: Network, raw: np.ndarray, at: np.ndarray, window: int = 64,
 
 def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     """At most SAMPLE_ROWS snippets of SAMPLE_CHARS characters for each language,
-    from rows that aren't held out: rows by the hash of doc_id, snippets from
+    from rows that aren't held out, of the MOST_LANGUAGES most frequent languages: rows by the hash of doc_id, snippets from
     anywhere in the text.  The bounds are parameters, not shares of the input."""
     rows = docs.where("lang is not null and text is not null and doc_id is not null and length(text) > 0").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    key = F.xxhash64("doc_id", F.lit(7))
+    top = 1 << 40
+    key = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(top))
     at = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    rows = rows.select("lang", "doc_id", key.alias("key"), F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS)).alias("snippet"))
+    # a share of each language first, so that what is sorted doesn't grow with the number of tasks
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    share = counts.select("lang", F.least(F.lit(float(top)), 4.0 * SAMPLE_ROWS / F.col("count") * top).alias("below"))
+    rows = rows.withColumn("key", key).join(F.broadcast(share), "lang").where("key < below")
+    rows = rows.select("lang", "doc_id", "key", F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS)).alias("snippet"))
     first = Window.partitionBy("lang").orderBy("key", "doc_id", "snippet")
     chosen = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE_ROWS)
     found = chosen.select("lang", "snippet").orderBy("k", "lang").limit(SAMPLE_ROWS * MOST_LANGUAGES).collect()

@@ -199,8 +199,8 @@ def accepted_patterns(counts: dict[str, int], threshold: float = 0.9) -> list[st
     features = np.hstack([np.array(one_hot), said])
     w = fit_classifier(features, p, n)
     q = 1 / (1 + np.exp(-np.clip(np.hstack([features, np.ones((len(names), 1))]) @ w, -30, 30)))
-    # a span needs the classifier and more labelers for it than against it, two at least
-    return [x for x, r, s, v in zip(names, rows, q, said, strict=True) if r[1] == "0" and s >= threshold and (v > 0).sum() >= 2 and v.sum() > 0]
+    # a span needs the classifier, more labelers for it than against it, two at least, and no strict form that it fails
+    return [x for x, r, s, v in zip(names, rows, q, said, strict=True) if r[1] == "0" and s >= threshold and (v > 0).sum() >= 2 and v.sum() > 0 and v[0] >= 0]
 
 
 _FOUND = "array<struct<start:bigint,kind_no:int,end:bigint,base:boolean,pattern:string>>"
