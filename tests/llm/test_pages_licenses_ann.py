@@ -66,5 +66,37 @@ def test_neighbours(spark, n):
     assert hits / len(by) >= 0.9
 
 
+def test_neighbours_in_clusters(spark, monkeypatch):
+    """Tight clusters of unequal vectors that share their codes, as with many clusters."""
+    train = ivfpq.train
+    monkeypatch.setattr(ivfpq, "train", lambda x, lists, parts: train(x, 1, parts, codes=4))
+    r = np.random.default_rng(7)
+    x = (np.repeat(r.normal(size=(4, 16)), 500, axis=0) + 0.02 * r.normal(size=(2000, 16))).astype(np.float32)
+    rows = [(i, x[i].tolist()) for i in range(len(x))]
+    found = ivfpq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    x = x.astype(float)
+    for q in range(0, len(x), 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        got = [f["vec_id"] for f in sorted(found, key=lambda f: f["rank"]) if f["query_id"] == q]
+        assert got == np.argsort(d)[:10].tolist()
+
+
+def test_closest_in_a_shard():
+    """Nothing that is among the nearest is left out, whatever the codes are worth; ties go by id."""
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(size=(900, 8)), r.integers(0, 2, (900, 8)).astype(float), 5 + 1e-3 * r.normal(size=(900, 8))])
+    index = ivfpq.train(x[::9], 3, 4, 8)
+    ids = r.permutation(len(x))
+    for which in range(3):
+        lists = np.full(len(x), which)
+        codes = index.encode(x, lists)
+        for q in range(0, len(x), 50):
+            d = np.sqrt(np.add.accumulate((x - x[q]) ** 2, axis=1)[:, -1])
+            best = np.lexsort((ids, d))[:11]
+            found, score = ivfpq.closest(index, which, x[q], ids, x, codes, index.errors(x, lists, codes), 11)
+            assert found.tolist() == ids[best].tolist() and score.tolist() == d[best].tolist()
+
+
 def test_no_vectors(spark):
     assert ivfpq.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

@@ -5,7 +5,10 @@ Centroids and codebooks are trained on a bounded sample; every vector is put
 into the list of its nearest centroid with the codes of its residual.  A query
 looks into the lists of its nearest centroids; a table of distances between the
 query's residual and all codewords gives each candidate's approximate distance
-by lookups; the best candidates are ranked again by their true distance.
+by lookups.  The quantisation error of each entry is stored: its true distance
+can't be less than the approximate one by more than that, so within the lists
+that are looked into only entries that can't be among the nearest are left out,
+and all others are ranked by their true distance.
 
 Equal vectors are one entry: of a vector's copies only the k + 1 with the
 smallest ids can ever be among the k nearest of any query, so each copy keeps
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import saved
 
-#: Rows to train on and lists, at most; vectors to a shard of a list; candidates that a shard gives a query.
-TRAIN_ROWS, LISTS, SHARD_ROWS, SHARD_BEST = 8192, 64, 4000, 64
+#: Rows to train on and lists, at most; vectors to a shard of a list.
+TRAIN_ROWS, LISTS, SHARD_ROWS = 8192, 64, 4000
 
 
 @dataclass
@@ -51,6 +54,11 @@ class Index:
             out[:, k] = ((book**2).sum(axis=1) - 2 * rest[:, k] @ book.T).argmin(axis=1)
         return out
 
+    def errors(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Distances of the rows from what their codes stand for."""
+        rest = (x - self.centroids[lists]).reshape(len(x), len(self.codebooks), -1)
+        return np.sqrt(((rest - self.codebooks[np.arange(codes.shape[1]), codes]) ** 2).sum(axis=(1, 2)))
+
     def tables(self, query: np.ndarray, which: int) -> np.ndarray:
         """(parts, codes) squared distances of a query's residual in a list."""
         rest = (query - self.centroids[which]).reshape(len(self.codebooks), 1, -1)
@@ -85,7 +93,28 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(F.coalesce(fine, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, probe_share: float = 0.9, rerank: int = 600) -> DataFrame:
+def closest(index: Index, which: int, query: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, errors: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and true distances of the ``most`` rows of a shard that are nearest to
+    the query, ties by id: rows are left out only by their distance's lower bound."""
+    near = np.sqrt(index.tables(query, which)[np.arange(codes.shape[1]), codes].sum(axis=1))
+    kept = np.arange(len(x))
+    if len(x) > most:
+        first = np.argpartition(near, most - 1)[:most]
+        limit = np.sqrt(((x[first] - query) ** 2).sum(axis=1)).max()
+        slack = 1e-9 * (limit + np.abs(query).sum() + np.abs(index.centroids[which]).sum())  # rounding
+        kept = np.flatnonzero(~(near - errors > limit + slack))
+        # the true distances by a product, in which rounding may hide ties; then term by term
+        dots = x[kept] @ query if len(kept) * 4 < len(x) else (x @ query)[kept]
+        sizes = np.einsum("ij,ij->i", x[kept], x[kept]) if len(kept) * 4 < len(x) else np.einsum("ij,ij->i", x, x)[kept]
+        rough = sizes - 2 * dots + query @ query
+        room = 1e-9 * (sizes.max() + query @ query)
+        kept = kept[~(rough > np.partition(rough, most - 1)[most - 1] + room)]
+    score = np.sqrt(np.add.accumulate((x[kept] - query) ** 2, axis=1)[:, -1])
+    best = np.lexsort((ids[kept], score))[:most]
+    return ids[kept][best], score[best]
+
+
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, probe_share: float = 0.9) -> DataFrame:
     """The ``k`` nearest vectors of each query (rows whose vec_id is divisible by
     ``every``): query_id, rank, vec_id, score (the true Euclidean distance).
 
@@ -119,9 +148,10 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, probe_share: floa
             if len(f):
                 v = np.stack(f["v"].to_numpy())
                 lists = index.assign(v)[:, 0]
-                yield pd.DataFrame({"key": f["key"], "list": lists, "codes": [c.tobytes() for c in index.encode(v, lists)]})
+                codes = index.encode(v, lists)
+                yield pd.DataFrame({"key": f["key"], "list": lists, "codes": [c.tobytes() for c in codes], "error": index.errors(v, lists, codes), "v": f["v"]})
 
-    entries = saved(distinct.select("key", "v").mapInPandas(place, "key long, list int, codes binary"), "ann-index")
+    entries = saved(distinct.select("key", "v").mapInPandas(place, "key long, list int, codes binary, error double, v array<double>"), "ann-index")
     shards = entries.groupBy("list").count().select("list", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("shards"))
     entries = entries.join(F.broadcast(shards), "list").withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))  # one row a list: LISTS at most
 
@@ -140,29 +170,23 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, probe_share: floa
     wanted = wanted.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
 
     def search(group, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Asymmetric distances of one shard of a list; the best stay as candidates."""
-        keys, ids, vecs, approx = [], [], [], []
+        """The k + 1 nearest of one shard of a list, by their true distance."""
+        keys, ids, scores = [], [], []
         if len(left) and len(right):
             codes = np.frombuffer(b"".join(right["codes"]), np.uint8).reshape(len(right), -1)
+            own, errors, x = right["key"].to_numpy(), right["error"].to_numpy(), np.stack(right["v"].to_numpy())
             which = int(right["list"].iloc[0])
             for query, v in zip(left["key"], left["v"], strict=True):
-                d = index.tables(np.asarray(v), which)[np.arange(codes.shape[1]), codes].sum(axis=1)
-                best = np.argpartition(d, SHARD_BEST - 1)[:SHARD_BEST] if len(d) > SHARD_BEST else np.arange(len(d))
-                keys.extend([query] * len(best))
-                ids.extend(right["key"].to_numpy()[best])
-                approx.extend(d[best])
-        return pd.DataFrame({"key": keys, "found": ids, "approx": approx})
-
-    candidates = wanted.groupBy("list", "shard").cogroup(entries.select("key", "list", "shard", "codes").groupBy("list", "shard")).applyInPandas(search, "key long, found long, approx double")
-    best = Window.partitionBy("key").orderBy("approx", "found")
-    chosen = candidates.withColumn("k", F.row_number().over(best)).where(F.col("k") <= rerank).select("key", "found")
-
-    # exact reranking on the original vectors, copies by their ids
-    pairs = chosen.join(queries.withColumnRenamed("v", "q"), "key").join(distinct.select(F.col("key").alias("found"), "ids", "v"), "found")
-    exact = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    scored = pairs.select("key", "ids", exact.alias("score"))
-    near = Window.partitionBy("key").orderBy("score", F.element_at("ids", 1))
-    scored = scored.withColumn("k", F.row_number().over(near)).where(F.col("k") <= k + 1)
+                found, score = closest(index, which, np.asarray(v), own, x, codes, errors, k + 1)
+                keys.append(np.full(len(found), query))
+                ids.append(found)
+                scores.append(score)
+        return pd.DataFrame({"key": np.concatenate(keys), "found": np.concatenate(ids), "score": np.concatenate(scores)} if keys else {"key": [], "found": [], "score": []})
+
+    found = wanted.groupBy("list", "shard").cogroup(entries.select("key", "list", "shard", "codes", "error", "v").groupBy("list", "shard")).applyInPandas(search, "key long, found long, score double")
+    near = Window.partitionBy("key").orderBy("score", "found")
+    scored = found.withColumn("k", F.row_number().over(near)).where(F.col("k") <= k + 1)
+    scored = scored.join(distinct.select(F.col("key").alias("found"), "ids"), "found")  # copies by their ids
     lists = scored.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("score").alias("score"), i.alias("vec_id")))))).alias("near"))
     answers = asked.join(lists, "key").select(F.col("vec_id").alias("query_id"), F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("near"))
     return answers.select("query_id", F.posexplode("near").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
