@@ -35,6 +35,15 @@ def test_licenses(spark, documents, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files"
+    bsd = "Some code\n * Redistribution and use in source and binary forms, with or\r\n * without modification, are permitted provided that the\n * following conditions are met:\n"
+    far = "\n".join(mit.replace("\n", " ").replace(" ", "\nother words stand between these\n").split("\n"))
+    rows = [(1, mit), (2, bsd), (3, mit.replace("\n", " ")), (4, far), (5, "a\n\n" + mit + "\n" + bsd), (6, "\n"), (7, "released under the\nmit\n\nlicense")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("mit", 1.0), 4: ("", 0.0), 5: ("bsd,mit", 1.0), 6: ("", 0.0), 7: ("mit", 1.0)}
+
+
 def vectors(n, dim=8, seed=0):
     r = np.random.default_rng(seed)
     x = r.normal(size=(n, dim))

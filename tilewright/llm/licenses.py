@@ -1,8 +1,10 @@
 """License notices: exact phrases, and an exact set-similarity join of text
 blocks with notice templates, in DataFrame operations only.
 
-A block is a line.  It meets a template when it holds at least ``THRESHOLD`` of
-the template's distinct words.  Words are put in one global order, rarest first;
+A block is a line, or, for notices that wrap, a window of words that ignores line
+breaks and is as long as the template with room for foreign words.  It meets a
+template when it holds at least ``THRESHOLD`` of the template's distinct words.
+Words are put in one global order, rarest first;
 then a block that meets a template must share a word with the first
 ``size - need + 1`` words of the template (prefix filter), must hold ``need`` of
 the templates' words at all (length filter), and the places of the first shared
@@ -56,13 +58,15 @@ def _strings(values: list[str]) -> Column:
 
 def scan_texts(docs: DataFrame) -> DataFrame:
     """One pass over the texts: word counts, phrase starts, and for each line
-    that can meet a template the templates' words that it holds."""
+    that can meet a template the templates' words that it holds; so also for
+    windows over several lines, where the whole text holds enough of a template."""
     templates = template_rows()
     vocabulary = _strings(sorted({w for _, _, words, _ in templates for w in words}))
     least = min(need for *_, need in templates)
     lines = F.split(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), "\n")
     rows = docs.select("doc_id", F.transform(lines, lambda line: F.array_remove(F.split(line, NOT_WORD), "")).alias("lines"))
     rows = rows.select("doc_id", "lines", F.flatten("lines").alias("words"))
+    rows = rows.withColumn("held", F.array_intersect(vocabulary, "words"))
     # phrases hold one of two words; the others' texts need no look at each place
     hint = F.array_contains("words", "license") | F.array_contains("words", "cc")
     places = F.sequence(F.lit(0), F.size("words") - 1)
@@ -78,8 +82,17 @@ def scan_texts(docs: DataFrame) -> DataFrame:
 
         return F.when(hint, F.filter(places, here)).otherwise(F.array().cast("array<int>"))
 
+    def windows(template: int, own: list[str], need: int) -> Column:
+        """The template's words in each window that starts with one of them."""
+        mine = _strings(own)
+        length = math.ceil(len(TEMPLATES[template][1].split()) / THRESHOLD)
+        found = F.transform(F.filter(places, lambda i: F.array_contains(mine, F.get("words", i))), lambda i: F.array_intersect(mine, F.slice("words", i + 1, length)))
+        can = (F.size("lines") > 1) & (F.size(F.array_intersect(mine, "held")) >= need)
+        return F.when(can, F.array_distinct(F.filter(found, lambda held: F.size(held) >= need))).otherwise(F.array().cast("array<array<string>>"))
+
+    wrapped = F.flatten(F.array(*[windows(k, own, need) for k, _, own, need in templates]))
     kept = F.filter(F.transform("lines", lambda words: F.array_intersect(vocabulary, words)), lambda found: F.size(found) >= least)
-    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), *[starts(p).alias(f"p{k}") for k, (p, _) in enumerate(PHRASES)], kept.alias("blocks"))
+    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), *[starts(p).alias(f"p{k}") for k, (p, _) in enumerate(PHRASES)], F.array_union(kept, wrapped).alias("blocks"))
 
 
 def matching_templates(sets: DataFrame) -> DataFrame:
