@@ -18,6 +18,18 @@ def test_extraction():
         html_text.extract(bad)
 
 
+def test_text_beside_the_best_container():
+    long = "This is a long paragraph, with commas, of quite some words, that scores many points, and more than others. " * 3
+    short = "x" * 199 + ","
+    a = "<div class=section><h2>A</h2>" + f"<p>{long}</p>" * 6 + "</div>"
+    links = "<div>" + "<p><a href=/x>Some other page with a long title</a></p>" * 4 + "</div>"
+    page = f"<html><body><h1>Title</h1><div class=nav>no</div><div class=wrap>{a}<div class=section><h2>B</h2><p>{short}</p></div>{links}</div><ul><li>one<li>two</ul><table><tr><td>cell</table>{links}</body></html>"
+    want = ["Title", "A", *[long.strip()] * 6, "B", short, "one", "two", "cell"]
+    assert html_text.extract(page).split("\n\n") == want
+    assert html_text.extract(f"<body>{a}and <b>bold</b> text</body>").endswith("and bold text")
+    assert html_text.extract(f"<body><h1>Title</h1><article>{a}</article><p>Not, of it</p></body>").startswith("A")
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 3), (2, None, None, 3), (2, None, None, 3)], "page_id long, url string, html string, text int")
     rows = html_text.main_text(pages).collect()

@@ -6,6 +6,9 @@ by element and by class or id.  Every paragraph then scores points for its
 length and commas and passes them to its ancestors, less with each step; a
 container's points are discounted by the share of its text inside links.  The
 best container is kept, with siblings that score like it or read like prose.
+Outside articles, so is what stands beside it on each level up to the page: text
+blocks that aren't mostly links, and headings, lists, tables and short
+paragraphs next to what is kept.
 """
 
 from __future__ import annotations
@@ -245,25 +248,81 @@ def best_nodes(nodes: list[Node]) -> list[Node]:
     if best.parent is None:
         return [best]
     least = max(10.0, best.score * 0.2)
-    out = []
-    for c in best.parent.children:
-        if not isinstance(c, Node) or c.tag in ("hr", "br", "img"):
-            continue
-        density = c.links / c.length if c.length else 1.0
-        prose = c.tag in ("p", "blockquote", "pre") and (c.length > 80 and density < 0.25 or 0 < c.length <= 80 and density == 0 and c.commas > 0)
-        if c is best or (c.tag not in INLINE and c.score >= least and density < 0.3) or prose:
-            out.append(c)
+    inside = best.tag in ("article", "main")
+    out, here = [best], best
+    while here.parent is not None:
+        kept = [c is here or _belongs(c, least, inside) for c in here.parent.children]
+        if not inside:
+            _spread(here.parent.children, kept)
+        level: list[Node] = []
+        for c, keep in zip(here.parent.children, kept, strict=True):
+            if c is here:
+                level.extend(out)
+            elif keep:
+                level.append(_wrap(c, here.parent))
+        out, here = level, here.parent
+        if inside:
+            break
     return out
 
 
+def _wrap(c: Node | str, parent: Node) -> Node:
+    if isinstance(c, Node):
+        return c
+    node = Node("span", parent)
+    node.children.append(c)
+    return node
+
+
+def _density(c: Node) -> float:
+    return c.links / c.length if c.length else 1.0
+
+
+def _belongs(c: Node | str, least: float, inside: bool) -> bool:
+    """Whether a sibling of what is kept is text in its own right."""
+    if not isinstance(c, Node) or c.tag in ("hr", "br", "img"):
+        return False
+    density = _density(c)
+    if c.tag in ("p", "blockquote", "pre") and (c.length > 80 and density < 0.25 or 0 < c.length <= 80 and density == 0 and c.commas > 0):
+        return True
+    if c.tag in INLINE or density >= 0.3:
+        return False
+    return c.score >= least or (not inside and c.weight >= 0 and c.score > 0)
+
+
+def _spread(children: list[Node | str], kept: list[bool]) -> None:
+    """Keeps texts, headings, lists, tables and paragraphs that stand next to a
+    kept sibling, or next to one of these."""
+    for order in (range(len(children)), range(len(children) - 1, -1, -1)):
+        beside = False
+        for k in order:
+            c = children[k]
+            if isinstance(c, str):
+                plain = True
+                if not c.strip():
+                    continue
+            elif c.tag in ("hr", "br", "img") or not c.length:
+                continue
+            else:
+                plain = c.tag in _BESIDE and _density(c) < 0.3 and c.weight >= 0
+            kept[k] = kept[k] or (beside and plain)
+            beside = kept[k]
+
+
+_BESIDE = INLINE | frozenset(("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "figure", "header", "hgroup"))
+
+
 def extract(page: str | None) -> str:
     """The main text of a page: blocks joined by two newlines; empty if none."""
     if not page:
         return ""
     nodes = score(parse(page))
     out: list[list[str]] = []
+    inline = False
     for node in best_nodes(nodes):
-        out.append([])
+        if not (inline and node.tag in INLINE):
+            out.append([])
+        inline = node.tag in INLINE
         blocks(node, out)
     texts = (_SPACE.sub(" ", html.unescape("".join(b))).strip() for b in out if b)
     return "\n\n".join(t for t in texts if t)
