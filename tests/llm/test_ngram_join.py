@@ -66,7 +66,73 @@ def test_chains_of_near_copies(spark):
         texts.append((n, passage + " " + " ".join(f"o{k}y{j}" for j in range(k // 2))))
         n += 1
     r.shuffle(texts)
-    df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    df = table(spark, texts)
     assert answer(df) == brute(texts)
     kept = {r["doc_id"] for r in ngram_join.drop_near_copies(df).collect()}
     assert kept == {c for _, _, c in brute(texts)}
+
+
+def table(spark, texts):
+    return spark.createDataFrame([(i, t, None, None, None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def thue_morse(n):
+    t = "a"
+    for _ in range(n):
+        t += t.translate({97: 98, 98: 97})
+    return t
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    words = [w for n in (10, 11) for t in [thue_morse(n)] for w in (t, t.translate({97: 98, 98: 97}))]
+    texts = [*enumerate(words), (9, " ".join(["x y z u", words[0]])), (10, " ".join(["x y z u", words[1]]))]
+    assert answer(table(spark, texts)) == brute(texts) == [(i, 1, i) for i in (0, 1, 2, 3, 9, 10)]
+    assert {r["doc_id"] for r in ngram_join.drop_near_copies(table(spark, texts)).collect()} == {i for i, _ in texts}
+
+
+def test_templates_that_nearly_reach_the_threshold(spark):
+    passage = [f"t{k}" for k in range(40)]
+    texts = []
+    for k in range(300):
+        shared, own = 8 + k % 30, k % 7
+        texts.append((k, " ".join([*passage[:shared], *(f"o{k}x{j}" for j in range(own))])))
+    assert answer(table(spark, texts)) == brute(texts)
+
+
+def test_common_shingles_go_past_the_index(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON_LEAST", 5)
+    monkeypatch.setattr(ngram_join, "PACK", 500)
+    r, passage, texts = random.Random(4), [f"t{k}" for k in range(30)], []
+    for k in range(120):
+        texts.append((k, " ".join([*passage[: r.randrange(12, 30)], *(f"o{r.randrange(9)}" for _ in range(r.randrange(8)))])))
+    df = table(spark, texts)
+    assert ngram_join.named_nodes(df)[1].common
+    assert answer(df) == brute(texts)
+
+
+def test_names_that_clash(spark, monkeypatch):
+    digest = ngram_join._digest
+    monkeypatch.setattr(ngram_join, "_digest", lambda s: bytes([digest(s)[0] & 3]) + bytes(7) + digest(s)[8:])
+    texts = [(k, " ".join(f"c{k // 2}w{j}" for j in range(20 + k % 2))) for k in range(20)]
+    df = table(spark, texts)
+    assert len(ngram_join.named_nodes(df)[1].renamed) == 4
+    assert answer(df) == brute(texts)
+
+
+def test_false_links_are_found(spark):
+    texts = [(0, " ".join(f"a{k}" for k in range(30))), (1, " ".join(f"a{k}" for k in range(31))), (2, "b " * 9)]
+    df = table(spark, texts)
+    nodes, naming = ngram_join.named_nodes(df)
+    name = {r["doc_id"]: r["node"] for r in nodes.collect()}
+    links = spark.createDataFrame([(name[0], name[1]), (name[1], name[2])], "a long, b long")
+    assert [tuple(r) for r in ngram_join.false_links(df, links, naming).collect()] == [(name[1], name[2])]
+
+
+def test_copies_with_repeated_and_null_ids(spark):
+    one, other = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(5, one), (5, one), (6, one + " tail"), (None, one), (6, other), (None, "solo text"), (None, None), (None, None), (7, " "), (8, one.upper())]
+    kept = ngram_join.drop_near_copies(table(spark, rows).withColumnRenamed("source", "node"))
+    assert kept.columns == ["doc_id", "text", "lang", "node", "n_chars"]
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(5, one), (6, other), (None, "solo text"), (None, None), (None, None), (7, " ")], key=str)
+    assert ngram_join.drop_near_copies(table(spark, rows).limit(0)).count() == 0

@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
         near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         own = labels.join(near, "node")
         offers = own.select("node", F.least("comp", "near").alias("comp")).union(own.where(F.col("near") < F.col("comp")).select(F.col("comp").alias("node"), F.col("near").alias("comp")))
-        hooked = offers.groupBy("node").agg(F.min("comp").alias("comp"))
+        # written, so that the next join's shuffles stand alone and a large component's nodes can be dealt to several tasks
+        hooked = saved(offers.groupBy("node").agg(F.min("comp").alias("comp")), "cc-hooked")
         jump = hooked.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         after = saved(hooked.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "cc-labels")
         changed = after.join(labels.withColumnRenamed("comp", "old"), "node").where("comp <> old").limit(1).count()

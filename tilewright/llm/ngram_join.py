@@ -6,20 +6,30 @@ shingles of all nodes, split by hash ranges; it travels as packed arrays, not
 rows.  Its list lengths give every node the shingles that it shares with any
 other; a node with fewer than T = ceil(3/4 of its size) such shingles cannot
 link, which leaves few nodes, and only their shared shingles, rarest first.
+Shingles that a first pass finds in a large share of the nodes go past the index
+to the nodes, as shared and last in the order, so no range holds such a list.
 
 Two sets of sizes a and b link when their overlap is at least 3/7 (a + b), which
 is at least T for both, so linked nodes share one of their ``shared - T + 1``
 rarest shingles, near enough to the front in both for the rest to suffice: those
-lists propose candidates.  A candidate is searched for by
-DivideSkip: the lists of a query's shingles in a block of nodes are divided into
-short ones, merged with a heap, and long ones, probed by binary search, for
-nodes that reach the overlap.
+lists propose candidates.  The place of a shingle in a node's order bounds the
+size of its partners there (``cap``): lists are joined by bands of sizes, and a
+node whose cap is below its own size meets only nodes whose cap isn't, so nodes
+that share a template, but too little else, don't meet at all.  A candidate is
+searched for by DivideSkip: the lists of a query's shingles in a block of nodes
+are divided into short ones, merged with a heap, and long ones, probed by binary
+search, for nodes that reach the overlap.
 
 Only components are asked for, so links within a component already known are
 not needed: two rounds search each list's nodes against one of them, and then
 every node is searched against each *other* component that shares a candidate
 list with its own, smaller against larger.  That leaves no link between two
 components untested, and emits no pairs within a group.
+
+Nothing rests on hashes being different.  Nodes whose 64-bit names clash while
+their 128-bit digests differ are renamed before anything else, and every link is
+checked on the words of both texts at the end; were one false, all is done again
+with other hashes.
 """
 
 from __future__ import annotations
@@ -28,68 +38,153 @@ import hashlib
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import saved, slices
 from tilewright.llm.components import connected_components
-from tilewright.llm.shingles import shingle_sets
+from tilewright.llm.shingles import exact_shingles, shingle_sets
 
 WIDTH = 5
-#: Shingles that a task packs at once, and nodes of a component in one search block.
-PACK, SHARD = 1_500_000, 1000
-#: Rows of (block, node) that may be broadcast, checked by a count; more are joined by shuffles.
+#: Shingles that a task packs at once, and nodes of a component and queries in one search block.
+PACK, SHARD, SLICE = 1_500_000, 1000, 4000
+#: Rows of (block, node) or nodes that may be broadcast, checked by a count; more are joined by shuffles.
 MOST_BROADCAST = 200_000
+#: A shingle goes past the index if one of these many nodes has it, and so many nodes of a pack at least.
+COMMON_SHARE, COMMON_LEAST = 1000, 64
+#: Names that clash are carried by closures; so many are expected only beyond 10^11 documents.
+MOST_RENAMED = 10_000
+_KINDS = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
 
-def _node(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+@dataclass(frozen=True)
+class Naming:
+    """How sets and shingles are hashed: a seed, names that clash, common shingles."""
 
+    seed: int = 0
+    renamed: frozenset[int] = frozenset()
+    common: bytes = b""
 
-def document_nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node); node is null for an empty set."""
+    def sets(self, texts: pa.Array) -> list[np.ndarray]:
+        return shingle_sets(texts, WIDTH, self.seed)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = shingle_sets(batch.column(1), WIDTH)
-            nodes = [_node(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"])
+    def name(self, digest: bytes) -> int:
+        """A node's name: the digest's first eight bytes, or the last ones where those clash."""
+        first = int.from_bytes(digest[:8], "little", signed=True)
+        return int.from_bytes(digest[8:], "little", signed=True) if first in self.renamed else first
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
 
+def document_nodes(docs: DataFrame, naming: Naming) -> DataFrame:
+    """(doc_id, n_shingles, node, digest, common) for every document, node and digest
+    null for an empty set; and rows that hold but common, the shingles that many of
+    the nodes of one pack have, as (shingle, how many) in turn."""
 
-def _packed_index(docs: DataFrame, bits: int) -> DataFrame:
-    """The inverted index as (bucket, nodes, sizes, owner, low): of each hash range
-    the nodes met, their sizes, and per posting the node's place and 48 bits."""
+    def tally(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        many = n >= max(COMMON_LEAST, len(held) * 10 // COMMON_SHARE)
+        if many.any():
+            found = np.stack((h[many].view(np.int64), n[many]), axis=1).ravel()
+            yield batch([None], [None], [None], [None], [found])
+
+    def batch(ids, n, nodes, digests, common) -> pa.RecordBatch:
+        ids = ids if isinstance(ids, pa.Array) else pa.array(ids, pa.int64())
+        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(digests, pa.binary()), pa.array(common, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "digest", "common"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, seen = [], 0, set()
+        for one in slices(batches):
+            sets = naming.sets(one.column(1))
+            digests = [_digest(s) if len(s) else None for s in sets]
+            yield batch(one.column(0), [len(s) for s in sets], [naming.name(d) if d else None for d in digests], digests, [None] * len(sets))
+            for s, d in zip(sets, digests, strict=True):
+                if d is None or d in seen:
+                    continue
+                seen.add(d)
+                held.append(s)
+                total += len(s)
+                if total >= PACK or len(held) >= 60_000:
+                    yield from tally(held)
+                    held, total, seen = [], 0, set()
+        if held:
+            yield from tally(held)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, digest binary, common array<long>")
+
+
+def named_nodes(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, Naming]:
+    """(doc_id, n_shingles, node) in the shared folder, and the naming by which
+    equal nodes have equal sets.
+
+    The common shingles that the naming carries are at most COMMON_SHARE times
+    the mean set's size (each is in 1 of COMMON_SHARE nodes or COMMON_LEAST)."""
+    naming = Naming(seed)
+    nodes = saved(document_nodes(docs, naming), "jaccard-documents")
+    pairs = nodes.where("common is not null").select(F.explode(F.expr("transform(sequence(0, size(common) div 2 - 1), i -> struct(common[2 * i] as h, common[2 * i + 1] as n))")).alias("pair"))
+    least = F.lit(max(COMMON_LEAST, nodes.where("node is not null").count() // COMMON_SHARE))
+    common = sorted(r["h"] for r in pairs.select("pair.*").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h").collect())
+    naming = Naming(seed, frozenset(), np.sort(np.array(common, np.int64).view(np.uint64)).tobytes())
+    clash = nodes.where("node is not null").groupBy("node").agg(F.min(F.hex("digest")).alias("lo"), F.max(F.hex("digest")).alias("hi")).where("lo <> hi").select("node").limit(MOST_RENAMED + 1).collect()
+    if len(clash) > MOST_RENAMED:
+        raise ValueError(f"over {MOST_RENAMED} names of nodes clash")
+    if clash:
+        naming = Naming(seed, frozenset(r["node"] for r in clash), naming.common)
+        nodes = saved(document_nodes(docs, naming), "jaccard-documents")
+    return nodes.where("common is null").select("doc_id", "n_shingles", "node"), naming
+
+
+def _cut(key: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(range, places) for the ranges of the first ``bits`` bits that occur, each in the order of ``key``."""
+    order = np.argsort(key, kind="stable")
+    top = (key[order] >> np.uint64(64 - bits)).astype(np.int64)
+    found, first = np.unique(top, return_index=True)
+    for b, lo, hi in zip(found.tolist(), first.tolist(), np.append(first, len(top))[1:].tolist(), strict=True):
+        yield b, order[lo:hi]
+
+
+def _packed_index(docs: DataFrame, bits: int, naming: Naming) -> DataFrame:
+    """The inverted index as (bucket, nodes, sizes, owner, step): of each hash range
+    the nodes met, their sizes, and per posting, by shingle, the node's place and the
+    step from the shingle before, in as few bytes as all steps need.  Common shingles
+    have rows of their own, by range of nodes, with no step but the whole shingle."""
+    common = np.frombuffer(naming.common, np.uint64)
+    pack = max(PACK, 16 << bits)  # so that ranges of large indexes hold some postings of each pack
 
     def flush(held: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
-        sizes = np.array([len(s) for s in held], np.int32)
-        h = np.concatenate(held)
-        owner = np.repeat(np.arange(len(held)), sizes)
-        order = np.argsort(h >> np.uint64(64 - bits), kind="stable")
-        h, owner = h[order], owner[order]
-        cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        ids = np.array(nodes, np.int64)
+        sizes, ids = np.array([len(s) for s in held], np.int32), np.array(nodes, np.int64)
+        h, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
         out: list[list] = [[], [], [], [], []]
-        for b in range(1 << bits):
-            lo, hi = cuts[b], cuts[b + 1]
-            if lo == hi:
-                continue
-            used, place = np.unique(owner[lo:hi], return_inverse=True)
-            low = h[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            for column, value in zip(out, (b, ids[used].tobytes(), sizes[used].tobytes(), place.astype("<u2").tobytes(), low.tobytes()), strict=True):
-                column.append(value)
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["bucket", "nodes", "sizes", "owner", "low"])
+
+        def add(*values) -> None:
+            for column, value in zip(out, values, strict=True):
+                column.append(value if isinstance(value, int) else value.tobytes())
+
+        if len(common):
+            past = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+            for b, at in _cut(ids[owner[past]].view(np.uint64), bits):
+                who = owner[past][at]
+                add(b, ids[who], sizes[who], np.empty(0, np.uint8), h[past][at])
+            h, owner = h[~past], owner[~past]
+        for b, at in _cut(h, bits):
+            used, place = np.unique(owner[at], return_inverse=True)
+            step = np.diff(h[at], prepend=np.uint64(b << (64 - bits)))
+            width = max(1, (int(step.max()).bit_length() + 7) // 8)
+            add(b, ids[used], sizes[used], place.astype("<u2"), step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _KINDS, strict=True)], names=["bucket", "nodes", "sizes", "owner", "step"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, nodes, total, seen = [], [], 0, set()
         for batch in slices(batches, "text"):
-            for s in shingle_sets(batch.column(0), WIDTH):
-                node = _node(s) if len(s) else None
+            for s in naming.sets(batch.column(0)):
+                node = naming.name(_digest(s)) if len(s) else None
                 if node is None or node in seen:
                     continue
                 if len(seen) < 200_000:  # spares most copies; the rest are found equal later
@@ -97,27 +192,38 @@ def _packed_index(docs: DataFrame, bits: int) -> DataFrame:
                 held.append(s)
                 nodes.append(node)
                 total += len(s)
-                if total >= PACK or len(held) >= 60_000:
+                if total >= pack or len(held) >= 60_000:
                     yield from flush(held, nodes)
                     held, nodes, total = [], [], 0
         if held:
             yield from flush(held, nodes)
 
-    return docs.select("text").mapInArrow(run, "bucket int, nodes binary, sizes binary, owner binary, low binary")
+    return docs.select("text").mapInArrow(run, "bucket int, nodes binary, sizes binary, owner binary, step binary")
+
+
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each range that a task has got."""
+    by: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            by.setdefault(row[0], []).append(row)
+    while by:
+        yield by.popitem()[1]
 
 
 def _shared_postings(packed: DataFrame, bits: int) -> DataFrame:
-    """Of each hash range the postings of lists with two nodes or more, as
-    (bucket, node, size, h, df) arrays by ranges of nodes."""
-
-    def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        bucket = rows[0][0]
-        low = np.concatenate([np.frombuffer(r[4], np.uint8).reshape(-1, 6) for r in rows])
-        h = np.zeros((len(low), 8), np.uint8)
-        h[:, :6] = low
-        h = h.view("<u8").ravel()
-        node = np.concatenate([np.frombuffer(r[1], np.int64)[np.frombuffer(r[3], "<u2")] for r in rows])
-        size = np.concatenate([np.frombuffer(r[2], np.int32)[np.frombuffer(r[3], "<u2")] for r in rows])
+    """The postings of lists with two nodes or more, as (range, node, size, h, df)
+    arrays by ranges of nodes; common shingles have the largest df."""
+
+    def postings(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        place = np.frombuffer(row[3], "<u2")
+        step = np.zeros((len(place), 8), np.uint8)
+        step[:, : len(row[4]) // len(place)] = np.frombuffer(row[4], np.uint8).reshape(len(place), -1)
+        h = np.cumsum(step.view("<u8").ravel(), dtype=np.uint64) + np.uint64(row[0] << (64 - bits))
+        return h, np.frombuffer(row[1], np.int64)[place], np.frombuffer(row[2], np.int32)[place]
+
+    def listed(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        h, node, size = (np.concatenate(x) for x in zip(*map(postings, rows), strict=True))
         order = np.argsort(h, kind="stable")
         h, node, size = h[order], node[order], size[order]
         same = h[1:] == h[:-1]
@@ -129,27 +235,22 @@ def _shared_postings(packed: DataFrame, bits: int) -> DataFrame:
         h, node, size = h[fresh], node[fresh], size[fresh]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
         df = np.repeat(np.diff(np.append(first, len(h))), np.diff(np.append(first, len(h))))
-        h, node, size, df = (x[df > 1] for x in (h, node, size, df))
-        h = h | np.uint64(bucket) << np.uint64(48)
-        to = node.view(np.uint64) >> np.uint64(64 - bits)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange((1 << bits) + 1, dtype=np.uint64))
-        out: list[list] = [[], [], [], [], []]
-        for b in range(1 << bits):
-            part = order[cuts[b] : cuts[b + 1]]
-            if len(part):
-                for column, value in zip(out, (b, node[part].tobytes(), size[part].tobytes(), h[part].tobytes(), np.minimum(df[part], 2**31 - 1).astype(np.int32).tobytes()), strict=True):
-                    column.append(value)
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["range", "node", "size", "h", "df"])
+        return tuple(x[df > 1] for x in (h, node, size, df))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by.setdefault(row[0], []).append(row)
-        while by:
-            yield from one(by.popitem()[1])
+        for rows in _by_range(batches):
+            found = [r for r in rows if len(r[3])]
+            parts = [listed(found)] if found else []
+            for r in rows:
+                if not len(r[3]):
+                    h = np.frombuffer(r[4], np.uint64)
+                    parts.append((h, np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.int32), np.full(len(h), 2**31 - 1)))
+            h, node, size, df = (np.concatenate(x) for x in zip(*parts, strict=True))
+            out: list[list] = [[], [], [], [], []]
+            for b, at in _cut(node.view(np.uint64), bits):
+                for column, value in zip(out, (b, node[at].tobytes(), size[at].tobytes(), h[at].tobytes(), np.minimum(df[at], 2**31 - 1).astype(np.int32).tobytes()), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _KINDS, strict=True)], names=["range", "node", "size", "h", "df"])
 
     return packed.repartitionById(1 << bits, F.col("bucket")).mapInArrow(run, "range int, node binary, size binary, h binary, df binary")
 
@@ -159,18 +260,17 @@ def _linkable(shared: DataFrame, bits: int) -> DataFrame:
     those shingles in the global order: shorter lists first, then by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by.setdefault(row[0], []).append(row)
-        while by:
-            rows = by.popitem()[1]
+        for rows in _by_range(batches):
             node, size, h, df = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in ((1, np.int64), (2, np.int32), (3, np.uint64), (4, np.int32)))
-            _, start, count = np.unique(node, return_index=True, return_counts=True)
-            keep = np.repeat(count >= -(-3 * size[start].astype(np.int64) // 4), count)
-            order = np.argsort(node, kind="stable")[keep]
+            _, start, each, count = np.unique(node, return_index=True, return_inverse=True, return_counts=True)
+            order = np.flatnonzero((count >= -(-3 * size[start].astype(np.int64) // 4))[each])
             order = order[np.lexsort((h[order], df[order], node[order]))]
             node, size, h = node[order], size[order], h[order]
+            fresh = np.concatenate(([True], (node[1:] != node[:-1]) | (h[1:] != h[:-1]))) if len(node) else np.empty(0, bool)
+            node, size, h = node[fresh], size[fresh], h[fresh]  # common shingles of a node that two tasks have packed
+            _, start, each, count = np.unique(node, return_index=True, return_inverse=True, return_counts=True)
+            keep = (count >= -(-3 * size[start].astype(np.int64) // 4))[each]
+            node, size, h = node[keep], size[keep], h[keep]
             first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.empty(0, np.int64)
             ends = np.append(first, len(node)).astype(np.int64)
             lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))
@@ -241,14 +341,22 @@ def _search_block(members: list[tuple], queries: list[tuple], one_each: bool) ->
 
 
 def _search(queries: DataFrame, members: DataFrame, active: DataFrame, one_each: bool = False) -> DataFrame:
-    """Links (a, b) between the queries and the members of each (block, shard)."""
-    marked = queries.select("block", "shard", "node", F.lit(True).alias("asks")).union(members.select("block", "shard", "node", F.lit(False).alias("asks")))
-    marked = saved(marked, "jaccard-blocks")
+    """Links (a, b) between the queries and the members of each block, both as (block, node).
+
+    A block is cut into shards of its members and slices of its queries, so
+    that no task has more than SHARD of the one and about SLICE of the other."""
+    shards = members.groupBy("block").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    cuts = queries.groupBy("block").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")).join(shards, "block")
+    mine = F.pmod(F.xxhash64("node", F.lit(3)), F.col("shards")).cast("int").alias("shard")
+    members = members.join(cuts, "block").select("block", "node", mine, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("asks"))
+    mine = F.pmod(F.xxhash64("node", F.lit(4)), F.col("slices")).cast("int").alias("slice")
+    queries = queries.join(cuts, "block").select("block", "node", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), mine, F.lit(True).alias("asks"))
+    marked = saved(members.unionByName(queries), "jaccard-blocks")
     few = marked.count() <= MOST_BROADCAST
-    rows = active.join(F.broadcast(marked) if few else marked, "node").select("block", "shard", "asks", "node", "n", "shingles")
+    rows = active.join(F.broadcast(marked) if few else marked, "node").select("block", "shard", "slice", "asks", "node", "n", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members, queries, links = None, [], [], []
+        now, members, queries = None, [], []
 
         def done() -> pa.RecordBatch:
             found = _search_block(members, queries, one_each) if members and queries else []
@@ -256,71 +364,127 @@ def _search(queries: DataFrame, members: DataFrame, active: DataFrame, one_each:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            block, shard, asks, node, n = (batch.column(k).to_pylist() for k in range(5))
-            lists = batch.column(5)
-            for i in range(batch.num_rows):
-                if (block[i], shard[i]) != now or len(queries) >= 4 * SHARD:
-                    if links or queries:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            asks, node, n = (batch.column(k).to_pylist() for k in (3, 4, 5))
+            lists = batch.column(6)
+            for i, key in enumerate(keys):
+                if key != now or len(queries) >= SLICE:
+                    if queries:
                         yield done()
-                    if (block[i], shard[i]) != now:
-                        now, members = (block[i], shard[i]), []
+                    if key != now:
+                        now, members = key, []
                     queries = []
                 (queries if asks[i] else members).append((node[i], n[i], lists[i].values.to_numpy()))
         if queries:
             yield done()
 
-    return rows.repartition("block", "shard").sortWithinPartitions("block", "shard", "asks").mapInArrow(run, "a long, b long")
+    return rows.repartition("block", "shard", "slice").sortWithinPartitions("block", "shard", "slice", "asks").mapInArrow(run, "a long, b long")
 
 
-def _sharded(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(block, node) with a shard each, and (block, shards)."""
-    shards = members.groupBy("block").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-    rows = members.join(shards, "block").select("block", "node", F.pmod(F.xxhash64("node", F.lit(3)), F.col("shards")).cast("int").alias("shard"))
-    return rows, shards
+def _band(size: Column) -> Column:
+    """A quarter of a doubling: sizes of one band differ by a fifth at most."""
+    return F.floor(F.log2(size.cast("double")) * 4).cast("int")
 
 
-def _each_shard(queries: DataFrame, shards: DataFrame) -> DataFrame:
-    return queries.join(shards, "block").select("block", "node", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+def _meetings(here: DataFrame) -> DataFrame:
+    """(block, node): nodes to search for in another component that shares a
+    candidate list with theirs, the smaller component's nodes in the larger.
+
+    ``here`` is (h, node, n, cap, comp).  Two nodes can link over a list only if
+    each one's size is at most the other's cap and at least 3/4 of the other's
+    size; of two caps one at least isn't below its node's own size (strong)."""
+    here = here.withColumn("strong", F.col("cap") >= F.col("n"))
+    size = here.select("comp", "node").distinct().groupBy("comp").count().withColumnRenamed("count", "size")
+    lists = here.groupBy("h", _band(F.col("n")).alias("band"), "strong", "comp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("cap").alias("most_cap"))
+    lists = saved(lists.join(size, "comp"), "jaccard-lists")
+    mixed = lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("strong").alias("any")).where("lo <> hi and any").select("h")
+    lists = lists.select("h", "band", "strong", F.col("comp").alias("block"), F.col("size").alias("block_size"), "least_n", "most_n", "most_cap")
+    asks = here.join(mixed, "h").join(size, "comp")
+    bands = F.sequence(_band(F.ceil(F.col("n") * 3 / 4)), _band(F.least("cap", F.floor(F.col("n") * 4 / 3))))
+    asks = asks.select("h", "node", "n", "cap", "comp", "size", "strong", F.explode(bands).alias("band"))
+    asks = asks.select("*", F.explode(F.when(F.col("strong"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("other")).drop("strong")
+    asks = asks.withColumnRenamed("other", "strong")
+    smaller = "(size < block_size or size = block_size and comp < block)"
+    meet = "4 * most_n >= 3 * n and 4 * n >= 3 * least_n and least_n <= cap and most_cap >= n"
+    return asks.join(lists, ["h", "band", "strong"]).where(f"{smaller} and {meet}").select("block", "node").distinct()
 
 
-def node_components(docs: DataFrame, rounds: int = 2) -> DataFrame | None:
-    """(node, comp) of all nodes that link with another; None if no text has a shingle."""
+def node_links(docs: DataFrame, naming: Naming, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(a, b) links that connect all nodes of each component, and (node, comp) of all nodes linked."""
     parts = docs.rdd.getNumPartitions()
-    bits = min(15, max(4, int(np.ceil(np.log2(max(parts, 1)))) + 1))
-    active = saved(_linkable(_shared_postings(_packed_index(docs, bits), bits), bits), "jaccard-nodes")
+    bits = max(4, int(np.ceil(np.log2(max(parts, 1)))) + 1)
+    active = saved(_linkable(_shared_postings(_packed_index(docs, bits, naming), bits), bits), "jaccard-nodes")
     least = F.ceil(F.col("n") * 3 / 4)
     head = F.slice("shingles", F.lit(1), (F.size("shingles") - least + 1).cast("int"))
     rare = active.select("node", "n", F.size("shingles").alias("shared"), F.posexplode(head).alias("at", "h"))
     # with n - shared + at words passed, 4 n - 7 passed is at least 3 times the size of any set whose first common shingle is here
-    rare = rare.select("h", "node", "n", (4 * F.col("n") - 7 * (F.col("n") - F.col("shared") + F.col("at"))).alias("room"))
-    comps = None
-    links = None
+    cap = F.floor((4 * F.col("n") - 7 * (F.col("n") - F.col("shared") + F.col("at"))) / 3)
+    rare = rare.select("h", "node", "n", cap.alias("cap")).where("4 * cap >= 3 * n")
+    comps = links = None
     for k in range(rounds):
         here = rare if comps is None else rare.join(comps, "node", "left")
         here = here.withColumn("comp", F.col("node") if comps is None else F.coalesce("comp", "node"))
-        rank = F.struct(F.xxhash64("node", F.lit(k)).alias("r"), F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("room").alias("lead_room"), F.col("comp").alias("lead_comp"))
+        rank = F.struct(F.xxhash64("node", F.lit(k)).alias("r"), F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("cap").alias("lead_cap"), F.col("comp").alias("lead_comp"))
         leads = here.groupBy("h").agg(F.min(rank).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "lead.*")
-        near = "4 * least(n, lead_n) >= 3 * greatest(n, lead_n) and room >= 3 * lead_n and lead_room >= 3 * n and comp <> lead_comp"
+        near = "4 * least(n, lead_n) >= 3 * greatest(n, lead_n) and cap >= lead_n and lead_cap >= n and comp <> lead_comp"
         pairs = saved(here.join(leads, "h").where(near).select(F.col("lead").alias("block"), "node").distinct(), "jaccard-stars")
-        members, shards = _sharded(pairs)
-        asked = shards.select("block", F.col("block").alias("node"))
-        found = saved(_search(_each_shard(asked, shards), members, active), "jaccard-links")
+        asked = pairs.select("block", F.col("block").alias("node")).distinct()
+        found = saved(_search(asked, pairs, active), "jaccard-links")
         links = found if links is None else links.union(found)
         comps = connected_components(links)
-    # what two components have in common: every list once per component
     here = rare.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    size = here.select("comp", "node").distinct().groupBy("comp").count().withColumnRenamed("count", "size")
-    lists = here.groupBy("h", "comp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("room").alias("most_room"))
-    mixed = lists.groupBy("h").count().where("count > 1").select("h")
-    meets = here.join(mixed, "h").join(size, "comp").select("h", "node", "n", "room", "comp", "size")
-    other = lists.join(mixed, "h").join(size, "comp").select("h", F.col("comp").alias("block"), F.col("size").alias("block_size"), "least_n", "most_n", "most_room")
-    smaller = "(size < block_size or size = block_size and comp < block)"
-    meet = "4 * most_n >= 3 * n and 4 * n >= 3 * least_n and room >= 3 * least_n and most_room >= 3 * n"
-    queries = saved(meets.join(other, "h").where(f"{smaller} and {meet}").select("block", "node").distinct(), "jaccard-queries")
+    queries = saved(_meetings(here), "jaccard-queries")
     every = active.select("node").join(comps, "node", "left").select(F.coalesce("comp", "node").alias("block"), "node")
-    members, shards = _sharded(every.join(queries.select("block").distinct(), "block", "left_semi"))
-    found = saved(_search(_each_shard(queries, shards), members, active, one_each=True), "jaccard-links")
-    return connected_components(links.union(found))
+    members = every.join(queries.select("block").distinct(), "block", "left_semi")
+    found = saved(_search(queries, members, active, one_each=True), "jaccard-links")
+    links = links.union(found)
+    return links, connected_components(links)
+
+
+def false_links(docs: DataFrame, links: DataFrame, naming: Naming) -> DataFrame:
+    """(a, b) of the links whose texts' shingles, as words, don't reach the threshold."""
+    links = links.distinct()
+    shards = links.groupBy("a").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    ends = links.join(shards, "a").select("a", "b", "shards", F.pmod(F.xxhash64("b"), F.col("shards")).cast("int").alias("shard"))
+    leads = shards.select("a", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.col("a").alias("node"))
+    rows = saved(ends.select("a", "shard", F.col("b").alias("node"), F.lit(1).alias("k")).union(leads.select("a", "shard", "node", F.lit(0).alias("k"))), "jaccard-ends")
+    wanted = rows.select("node").distinct()
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            nodes = [naming.name(_digest(s)) if len(s) else None for s in naming.sets(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0)], names=["node", "text"])
+
+    few = wanted.count() <= MOST_BROADCAST
+    texts = docs.select("text").mapInArrow(name, "node long, text string").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+    texts = texts.groupBy("node").agg(F.min("text").alias("text"))
+    rows = rows.join(texts, "node").select("a", "shard", "k", "node", "text").repartition("a", "shard").sortWithinPartitions("a", "shard", "k")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lead = None, set()
+        for batch in batches:
+            bad: list[tuple[int, int]] = []
+            for a, shard, k, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = exact_shingles(text, WIDTH)
+                if k == 0:
+                    now, lead = (a, shard), own
+                elif now != (a, shard) or 7 * len(lead & own) < 3 * (len(lead) + len(own)):
+                    bad.append((a, node))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in bad], pa.int64()), pa.array([x for _, x in bad], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(check, "a long, b long")
+
+
+def document_components(docs: DataFrame, tries: int = 3) -> tuple[DataFrame, Naming]:
+    """(doc_id, n_shingles, node, comp) of every row whose set isn't empty, and of
+    the others with null for both; and the naming of the nodes."""
+    for seed in range(tries):
+        nodes, naming = named_nodes(docs, seed)
+        links, comps = node_links(docs, naming)
+        if not false_links(docs, links, naming).head(1):
+            linked = nodes.where("node is not null").join(comps, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("comp", "node").alias("comp"))
+            return linked.union(nodes.where("node is null").select("doc_id", "n_shingles", "node", F.col("node").alias("comp"))), naming
+    raise RuntimeError(f"{tries} kinds of hashes have each given a false link")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -331,17 +495,45 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     as documents, but no component is named after them unless all of it are
     such (then it is null); repeated rows give repeated results; an empty table
     gives no rows; further columns are not read."""
-    nodes = saved(document_nodes(docs), "jaccard-documents")
-    comps = node_components(docs)
-    smallest = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
-    named = smallest.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    of_comp = named.groupBy("comp").agg(F.min("doc").alias("component"))
-    of_node = named.join(of_comp, "comp").select("node", "component")
-    rows = nodes.join(of_node, "node", "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    rows, _ = document_components(docs)
+    # written, so that the join's shuffles stand alone and a large component's rows can be dealt to several tasks
+    smallest = saved(rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "jaccard-names")
+    named = rows.where("comp is not null").join(smallest, "comp").select("doc_id", "n_shingles", "component_id")
+    return named.union(rows.where("comp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id."""
-    found = jaccard_components(docs)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    """One row of each component stays, with all its columns: that with the smallest
+    doc_id (null after all others); of rows that agree in doc_id and set, the one
+    with the smallest text.
+
+    Texts without words are linked with nothing, so each such row stays.  Where
+    two texts share a doc_id, each is judged by its own component.  An empty table
+    stays empty; columns may have any names but those that begin with ``_jaccard_``."""
+    rows, naming = document_components(docs)
+    rows = rows.where("node is not null")
+    per = saved(rows.groupBy("comp", "doc_id", "node").count(), "jaccard-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
+    first = saved(per.groupBy("comp").agg(F.min(order).alias("first")), "jaccard-first")
+    marked = per.join(first, "comp").select("doc_id", "node", "count", (order == F.col("first")).alias("stays"))
+    marked = saved(marked.where("not stays or count > 1"), "jaccard-others")
+
+    @F.pandas_udf("long")
+    def name(texts: pd.Series) -> pd.Series:
+        sets = naming.sets(pa.array(texts, pa.string(), from_pandas=True))
+        return pd.Series([naming.name(_digest(s)) if len(s) else None for s in sets], dtype="Int64")
+
+    # rows without words: a key of their own each, that no other has
+    node = F.coalesce("_jaccard_name", F.xxhash64("doc_id"))
+    named = docs.withColumn("_jaccard_name", name("text")).withColumn("_jaccard_node", node).withColumn("_jaccard_empty", F.col("_jaccard_name").isNull())
+    keys = marked.select(F.col("node").alias("_jaccard_right"), F.col("doc_id").alias("_jaccard_id"), F.lit(False).alias("_jaccard_full"), "stays")
+    same = (F.col("_jaccard_node") == F.col("_jaccard_right")) & F.col("doc_id").eqNullSafe(F.col("_jaccard_id")) & (F.col("_jaccard_empty") == F.col("_jaccard_full"))
+    kept = named.join(keys, same, "left_anti").select(*docs.columns)
+    again = keys.where("stays")
+    if not again.head(1):
+        return kept
+    # rows that come several times: the first by text
+    some = docs.join(again.select("_jaccard_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_jaccard_id")), "left_semi").withColumn("_jaccard_name", name("text"))
+    some = some.where("_jaccard_name is not null").withColumn("_jaccard_node", F.col("_jaccard_name")).withColumn("_jaccard_empty", F.lit(False)).join(again, same, "left_semi")
+    k = F.row_number().over(Window.partitionBy("_jaccard_node", "doc_id").orderBy("text"))
+    return kept.union(some.withColumn("_jaccard_k", k).where("_jaccard_k = 1").select(*docs.columns))
