@@ -112,11 +112,42 @@ def test_closest_in_a_shard():
     for which in range(3):
         lists = np.full(len(x), which)
         codes = index.encode(x, lists)
-        for q in range(0, len(x), 50):
+        asked = np.arange(0, len(x), 50)
+        bounds = np.where(asked % 100 == 0, np.inf, 3.0)
+        who, found, score = ivfpq.closest(index, which, x[asked], bounds, ids, x, codes, index.errors(x, lists, codes), 11)
+        for k, q in enumerate(asked):
             d = np.sqrt(np.add.accumulate((x - x[q]) ** 2, axis=1)[:, -1])
             best = np.lexsort((ids, d))[:11]
-            found, score = ivfpq.closest(index, which, x[q], ids, x, codes, index.errors(x, lists, codes), 11)
-            assert found.tolist() == ids[best].tolist() and score.tolist() == d[best].tolist()
+            best = best[d[best] <= bounds[k]]
+            assert found[who == k].tolist() == ids[best].tolist() and score[who == k].tolist() == d[best].tolist()
+
+
+def test_every_list_is_exact(spark, monkeypatch):
+    """Shards, slices, two vector lengths, a repeated id with two vectors, names that clash."""
+    monkeypatch.setattr(ivfpq, "SHARD_ROWS", 40)
+    monkeypatch.setattr(ivfpq, "SLICE", 3)
+    r = np.random.default_rng(9)
+    rows = [(i, r.normal(size=6 if i % 3 else 4).tolist()) for i in range(900)]
+    low, high = sorted([r.normal(size=6).tolist(), r.normal(size=6).tolist()])
+    rows += [(1000, high), (1000, low)]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit(1)).withColumn("list", F.lit("x")).withColumn("v", F.lit(None).cast("int"))
+    found = {}
+    for f in sorted(ivfpq.nearest(df, recall=1).collect(), key=lambda f: f["rank"]):
+        found.setdefault(f["query_id"], []).append(f["vec_id"])
+    x = dict(rows)
+    assert set(found) == {i for i in x if i % 100 == 0}
+    for q, got in found.items():
+        assert got == sorted((i for i in x if i != q and len(x[i]) == len(x[q])), key=lambda i: (sum((a - b) ** 2 for a, b in zip(x[i], x[q], strict=True)), i))[:10]
+
+
+def test_probes_follow_the_clusters():
+    r = np.random.default_rng(3)
+    flat = r.normal(size=(2000, 32))
+    tight = np.repeat(r.normal(size=(40, 32)), 50, axis=0) + 0.01 * r.normal(size=(2000, 32))
+    few, many = (ivfpq.measured_probes(ivfpq.train(x, 40, 8), x, 10, 0.97) for x in (tight, flat))
+    assert few <= 6 and many >= 20
 
 
 def test_no_vectors(spark):
