@@ -109,3 +109,14 @@ def test_open_tail_and_empty_documents(spark, tmp_path):
         blocks = separators.list_blocks(spark, str(tmp_path), step, 4)
         found = separators.stitch(separators.scan_blocks(blocks, 9, "<u4")).orderBy("ordinal").collect()
         assert [(r["ordinal"], r["start"], r["n_tokens"], r["closed"]) for r in found] == [(0, 0, 0, True), (1, 1, 0, True), (2, 2, 2, True), (3, 5, 3, True), (4, 9, 2, False)]
+
+
+def test_small_partitions_cost_no_padding(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 150)
+    rows = [(k % 50, "word " * (3 + 37 * k % 1900)) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(60)
+    got = packing.pack_documents(df, P.path("word_bpe_49k.json")).toPandas().sort_values(["sequence_id", "offset"])
+    by = got.groupby("sequence_id")["length"]
+    assert (by.cumsum() - got["length"] == got["offset"]).all() and by.sum().max() <= 2048
+    assert got["length"].sum() == sum(3 + 37 * k % 1900 + 1 for k in range(300))
+    assert len(by) <= got["length"].sum() / 2048 * 1.02 + 2  # two groups

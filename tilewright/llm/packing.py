@@ -8,8 +8,10 @@ comes closest to what is free; backtracking through the saved bitsets gives how
 often each length is taken.  The same pattern is then used for as many windows
 as the counts allow, so that cost goes with different patterns, not windows.
 
-Every input partition packs its own pieces: no text, token or length is
-shuffled, and at most one badly filled window a partition is the price.
+Every input partition packs its own pieces, so no text or token is shuffled.
+Only windows that come out nearly full stay: the pieces of all others (ids of
+none travel, just where they lie and how long they are) are dealt to groups of
+bounded size and packed again, so small partitions cost no padding.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tilewright.llm.common import slices
+from tilewright.llm.common import saved, slices
 
+#: A window stays as its partition packed it if it lacks 1 / SLACK of its tokens at most; pieces to a group of the others.
+SLACK, GROUP = 128, 200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -141,7 +145,31 @@ def minimum_bin_slack(lengths: np.ndarray, window: int) -> list[tuple[int, dict[
     return out
 
 
+def arrange(length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, offset, tokens of the sequence) of each piece, sequences from 0."""
+    sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+    full = np.flatnonzero(length == window)
+    sequence[full] = np.arange(len(full))
+    used = len(full)
+    rest = np.flatnonzero(length < window)
+    by_length = rest[np.argsort(length[rest], kind="stable")]
+    values, first = np.unique(length[by_length], return_index=True)
+    next_of = dict(zip(values.tolist(), first.tolist(), strict=True))
+    for times, pattern in minimum_bin_slack(length[rest], window):
+        at = 0
+        for size, often in sorted(pattern.items(), reverse=True):
+            k = next_of[size]
+            chosen = by_length[k : k + times * often]
+            next_of[size] = k + times * often
+            sequence[chosen] = used + np.repeat(np.arange(times), often)
+            offset[chosen] = at + size * np.tile(np.arange(often), times)
+            at += size * often
+        used += times
+    return sequence, offset, np.bincount(sequence, length, minlength=used)[sequence]
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
+_FIELDS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = 2048, end_id: int = 1) -> DataFrame:
@@ -153,7 +181,11 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = 2048, end
     sequence_id and offset; an empty table gives no rows."""
     last = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batches_of(doc: pa.Array, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(doc), 50_000):
+            yield pa.RecordBatch.from_arrays([doc[k : k + 50_000], *(pa.array(c[k : k + 50_000], pa.int64()) for c in columns)], names=["doc_id", *_FIELDS])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_file not in _tokenizers:
             _tokenizers[tokenizer_file] = WordTokenizer(tokenizer_file)
         words = _tokenizers[tokenizer_file]
@@ -171,30 +203,25 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = 2048, end
         if not parts:
             return
         pieces = np.concatenate(parts)
-        length = pieces[:, 3]
-        sequence = np.zeros(len(pieces), np.int64)
-        offset = np.zeros(len(pieces), np.int64)
-        full = np.flatnonzero(length == window)
-        sequence[full] = np.arange(len(full))
-        used = len(full)
-        rest = np.flatnonzero(length < window)
-        by_length = rest[np.argsort(length[rest], kind="stable")]
-        values, first = np.unique(length[by_length], return_index=True)
-        next_of = dict(zip(values.tolist(), first.tolist(), strict=True))
-        for times, pattern in minimum_bin_slack(length[rest], window):
-            at = 0
-            for size, often in sorted(pattern.items(), reverse=True):
-                k = next_of[size]
-                chosen = by_length[k : k + times * often]
-                next_of[size] = k + times * often
-                sequence[chosen] = used + np.repeat(np.arange(times), often)
-                offset[chosen] = at + size * np.tile(np.arange(often), times)
-                at += size * often
-            used += times
-        sequence += TaskContext.get().partitionId() << 36
-        for k in range(0, len(pieces), 50_000):
-            p = pieces[k : k + 50_000]
-            columns = [pa.array(p[:, 0], mask=p[:, 1].astype(bool)), *(pa.array(p[:, j]) for j in (2, 3, 4, 5)), pa.array(sequence[k : k + 50_000]), pa.array(offset[k : k + 50_000])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+        sequence, offset, tokens = arrange(pieces[:, 3], window)
+        base = TaskContext.get().partitionId() << 36
+        # a piece whose window isn't full enough has a number of its own, below 0
+        sequence = np.where(window - tokens <= window // SLACK, base + sequence, -1 - base - np.arange(len(pieces)))
+        yield from batches_of(pa.array(pieces[:, 0], mask=pieces[:, 1].astype(bool)), [*(pieces[:, j] for j in (2, 3, 4, 5)), sequence, offset])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held).combine_chunks()
+        columns = [whole.column(name).to_numpy() for name in _FIELDS]
+        order = np.argsort(-columns[4], kind="stable")  # the same whatever order the rows come in
+        sequence, offset, _ = arrange(columns[1][order], window)
+        base = (TaskContext.get().partitionId() << 36) + (1 << 35)
+        doc = whole.column("doc_id").combine_chunks().take(pa.array(order))
+        yield from batches_of(doc, [*(c[order] for c in columns[:4]), base + sequence, offset])
+
+    packed = saved(docs.select("doc_id", "text").mapInArrow(first, SCHEMA), "packed")
+    rest = packed.where("sequence_id < 0")
+    groups = max(1, -(-rest.count() // GROUP))
+    return packed.where("sequence_id >= 0").union(rest.repartition(groups, "sequence_id").mapInArrow(again, SCHEMA))
