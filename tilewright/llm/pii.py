@@ -1,52 +1,68 @@
 """Personal data by weak supervision.
 
 Base spans (e-mail, IP, card, phone) come from fixed patterns and always stay.
-Wider candidates (local phone numbers, spelled-out e-mail addresses, other long
-numbers, names after a title) are judged: labelers of three sorts (regex,
-gazetteer, context) each vote personal, not personal, or nothing; expectation
-maximisation over the counts of vote patterns estimates how reliable each
-labeler is and a probability for each pattern; a logistic classifier trained on
-these probabilities, with shape features that no labeler sees, decides.
-
-Only counts of patterns reach the driver; there are at most ``MOST_PATTERNS`` of
-them whatever the corpus, and they count every candidate of every text.
+Wider candidates (secrets such as tokens and passwords, local phone numbers,
+spelled-out e-mail addresses, other long numbers, names) are judged: labelers of
+three sorts (regex, gazetteer, context) each vote personal, not personal, or
+nothing; for each kind, expectation maximisation over the counts of vote patterns
+of all spans estimates how reliable each labeler is, and a probability for each
+pattern; a logistic classifier over features of the span and its surroundings,
+which don't hold the votes, is trained on these probabilities and alone decides.
+
+The counts of patterns that reach the driver are at most ``len(KINDS) * 2 *
+3**LABELERS``, whatever the corpus; the classifier is fitted to ``TRAIN_SPANS``
+spans of each kind at most, a documented bound, and then judges every span.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import re
+import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import saved
 
-KINDS = ("email", "ip", "card", "phone", "name")
+KINDS = ("email", "ip", "card", "phone", "name", "secret")
+#: Spans of each kind to fit the classifier to at most, and columns of its features.
+TRAIN_SPANS, COLUMNS = 4000, 1024
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+_IP = re.compile(r"([0-9](?<![0-9].)[0-9]*+)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LOCAL_PHONE = re.compile(r"(?<![\w+(.-])\(?[0-9]{3,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{4}(?![\w-]|\.[0-9])")
-_SPELLED = re.compile(r"(?<![\w.])[A-Za-z0-9_-]{2,32} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{2,32} ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z]{2,6}(?!\w)")
-_TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señora?|Sra?)\.? ([A-ZÀ-Þ][\w'-]{1,20}(?: [A-ZÀ-Þ][\w'-]{1,20})?)")
-_HINT = re.compile(r"[0-9@]|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señora?|Sra?)\.? [A-ZÀ-Þ]|[\[(]at[\])]")
+# each begins with a plain set of characters, which is found fast; what must stand before is looked at then
+_LOCAL_PHONE = re.compile(r"[0-9](?<![0-9].)(?:[0-9]{2,3}\)?[ .-][0-9]{3,4}[ .-][0-9]{4}|[0-9]{2}-[0-9]{4})(?![\w-]|\.[0-9])")
+_AT, _AFTER_AT = re.compile(r"[\[(]at[\])]"), re.compile(r" ?[A-Za-z0-9-]++ ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z]++(?!\w)")
+_TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Monsieur", "Madame", "Señor", "Señora", "Sr", "Sra")
+_TITLED = re.compile(r"\b(?:" + "|".join(_TITLES) + r")\b\.? ([A-ZÀ-Þ][\w'-]*+(?: [A-ZÀ-Þ][\w'-]*+)?)")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_-]*+={0,2}(?![\w@])")
+_TOKEN_END = re.compile(r"[A-Za-z0-9+/_-]++")
+_TOKEN_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+_SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "api key", "apikey", "access_key", "access-key", "access key")
+_ASSIGNED = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{6,}+)")
+_PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*+(?:-----END [A-Z ]*PRIVATE KEY-----)?")
+_DIGIT = re.compile("[0-9]")
 
 # fixed values: gazetteers
 TOP_DOMAINS = frozenset("com org net edu gov info io eu de fr es uk it nl ch at be pt us ca au".split())
 CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "351", "352", "353", "358", "420")
 ISSUERS = ("4", "51", "52", "53", "54", "55", "2221", "2720", "34", "37", "6011", "65", "35", "36", "38")
-GIVEN_NAMES = frozenset("James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Hans Peter Klaus Ursula Monika Petra Sabine Andreas Stefan Pierre Michel Jean Marie Nathalie Isabelle Juan Carlos Maria Carmen Luis Pablo Lucia Ana Jose".split())
-NEAR_WORDS = re.compile(r"(?i)\b(?:e-?mail|mail|contact|kontakt|contacto|phone|tel|téléphone|telefon|teléfono|call|mobile|fax|card|karte|carte|tarjeta|visa|ip|address|adresse|dirección|name|nom|nombre)\b")
-FAR_WORDS = re.compile(r"(?i)\b(?:version|v|isbn|issn|doi|sum|total|price|chapter|section|page|token|hash|sha|id|order|invoice|figure|table|license)\b")
-LABELERS = 5
-#: kinds x base or not x three votes of five labelers x shapes
-MOST_PATTERNS = len(KINDS) * 2 * 3**LABELERS * 4
+GIVEN_NAMES = tuple("James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Hans Peter Klaus Ursula Monika Petra Sabine Andreas Stefan Pierre Michel Jean Marie Nathalie Isabelle Juan Carlos Maria Carmen Luis Pablo Lucia Ana Jose".split())
+_TWO_NAMES = re.compile("(" + "|".join(GIVEN_NAMES) + r") [A-ZÀ-Þ][\w'-]*+")
+#: what announces each kind, in the order of KINDS
+NEAR_WORDS = [re.compile(rf"(?i)\b(?:{w})\b") for w in ("e-?mail|mail|contact|kontakt|contacto|write to", "ip|address|adresse|host|server|client", "card|karte|carte|tarjeta|visa|credit", "phone|tel|téléphone|telefon|teléfono|call|mobile|fax", "name|nom|nombre|signed|author|regards", "token|secret|password|passwd|pwd|key|bearer|credentials?|authorization")]
+FAR_WORDS = re.compile(r"(?i)\b(?:version|v|isbn|issn|doi|sum|total|price|chapter|section|page|hash|sha|sha1|sha256|md5|checksum|digest|commit|revision|order|invoice|figure|table|license|uuid)\b")
+KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk-", "sk_live_", "pk_live_", "AIza", "eyJ", "-----BEGIN")
+LABELERS = 6
 
 
 def luhn(digits: str) -> bool:
@@ -87,65 +103,139 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _long_tokens(text: str) -> Iterator[tuple[int, int, int]]:
+    """Runs of 16 letters, digits, +, /, _ and - at least, of letters and digits both, by their digits."""
+    at = _DIGIT.search(text)
+    last = 0
+    while at:
+        start = at.start()
+        while start > last and text[start - 1] in _TOKEN_CHARACTERS:
+            start -= 1
+        m = _TOKEN.match(text, at.start())
+        if m and m.end() - start >= 16 and (not start or text[start - 1] not in ".@=") and any(c.isalpha() for c in text[start : m.end()]):
+            yield start, 5, m.end()
+        last = m.end() if m else _TOKEN_END.match(text, at.start()).end()
+        at = _DIGIT.search(text, last)
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """Wider candidates, (start, kind, end)."""
-    out = [(m.start(), 3, m.end()) for m in _LOCAL_PHONE.finditer(text)]
-    out += [(m.start(), 0, m.end()) for m in _SPELLED.finditer(text)]
-    out += [(m.start(1), 4, m.end(1)) for m in _TITLED.finditer(text)]
+    out, last = list(_long_tokens(text)), 0
+    for m in _LOCAL_PHONE.finditer(text):
+        start = m.start() - (text[m.start() - 1 : m.start()] == "(")
+        before = text[start - 1 : start] if start else ""
+        if not (before.isalnum() or before in "_+(.-" and before):
+            out.append((start, 3, m.end()))
     out += [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if 12 <= sum(c.isdigit() for c in m[0]) <= 19]
+    for m in _AT.finditer(text):
+        stop = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        start = stop
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        after = _AFTER_AT.match(text, m.end()) if start < stop else None
+        if after:
+            out.append((start, 0, after.end()))
+            last = after.end()
+    if any(t in text for t in _TITLES):
+        out += [(m.start(1), 4, m.end(1)) for m in _TITLED.finditer(text)]
+    out += [(m.start(), 4, m.end()) for m in _TWO_NAMES.finditer(text) if not text[m.start() - 1 : m.start()].isalnum() or not m.start()]
+    low = text.lower()
+    low = low if len(low) == len(text) else text  # where lower case is longer, the words are looked for as they stand
+    for word in _SECRET_WORDS:
+        at = low.find(word)
+        while at >= 0:
+            m = _ASSIGNED.match(text, at + len(word))
+            if m:
+                out.append((m.start(1), 5, m.end(1)))
+            at = low.find(word, at + len(word))
+    if "PRIVATE KEY" in text:
+        out += [(m.start(), 5, m.end()) for m in _PRIVATE_KEY.finditer(text)]
     return out
 
 
+def _entropy(span: str) -> float:
+    """Bits a character, of the span's first 256."""
+    n = np.unique(np.frombuffer(span[:256].encode("utf-32-le"), np.uint32), return_counts=True)[1]
+    return float(-(n / n.sum() * np.log2(n / n.sum())).sum())
+
+
 def votes(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
     """What each labeler says of a span: 1 personal, -1 not, 0 nothing.
 
     0 regex: a strict form of the kind. 1 gazetteer: top domains, calling codes,
-    card issuers, given names. 2 regex: stands alone, not inside a longer token.
-    3 context: a word that announces such data. 4 context: one that announces other numbers."""
+    card issuers, given names, prefixes of keys. 2 regex: stands alone, not inside
+    a longer token. 3 context: a word that announces the kind. 4 context: one that
+    announces other numbers. 5 statistic: check digit, number of digits, entropy."""
     span = text[start:end]
     digits = "".join(c for c in span if "0" <= c <= "9")
     if kind == 0:
-        strict = 1 if re.fullmatch(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}", span) else 0
-        known = 1 if span.rpartition(".")[2].strip().lower() in TOP_DOMAINS else -1
+        strict = 1 if re.fullmatch(r"[\w.%+-]++(?:@| ?[\[(]at[\])] ?).+", span) else 0
+        top = re.split(r"[.\])]", span)[-1].strip().lower()
+        known, sum_ok = (1, 1) if top in TOP_DOMAINS else (-1, 0)
     elif kind == 1:
         parts = span.split(".")
         strict = -1 if any(len(p) > 1 and p[0] == "0" for p in parts) else 1
-        known = -1 if parts[0] in ("0", "255") else 0
+        known, sum_ok = (-1 if parts[0] in ("0", "255") else 0), 0
     elif kind == 2:
-        strict = 1 if 13 <= len(digits) <= 19 and luhn(digits) else -1
-        known = 1 if digits.startswith(ISSUERS) else -1
+        right = luhn(digits)
+        strict = 1 if 13 <= len(digits) <= 19 and right else -1
+        known, sum_ok = (1 if digits.startswith(ISSUERS) else -1), (1 if right else -1)
     elif kind == 3:
         strict = 1 if span[0] == "+" or re.fullmatch(r"\([0-9]{3,4}\) [0-9]{3,4}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}", span) else -1
-        known = 1 if span[0] == "+" and digits.startswith(CALLING_CODES) else 0
-    else:
+        known, sum_ok = (1 if span[0] == "+" and digits.startswith(CALLING_CODES) else 0), (1 if len(digits) >= 9 else -1)
+    elif kind == 4:
         strict = 1 if " " in span else 0
-        known = 1 if span.split(" ")[0] in GIVEN_NAMES else -1
+        known, sum_ok = (1 if span.split(" ")[0] in GIVEN_NAMES else -1), 0
+        if text[max(0, start - 6) : start].rstrip(". ").endswith(_TITLES):
+            sum_ok = 1
+    else:
+        strict = 1 if re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}|[A-Za-z0-9+/_-]{32,}={0,2}", span) else 0
+        known = 1 if span.startswith(KEY_PREFIXES) else 0
+        bits = _entropy(span)
+        sum_ok = 1 if bits >= 3.2 else -1 if bits < 2.5 else 0
     before, after = text[start - 1 : start] if start else "", text[end : end + 1]
-    alone = -1 if before.isalnum() or after.isalnum() or before in "=#/\\_" and before else 1
+    alone = -1 if before.isalnum() or after.isalnum() or before in "#/\\_&?" and before else 1
     near = text[max(0, start - 40) : start]
-    return strict, known, alone, 1 if NEAR_WORDS.search(near) else 0, -1 if FAR_WORDS.search(near) else 0
+    return strict, known, alone, 1 if NEAR_WORDS[kind].search(near) else 0, -1 if FAR_WORDS.search(near) else 0, sum_ok
+
+
+def _class(c: str) -> str:
+    return "" if not c else "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else "_" if c.isspace() else c
 
 
-def scan(text: str) -> list[tuple[int, int, int, bool, str]]:
-    """All spans and candidates of a text: (start, kind, end, base, pattern)."""
-    if not _HINT.search(text):
-        return []
+def features(text: str, start: int, kind: int, end: int) -> list[int]:
+    """Columns of the classifier that are on for a span: its length, characters and
+    shape, and what stands around it."""
+    span = text[start:end]
+    head = span[:64]
+    n = len(head)
+    runs = re.sub(r"(.)\1+", r"\1", "".join(map(_class, head)))
+    word = re.findall(r"\w+", text[max(0, start - 24) : start].lower())[-1:]
+    said = (
+        f"len{min(len(span), 64) // 4}", f"digits{4 * sum(c.isdigit() for c in head) // n}", f"upper{4 * sum(c.isupper() for c in head) // n}",
+        f"entropy{int(2 * _entropy(span))}", f"shape{runs[:12]}", f"before{_class(text[start - 1 : start] if start else '')}{_class(text[start - 2 : start - 1] if start > 1 else '')}",
+        f"after{_class(text[end : end + 1])}", f"word{word}", f"first{head[0] if head[0].isdigit() else _class(head[0])}",
+        f"check{luhn(''.join(c for c in head if '0' <= c <= '9'))}", "",
+    )
+    return [zlib.crc32(f"{kind}:{x}".encode()) % COLUMNS for x in said]
+
+
+def scan(text: str) -> list[tuple[int, int, int, bool, str, list[int]]]:
+    """All spans and candidates of a text: (start, kind, end, base, votes, features)."""
     base = base_spans(text)
     taken = set(base)
     ends = [0]  # ends[k]: how far the first k base spans reach
     for span in base:
         ends.append(max(ends[-1], span[2]))
     kept, last = [], -1
-    for c in sorted(candidates(text)):  # those clear of base spans; the leftmost where candidates overlap
+    for c in sorted(candidates(text), key=lambda c: (c[0], -c[2], c[1])):  # those clear of base spans; the leftmost and longest where candidates overlap
         before = bisect.bisect_left(base, (c[2],))
         if c[0] >= last and ends[before] <= c[0]:
             kept.append(c)
             last = c[2]
     out = []
     for s, k, e in [*base, *kept]:
-        is_base = (s, k, e) in taken
-        shape = ("L" if e - s > 16 else "S") + ("T" if any(c in " -()" for c in text[s:e]) else "J")
-        out.append((s, k, e, is_base, f"{k}|{int(is_base)}|{','.join(map(str, votes(text, s, k, e)))}|{shape}"))
+        out.append((s, k, e, (s, k, e) in taken, ",".join(map(str, votes(text, s, k, e))), features(text, s, k, e)))
     return sorted(out)
 
 
@@ -186,44 +276,66 @@ def fit_classifier(features: np.ndarray, target: np.ndarray, counts: np.ndarray,
     return w
 
 
-def accepted_patterns(counts: dict[str, int], threshold: float = 0.9) -> list[str]:
-    """The patterns of candidates that the final classifier takes for personal data."""
-    if not counts:
-        return []
-    names = sorted(counts)
-    rows = [n.split("|") for n in names]
-    said = np.array([[int(v) for v in r[2].split(",")] for r in rows])
-    n = np.array([counts[x] for x in names], float)
-    p = fit_labelers(said, n)
-    one_hot = [[float(r[0] == str(k)) for k in range(len(KINDS))] + [float("L" in r[3]), float("T" in r[3])] for r in rows]
-    features = np.hstack([np.array(one_hot), said])
-    w = fit_classifier(features, p, n)
-    q = 1 / (1 + np.exp(-np.clip(np.hstack([features, np.ones((len(names), 1))]) @ w, -30, 30)))
-    # a span needs the classifier, more labelers for it than against it, two at least, and no strict form that it fails
-    return [x for x, r, s, v in zip(names, rows, q, said, strict=True) if r[1] == "0" and s >= threshold and (v > 0).sum() >= 2 and v.sum() > 0 and v[0] >= 0]
+@dataclass(frozen=True)
+class Classifier:
+    """Weights by column, the bias last."""
+
+    weights: tuple[float, ...]
+    least: float = 0.5
+
+    def takes(self, columns: list[int]) -> bool:
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.weights[-1] + sum(self.weights[c] for c in columns))))) >= self.least
+
+
+def pattern_probabilities(counts: dict[tuple[int, str], int]) -> dict[tuple[int, str], float]:
+    """The probability of ``personal`` for each (kind, votes), by expectation maximisation within each kind."""
+    out = {}
+    for kind in range(len(KINDS)):
+        mine = sorted(v for k, v in counts if k == kind)
+        if mine:
+            p = fit_labelers(np.array([[int(x) for x in v.split(",")] for v in mine]), np.array([counts[kind, v] for v in mine], float))
+            out |= {(kind, v): float(q) for v, q in zip(mine, p, strict=True)}
+    return out
+
+
+def fit_spans(spans: list[tuple[list[int], float]]) -> Classifier:
+    """The classifier for (columns, probability) of spans."""
+    weights = np.zeros(COLUMNS + 1)
+    if spans:
+        used = sorted({c for columns, _ in spans for c in columns})
+        place = {c: k for k, c in enumerate(used)}
+        x = np.zeros((len(spans), len(used)))
+        for row, (columns, _) in enumerate(spans):
+            x[row, [place[c] for c in columns]] = 1
+        w = fit_classifier(x, np.array([p for _, p in spans]), np.ones(len(spans)))
+        weights[used], weights[-1] = w[:-1], w[-1]
+    return Classifier(tuple(weights.tolist()))
 
 
-_FOUND = "array<struct<start:bigint,kind_no:int,end:bigint,base:boolean,pattern:string>>"
+_FOUND = "array<struct<start:bigint,kind_no:int,end:bigint,base:boolean,votes:string,features:array<int>>>"
 
 
 def find_candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, found): every base span and candidate of each whole text."""
-    import pyarrow.compute  # noqa: F401
-
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("kind_no", pa.int32()), ("end", pa.int64()), ("base", pa.bool_()), ("pattern", pa.string())]))
+    names = ("start", "kind_no", "end", "base", "votes", "features")
+    kind = pa.list_(pa.struct(list(zip(names, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.int32())), strict=True))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[dict(zip(("start", "kind_no", "end", "base", "pattern"), s, strict=True)) for s in scan(t or "")] for t in batch.column(1).to_pylist()]
+            found = [[dict(zip(names, s, strict=True)) for s in scan(t or "")] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "found"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, found {_FOUND}")
 
 
-def train(found: DataFrame) -> list[str]:
-    """Pattern counts over all candidates, then the classifier's decisions."""
-    counts = found.select(F.explode("found.pattern").alias("pattern")).groupBy("pattern").count()
-    return accepted_patterns({r["pattern"]: r["count"] for r in counts.limit(MOST_PATTERNS + 1).collect()})
+def train(found: DataFrame) -> Classifier:
+    """Counts the vote patterns of all spans, then fits the classifier to a bounded sample of each kind."""
+    spans = saved(found.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.*"), "pii-spans")
+    counts = {(r["kind_no"], r["votes"]): r["count"] for r in spans.groupBy("kind_no", "votes").count().collect()}
+    p = pattern_probabilities(counts)
+    order = Window.partitionBy("kind_no").orderBy(F.xxhash64("doc_id", "start", "end"), "doc_id", "start", "end")  # the limit is applied before rows are shuffled
+    sample = spans.withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_SPANS).select("kind_no", "votes", "features").collect()
+    return fit_spans([(r["features"], p[r["kind_no"], r["votes"]]) for r in sample])
 
 
 def _equals(value: int) -> Callable[[Column], Column]:
@@ -240,20 +352,26 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     Null and empty texts, and texts without any, have counts 0 and empty
     strings; repeated rows give repeated results; an empty table gives no rows;
-    further columns are not read."""
+    further columns are not read.  ``n_added`` counts the spans beside base ones."""
     found = saved(find_candidates(docs), "pii-found")
-    accepted = train(found)
+    model = train(found)
+    weights = F.array(*map(F.lit, model.weights[:-1]))
+    logit = math.log(model.least / (1 - model.least))
     base = F.filter("found", lambda s: s["base"])
-    kept = F.filter("found", lambda s: s["base"] | s["pattern"].isin(accepted)) if accepted else base
+    kept = F.filter("found", lambda s: s["base"] | (F.aggregate(s["features"], F.lit(model.weights[-1]), lambda a, c: a + F.element_at(weights, c + 1)) >= logit))
     kinds = F.transform(base, lambda s: s["kind_no"])
     n = [F.size(F.filter(kinds, _equals(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
-    return found.select("doc_id", *n, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(kept).alias("spans"))
+    added = (F.size(kept) - F.size(base)).cast("long").alias("n_added")
+    return found.select("doc_id", *n, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(kept).alias("spans"), added)
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in brackets, all other
-    columns as they are.  Overlapping spans are masked as one, by the first's kind."""
-    accepted = frozenset(train(find_candidates(docs)))
+    columns as they are.  Overlapping spans are masked as one, by the first's kind.
+
+    Null texts stay null and empty ones empty; repeated rows are masked alike; an
+    empty table stays empty; columns may have any names."""
+    model = train(find_candidates(docs))
 
     @F.pandas_udf("string")
     def mask(texts):
@@ -261,8 +379,8 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
             if text is None:
                 return None
             out, last = [], 0
-            for start, kind, end, base, pattern in scan(text):
-                if not base and pattern not in accepted:
+            for start, kind, end, base, _, columns in scan(text):
+                if not base and not model.takes(columns):
                     continue
                 if start >= last:
                     out += [text[last:start], f"[{KINDS[kind].upper()}]"]
