@@ -30,6 +30,52 @@ def test_text_beside_the_best_container():
     assert html_text.extract(f"<body><h1>Title</h1><article>{a}</article><p>Not, of it</p></body>").startswith("A")
 
 
+def test_names_inside_an_article():
+    page = "<article><header><h1>T</h1></header><p class=byline>By Ann</p><p>" + "long text, " * 10 + "</p><p id=legal>legal text</p><div class=share>Share it</div><section id=related-work><h2>Related work</h2><p>words words</p></section><p>x <math><mi>E</mi><mo>=</mo><mn>1</mn></math> y</p><div class=related-posts><p>Other, very, nice</p></div><aside>side</aside></article>"
+    assert html_text.extract(page).split("\n\n") == ["T", "By Ann", ("long text, " * 10).strip(), "legal text", "Related work", "words words", "x E=1 y"]
+
+
+@pytest.mark.parametrize("frame", ["article", "main", "wrap"])
+def test_every_block_of_the_text_survives(frame):
+    """Generated pages: every block of the text comes out, in order, and nothing else."""
+    import random
+
+    r = random.Random(frame)
+    for n in range(150):
+        number = iter(range(1000))
+        said = lambda k: f"b{next(number)} " + " ".join("word" + "," * (r.random() < 0.2) for _ in range(k))
+        want, parts = [], []
+
+        def add(tag, text, want=want, parts=parts):
+            want.append(text)
+            parts.append(f"<{tag}>{text}</{tag}>")
+
+        add("h1", said(4))
+        for k in range(r.randrange(4, 10)):
+            kind = r.choice(["p", "p", "p", "h2", "ul", "table", "blockquote", "pre", "section", "junk"]) if k else "p"
+            if kind == "ul":
+                items = [said(r.randrange(1, 6)) for _ in range(r.randrange(1, 5))]
+                want.extend(items)
+                parts.append("<ul>" + "".join(f"<li>{i}" for i in items) + "</ul>")
+            elif kind == "table":
+                cells = [said(2) for _ in range(4)]
+                want.extend(cells)
+                parts.append("<table><tr>" + "<tr>".join(f"<td>{a}<td>{b}" for a, b in zip(cells[::2], cells[1::2])) + "</table>")
+            elif kind == "section":
+                parts.append("<div>")
+                add("h2", said(3))
+                add("p", said(30))
+                parts.append("</div>")
+            elif kind == "junk":
+                parts.append(r.choice(["<div class=ad>Buy, now, and, more, things, today</div>", "<script>var a = '</p>'</script>", "<form>Name <input></form>", "<div class='social-share'>Share</div>", "<aside>Beside, this</aside>"]))
+            else:
+                add(kind, said(r.randrange(30, 60) if kind == "p" and k == 0 else r.randrange(3, 40)))
+        body = "".join(parts)
+        body = f"<{frame}>{body}</{frame}>" if frame != "wrap" else f"<div class=wrap>{body}</div>"
+        page = f"<html><body><header>Site</header><nav><a href=/>Home</a></nav>{body}<div class=comments><p>I, think, this, is, a, long, comment</p></div><footer>Foot</footer></body></html>"
+        assert html_text.extract(page).split("\n\n") == want, (n, page)
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 3), (2, None, None, 3), (2, None, None, 3)], "page_id long, url string, html string, text int")
     rows = html_text.main_text(pages).collect()

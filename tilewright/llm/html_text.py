@@ -25,12 +25,18 @@ _ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 _SPACE = re.compile(r"\s+")
 
 # fixed values: the elements' roles
-RAW = frozenset(("script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "canvas", "xmp", "noframes", "noembed", "title"))
+RAW = frozenset(("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "xmp", "noframes", "noembed", "title"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
-DROPPED = RAW | frozenset(("head", "nav", "footer", "aside", "form", "button", "select", "option", "label", "fieldset", "dialog", "menu", "audio", "video", "map", "input", "datalist", "progress", "meter"))
-INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "ruby", "rt", "rp"))
+DROPPED = RAW | frozenset(("head", "nav", "footer", "aside", "form", "button", "select", "option", "annotation", "annotation-xml", "label", "fieldset", "dialog", "menu", "audio", "video", "map", "input", "datalist", "progress", "meter"))
+INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "ruby", "rt", "rp", "math", "mrow", "mi", "mn", "mo", "mtext", "ms", "msub", "msup", "msubsup", "mfrac", "msqrt", "mroot", "munder", "mover", "munderover", "mtable", "mtr", "mtd", "mspace", "mstyle", "semantics", "mfenced", "mpadded"))
 CLOSES_P = frozenset(("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"))
 PARAGRAPHS = frozenset(("p", "pre", "td", "blockquote", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt", "figcaption"))
+#: inside an article names that only may mean boilerplate don't count: bylines, legal texts, tags and sections on related work are its own
+_NOT_IN_ARTICLE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|crumbs|pagination|pager|"
+    r"sidebar\w*|widget\w*|footer\w*|toolbar|share\w*|sharing|social\w*|comments?|commentlist|disqus|respond|reply|replies|skip\w*|hidden)(?=$|[\s_-])|(?:^|\s)(?:related|recommend\w*)(?:$|\s|[_-](?:posts?|articles?|stor\w+|links?|content|topics?|news|items?|pages?|reading)(?=$|[\s_-]))",
+    re.IGNORECASE,
+)
 _NOT_MAIN = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|crumbs|pagination|pager|"
     r"sidebar\w*|side|aside|rail|widget\w*|footer\w*|foot|header|masthead|topbar|toolbar|share\w*|sharing|social\w*|related\w*|recommend\w*|comments?|commentlist|disqus|respond|reply|replies|discussion|skip\w*|hidden|legal|copyright|tags?|byline|meta)(?=$|[\s_-])",
@@ -49,7 +55,7 @@ class Node:
         self.score, self.length, self.links, self.commas = 0.0, 0, 0, 0
 
 
-def _judge(tag: str, attributes: str) -> float | None:
+def _judge(tag: str, attributes: str, inside: bool = False) -> float | None:
     """A weight by class, id and role; None if the element is never main text."""
     if tag in DROPPED:
         return None
@@ -61,7 +67,7 @@ def _judge(tag: str, attributes: str) -> float | None:
         return None
     if re.search(r"(?i)(?:^|\s)hidden(?:\s|=|$)", re.sub(_ATTRIBUTE, " ", attributes)):
         return None
-    if _NOT_MAIN.search(names) and tag not in INLINE:
+    if (_NOT_IN_ARTICLE if inside else _NOT_MAIN).search(names) and tag not in INLINE:
         return None if not _MAIN.search(names) or _STRONG.search(names) else -25.0
     return 25.0 if _MAIN.search(names) else 0.0
 
@@ -122,7 +128,7 @@ def parse(page: str) -> Node:
             if tag in ("br", "hr", "img"):
                 here.children.append(Node(tag, here))
             continue
-        weight = _judge(tag, attributes)
+        weight = _judge(tag, attributes, article_depth > 0)
         if tag == "header" and not article_depth:
             weight = None
         if weight is None:
