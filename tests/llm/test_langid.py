@@ -54,3 +54,38 @@ def test_nulls(spark, documents, none):
     assert langid.identify(none).count() == 0
     kept = {r["doc_id"] for r in langid.keep_known(documents).collect()}
     assert 0 in kept and not kept & {4, 5, 6}
+
+
+def test_pooling_is_the_mean_over_letters():
+    """Brute force: each window by itself, each letter counted once."""
+    net = langid.new_network(["a", "b", "c"], 4)
+    texts = ["one, two 3 four" * 20, "é" * 70, "...", "x"]
+    got = langid.label_bytes(net, *string_bytes(pa.array(texts)))
+    for row, t in zip(got, texts, strict=True):
+        raw, total, n = np.frombuffer(t.encode(), np.uint8), np.zeros(3), 0
+        for k in range(0, len(raw), 64):
+            part = np.full((64, 1), 32, np.intp)
+            part[: len(raw[k : k + 64]), 0] = raw[k : k + 64]
+            prob = net.probabilities(part)[:, :, 0]
+            for j, c in enumerate(raw[k : k + 64]):
+                if bytes([c]).isalpha() or c >= 128:
+                    total, n = total + prob[:, j], n + 1
+        assert np.allclose(row, total / max(n, 1), atol=1e-4)
+
+
+def test_windows_agree_with_one_pass(spark):
+    """Starting anew every 64 bytes decides as one unbroken pass over the text does."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").select("text", "lang").collect()
+    net = langid.train([r["text"][:600] for r in rows[:120]], [r["lang"] for r in rows[:120]])
+    rest = [r["text"][:4000] for r in rows[120:]]
+    windows = langid.label_bytes(net, *string_bytes(pa.array(rest))).argmax(axis=1)
+    whole = np.array([langid.label_bytes(net, *string_bytes(pa.array([t])), window=len(t.encode()))[0].argmax() for t in rest])
+    assert (windows == whole).mean() >= 0.97
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    """More languages than the total has rows for: one row of each at least."""
+    monkeypatch.setattr(langid, "SAMPLE_TOTAL", 30)
+    rows = [(k, f"text {k}", f"l{k % 40}") for k in range(2000)]
+    texts, labels = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(labels) == sorted(f"l{k}" for k in range(40))

@@ -1,7 +1,7 @@
 """Language of whole texts by a bidirectional gated recurrent network over bytes.
 
-The network reads a text's UTF-8 bytes in windows, forwards and backwards, and
-gives every position a probability for each language; a document's probabilities
+The network reads a text's UTF-8 bytes in windows of 64, forwards and backwards
+(its state starts anew in each, so a text's windows run side by side), and gives every position a probability for each language; a document's probabilities
 are the mean over its letters.  It is trained here, in numpy, by backpropagation
 through time, on a bounded sample of labelled rows.  Whole texts are labelled on
 the executors, many windows at a time.
@@ -18,21 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import slices
+from tilewright.llm.common import saved, slices
 from tilewright.llm.shingles import string_bytes
 
-#: Training rows per language at most, characters of each that are used, and languages at most.
-SAMPLE_ROWS, SAMPLE_CHARS, MOST_LANGUAGES = 400, 600, 200
+#: Training rows per language and in all at most (one of each language always), and characters of each that are used.
+SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_CHARS = 400, 80_000, 600
+#: Languages whose shares may be broadcast, checked by a count.
+MOST_BROADCAST = 10_000
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def _hard(x: np.ndarray) -> np.ndarray:
-    """A piecewise linear sigmoid: cheap, and exact to differentiate."""
-    return np.clip(0.25 * x + 0.5, 0, 1)
-
-
 def _by_byte(windows: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of rows by the byte at their position."""
     flat = windows.reshape(-1)
@@ -160,13 +157,16 @@ def new_network(languages: list[str], hidden: int, seed: int = 11) -> Network:
     return Network(languages, {k: v.astype(np.float32) for k, v in p.items()})
 
 
-def train(texts: list[str], labels: list[str], hidden: int = 8, window: int = 48, batch: int = 128, steps: int = 300, rate: float = 0.02, seed: int = 11) -> Network | None:
-    """Fits a network to labelled snippets with Adam; None without any."""
+def train(texts: list[str], labels: list[str], hidden: int | None = None, window: int = 48, batch: int = 128, steps: int | None = None, rate: float = 0.02, seed: int = 11) -> Network | None:
+    """Fits a network to labelled snippets with Adam; None without any.  Hidden
+    units and steps grow with the number of languages unless they are given."""
     raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
     usable = [k for k, t in enumerate(raw) if _LETTER[t].any()]
     if not usable:
         return None
     languages = sorted({labels[k] for k in usable})
+    hidden = hidden or min(64, 8 + max(0, len(languages) - 8) // 2)
+    steps = steps or 300 + 30 * max(0, len(languages) - 8)
     of = [np.array([k for k in usable if labels[k] == name]) for name in languages]
     net, r = new_network(languages, hidden, seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -218,21 +218,24 @@ def label_bytes(net: Network, raw: np.ndarray, at: np.ndarray, window: int = 64,
 
 
 def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """At most SAMPLE_ROWS snippets of SAMPLE_CHARS characters for each language,
-    from rows that aren't held out, of the MOST_LANGUAGES most frequent languages: rows by the hash of doc_id, snippets from
-    anywhere in the text.  The bounds are parameters, not shares of the input."""
+    """At most SAMPLE_ROWS snippets of SAMPLE_CHARS characters of each language, fewer
+    where SAMPLE_TOTAL is reached, from rows that aren't held out: rows by the hash
+    of doc_id, snippets from anywhere in the text.  The bounds are parameters, not
+    shares of the input, and no language is left out."""
     rows = docs.where("lang is not null and text is not null and doc_id is not null and length(text) > 0").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     top = 1 << 40
     key = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(top))
     at = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     # a share of each language first, so that what is sorted doesn't grow with the number of tasks
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    share = counts.select("lang", F.least(F.lit(float(top)), 4.0 * SAMPLE_ROWS / F.col("count") * top).alias("below"))
-    rows = rows.withColumn("key", key).join(F.broadcast(share), "lang").where("key < below")
+    counts = saved(rows.groupBy("lang").count(), "language-counts")
+    languages = counts.count()
+    each = max(1, min(SAMPLE_ROWS, SAMPLE_TOTAL // max(languages, 1)))
+    share = counts.select("lang", F.least(F.lit(float(top)), (4.0 * each + 40) / F.col("count") * top).alias("below"))
+    rows = rows.withColumn("key", key).join(F.broadcast(share) if languages <= MOST_BROADCAST else share, "lang").where("key < below")
     rows = rows.select("lang", "doc_id", "key", F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS)).alias("snippet"))
     first = Window.partitionBy("lang").orderBy("key", "doc_id", "snippet")
-    chosen = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE_ROWS)
-    found = chosen.select("lang", "snippet").orderBy("k", "lang").limit(SAMPLE_ROWS * MOST_LANGUAGES).collect()
+    chosen = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each)
+    found = chosen.select("lang", "snippet").orderBy("k", "lang").collect()
     return [r["snippet"] for r in found], [r["lang"] for r in found]
 
 
@@ -268,10 +271,16 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(*training_sample(docs)))
 
 
-def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
+def keep_known(docs: DataFrame, least: float | None = None) -> DataFrame:
     """The documents whose language is known with a score of ``least`` at least;
-    all columns stay.  Texts that are null or have no letter go."""
+    all columns stay.  Texts that are null or have no letter go.  Unless given,
+    ``least`` is 1.6 times what each language would get by chance, 0.4 at most.
+
+    Repeated rows are judged alike; an empty table stays empty; columns may have
+    any names."""
     net = train(*training_sample(docs))
+    if least is None:
+        least = min(0.4, 1.6 / len(net.languages)) if net else 0.4
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
