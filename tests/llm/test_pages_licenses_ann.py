@@ -83,22 +83,44 @@ def test_pages(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
-def test_licenses(spark, documents, none):
+def assert_equal_to_sql(spark, rows):
     con = duckdb.connect()
-    frame = documents.select("doc_id", "text").toPandas()  # noqa: F841
-    con.execute("create table documents as select doc_id, case when typeof(text) = 'VARCHAR' then text end as text from frame")
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
     want = con.execute(licenses.oracle_sql()).fetchall()
-    got = [tuple(r) for r in licenses.scan_licenses(documents).collect()]
+    got = [tuple(r) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_licenses(spark, documents, none):
+    assert_equal_to_sql(spark, [tuple(r) for r in documents.select("doc_id", "text").collect()])
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_whole_notices(spark):
+    """Full notices in small lines with marks between, a few words changed, cut short, and scattered over a long line."""
+    import random
+
+    r, rows = random.Random(6), []
+    for k, (label, text) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        shown = [w.title() + r.choice(("", ",", ".", "\n * ")) for w in words]
+        rows.append((3 * k, "some words before " + " ".join(shown) + " and after"))
+        rows.append((3 * k + 1, " ".join(w if j % 12 else "changed" for j, w in enumerate(shown))))
+        rows.append((3 * k + 2, " filler text of some length here ".join(words)))
+    got = {x["doc_id"]: x["labels"].split(",") for x in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[3 * k] for k, (label, _) in enumerate(licenses.TEMPLATES))
+    assert all(got[3 * k + 2] == [""] for k, (_, text) in enumerate(licenses.TEMPLATES) if len(text.split()) > 4)
+    assert_equal_to_sql(spark, rows)
+
+
 def test_wrapped_licenses(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files"
     bsd = "Some code\n * Redistribution and use in source and binary forms, with or\r\n * without modification, are permitted provided that the\n * following conditions are met:\n"
     far = "\n".join(mit.replace("\n", " ").replace(" ", "\nother words stand between these\n").split("\n"))
     rows = [(1, mit), (2, bsd), (3, mit.replace("\n", " ")), (4, far), (5, "a\n\n" + mit + "\n" + bsd), (6, "\n"), (7, "released under the\nmit\n\nlicense")]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert_equal_to_sql(spark, rows)
     assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("mit", 1.0), 4: ("", 0.0), 5: ("bsd,mit", 1.0), 6: ("", 0.0), 7: ("mit", 1.0)}
 
 

@@ -1,13 +1,14 @@
 """License notices: exact phrases, and an exact set-similarity join of text
 blocks with notice templates, in DataFrame operations only.
 
-A block is a line, or, for notices that wrap, a window of words that ignores line
-breaks and is as long as the template with room for foreign words.  It meets a
-template when it holds at least ``THRESHOLD`` of the template's distinct words.
-Words are put in one global order, rarest first;
-then a block that meets a template must share a word with the first
-``size - need + 1`` words of the template (prefix filter), must hold ``need`` of
-the templates' words at all (length filter), and the places of the first shared
+A block is a window of words, whatever line breaks and marks stand between them,
+as long as the template with room for foreign words (``window_words``); every
+place of every text begins one.  It meets a template when it holds at least
+``THRESHOLD`` of the template's distinct words.  Words are put in one global
+order, rarest first; then a block that meets a template must share a word with
+the first ``size - need + 1`` words of the template (prefix filter), must hold
+``need`` of the template's words at all (length filter; texts that don't hold as
+many anywhere have no block that does), and the places of the first shared
 word must leave room for ``need`` shared words (positional filter).  What is
 left is verified exactly.  Blocks with the same words are joined once.
 """
@@ -28,18 +29,27 @@ THRESHOLD = 0.9
 # fixed values: notice templates and their labels
 TEMPLATES = (
     ("agpl", "gnu affero general public license"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("apache", "licensed under the apache license version 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software"),
     ("cc-by", "licensed under creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-sa", "licensed under creative commons attribution sharealike 4 0 international license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("gpl", "this work is licensed under the gnu general public license version"),
     ("gpl", "gnu general public license as published by the free software foundation"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("lgpl", "gnu lesser general public license"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
 )
 
 
@@ -52,20 +62,23 @@ def template_rows() -> list[tuple[int, str, list[str], int]]:
     return out
 
 
+def window_words(template: int) -> int:
+    """Words of a block that is held against a template."""
+    return math.ceil(len(TEMPLATES[template][1].split()) / THRESHOLD)
+
+
 def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
 def scan_texts(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: word counts, phrase starts, and for each line
-    that can meet a template the templates' words that it holds; so also for
-    windows over several lines, where the whole text holds enough of a template."""
+    """One pass over the texts: word counts, phrase starts, and for each template
+    that the text's words can meet the sets of its words in windows (``blocks``,
+    structs of template and found)."""
     templates = template_rows()
     vocabulary = _strings(sorted({w for _, _, words, _ in templates for w in words}))
-    least = min(need for *_, need in templates)
-    lines = F.split(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), "\n")
-    rows = docs.select("doc_id", F.transform(lines, lambda line: F.array_remove(F.split(line, NOT_WORD), "")).alias("lines"))
-    rows = rows.select("doc_id", "lines", F.flatten("lines").alias("words"))
+    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
+    rows = docs.select("doc_id", F.array_remove(F.split(text, NOT_WORD), "").alias("words"))
     rows = rows.withColumn("held", F.array_intersect(vocabulary, "words"))
     # phrases hold one of two words; the others' texts need no look at each place
     hint = F.array_contains("words", "license") | F.array_contains("words", "cc")
@@ -83,36 +96,38 @@ def scan_texts(docs: DataFrame) -> DataFrame:
         return F.when(hint, F.filter(places, here)).otherwise(F.array().cast("array<int>"))
 
     def windows(template: int, own: list[str], need: int) -> Column:
-        """The template's words in each window that starts with one of them."""
+        """The template's words in each window, where they are enough; windows
+        begin with one of them, as others hold no more."""
         mine = _strings(own)
-        length = math.ceil(len(TEMPLATES[template][1].split()) / THRESHOLD)
-        found = F.transform(F.filter(places, lambda i: F.array_contains(mine, F.get("words", i))), lambda i: F.array_intersect(mine, F.slice("words", i + 1, length)))
-        can = (F.size("lines") > 1) & (F.size(F.array_intersect(mine, "held")) >= need)
-        return F.when(can, F.array_distinct(F.filter(found, lambda held: F.size(held) >= need))).otherwise(F.array().cast("array<array<string>>"))
+        places_of = F.filter(places, lambda i: F.array_contains(mine, F.get("words", i)))
+        found = F.transform(places_of, lambda i: F.array_intersect(mine, F.slice("words", i + 1, window_words(template))))
+        can = F.size(F.array_intersect(mine, "held")) >= need
+        sets = F.when(can, F.array_distinct(F.filter(found, lambda held: F.size(held) >= need))).otherwise(F.array().cast("array<array<string>>"))
+        return F.transform(sets, lambda held: F.struct(F.lit(template).alias("template"), held.alias("found")))
 
-    wrapped = F.flatten(F.array(*[windows(k, own, need) for k, _, own, need in templates]))
-    kept = F.filter(F.transform("lines", lambda words: F.array_intersect(vocabulary, words)), lambda found: F.size(found) >= least)
-    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), *[starts(p).alias(f"p{k}") for k, (p, _) in enumerate(PHRASES)], F.array_union(kept, wrapped).alias("blocks"))
+    blocks = F.flatten(F.array(*[windows(k, own, need) for k, _, own, need in templates]))
+    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), *[starts(p).alias(f"p{k}") for k, (p, _) in enumerate(PHRASES)], blocks.alias("blocks"))
 
 
 def matching_templates(sets: DataFrame) -> DataFrame:
-    """(found, label, share): each distinct word set ``found`` with the templates it meets."""
+    """(template, found, label, share): each distinct block's words ``found`` that
+    meet the template they were looked for by."""
     spark = sets.sparkSession
     templates = spark.createDataFrame(template_rows(), "template int, label string, own array<string>, need int")
-    tokens = sets.select("found", F.explode("found").alias("token"))
+    tokens = sets.select("template", "found", F.explode("found").alias("token"))
     order = tokens.groupBy("token").count().withColumnRenamed("count", "freq")
     own = templates.select("template", "label", "own", "need", F.explode("own").alias("token")).join(order, "token")  # words that no block holds match nothing
     missing = F.size("own") - F.count("*").over(Window.partitionBy("template"))  # they come first in the order
     place = F.row_number().over(Window.partitionBy("template").orderBy("freq", "token"))
     left = own.select("template", "label", "own", "need", "token", (missing + place - 1).alias("i"))
     left = left.where(F.col("i") <= F.size("own") - F.col("need"))
-    at = F.row_number().over(Window.partitionBy("found").orderBy("freq", "token")) - 1
-    right = tokens.join(order, "token").select("found", "token", at.alias("j"))
-    pairs = right.join(left, "token").where(F.size("found") >= F.col("need"))
+    at = F.row_number().over(Window.partitionBy("template", "found").orderBy("freq", "token")) - 1
+    right = tokens.join(order, "token").select("template", "found", "token", at.alias("j"))
+    pairs = right.join(left, ["template", "token"]).where(F.size("found") >= F.col("need"))
     room = 1 + F.least(F.size("own") - F.col("i") - 1, F.size("found") - F.col("j") - 1)
     pairs = pairs.where(room >= F.col("need")).select("found", "template", "label", "own", "need").distinct()
     shared = F.size(F.array_intersect("found", "own"))
-    return pairs.where(shared >= F.col("need")).select("found", "label", (shared / F.size("own")).alias("share"))
+    return pairs.where(shared >= F.col("need")).select("template", "found", "label", (shared / F.size("own")).alias("share"))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -122,9 +137,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     give repeated results; an empty table gives no rows; further columns are not
     read.  ``score`` is 1 with a phrase, else the best template's share, else 0."""
     base = saved(scan_texts(docs).withColumn("row", F.monotonically_increasing_id()), "license-scan")
-    blocks = base.select("row", F.explode("blocks").alias("found"))
-    met = matching_templates(blocks.select("found").distinct())
-    by_row = blocks.join(met, "found").groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    blocks = base.select("row", F.explode("blocks").alias("block")).select("row", "block.*")
+    # written, so that the join's shuffles stand alone and a common block's rows can be dealt to several tasks
+    met = saved(matching_templates(blocks.select("template", "found").distinct()), "license-met")
+    by_row = blocks.join(met, ["template", "found"]).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     rows = base.join(by_row, "row", "left")
     starts = F.concat(*[F.col(f"p{k}") for k in range(len(PHRASES))])
     of_base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)])))
@@ -138,12 +154,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The same by brute force in DuckDB: every line against every template."""
+    """The same by brute force in DuckDB: every window against every template."""
 
     def items(words: list[str]) -> str:
         return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
-    templates = ", ".join(f"({k}, '{label}', {items(words)}, {need})" for k, label, words, need in template_rows())
+    templates = ", ".join(f"({k}, '{label}', {items(words)}, {need}, {window_words(k)})" for k, label, words, need in template_rows())
     tests = []
     for phrase, _ in PHRASES:
         parts = phrase.split()
@@ -153,10 +169,11 @@ def oracle_sql() -> str:
 with texts as (select doc_id, row_number() over () as r, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as t from documents),
 split as (select doc_id, r, t, list_filter(regexp_split_to_array(t, '{NOT_WORD}'), lambda w: w <> '') as words from texts),
 placed as (select doc_id, r, len(words) as n_words, {", ".join(f"{t} as p{k}" for k, t in enumerate(tests))} from split),
-lines as (select r, unnest(string_split(t, chr(10))) as line from texts),
-sets as (select distinct r, list_distinct(regexp_split_to_array(line, '{NOT_WORD}')) as words from lines),
-templates(k, label, own, need) as (values {templates}),
-met as (select r, label, len(list_intersect(words, own))::double / len(own) as share from sets, templates where len(list_intersect(words, own)) >= need),
+templates(k, label, own, need, size) as (values {templates}),
+windows as (select r, label, own, need, list_intersect(own, words[i : i + size - 1]) as held
+  from (select r, label, own, need, size, words, unnest(list_filter(range(1, len(words) + 1), lambda i: list_contains(own, words[i]))) as i
+        from split, templates where len(list_intersect(own, words)) >= need)),
+met as (select distinct r, label, len(held)::double / len(own) as share from windows where len(held) >= need),
 more as (select r, list(distinct label) as labels, max(share) as share from met group by r)
 select doc_id, n_words::bigint as n_words,
   (len(p0) + len(p1) + len(p2) + len(p3))::bigint as n_base,
