@@ -125,7 +125,7 @@ def test_false_links_are_found(spark):
     nodes, naming = ngram_join.named_nodes(df)
     name = {r["doc_id"]: r["node"] for r in nodes.collect()}
     links = spark.createDataFrame([(name[0], name[1]), (name[1], name[2])], "a long, b long")
-    assert [tuple(r) for r in ngram_join.false_links(df, links, naming).collect()] == [(name[1], name[2])]
+    assert [tuple(r) for r in ngram_join.false_links(df, links, naming, []).collect()] == [(name[1], name[2])]
 
 
 def test_copies_with_repeated_and_null_ids(spark):

@@ -28,15 +28,38 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+#: Folders of tables that this Python process has saved and not removed.
+_folders: list[str] = []
+
+
+def saved(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage, and a
-    lost executor costs no recomputation of what lies before."""
+    lost executor costs no recomputation of what lies before.
+
+    The folder is noted in ``scratch`` for those who ``remove`` it once nothing
+    reads it any more, else until ``clear_saved``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    (_folders if scratch is None else scratch).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders of saved tables, and empties the list."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    folders.clear()
+
+
+def clear_saved(spark: SparkSession) -> None:
+    """Deletes what the operators have left in the shared folder.  To be called
+    when all their results are written: DataFrames that they gave read from it."""
+    remove(spark, _folders)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds about ``most`` bytes of ``column``
     (a single longer row stays whole), which bounds what a kernel holds at once."""

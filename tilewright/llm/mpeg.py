@@ -271,7 +271,11 @@ SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, media): whole texts as streams; null is empty."""
+    """(doc_id, n_bytes, payload_bytes, media): whole texts as streams.
+
+    Null and empty texts are one frame's payload of zeros; repeated rows give
+    repeated results; an empty table gives no rows; further columns, whatever
+    their names, are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import saved, slices
+from tilewright.llm.common import remove, saved, slices
 from tilewright.llm.components import connected_components
 from tilewright.llm.shingles import exact_shingles, shingle_sets
 
@@ -340,7 +340,7 @@ def _search_block(members: list[tuple], queries: list[tuple], one_each: bool) ->
     return out
 
 
-def _search(queries: DataFrame, members: DataFrame, active: DataFrame, one_each: bool = False) -> DataFrame:
+def _search(queries: DataFrame, members: DataFrame, active: DataFrame, scratch: list[str], one_each: bool = False) -> DataFrame:
     """Links (a, b) between the queries and the members of each block, both as (block, node).
 
     A block is cut into shards of its members and slices of its queries, so
@@ -351,7 +351,7 @@ def _search(queries: DataFrame, members: DataFrame, active: DataFrame, one_each:
     members = members.join(cuts, "block").select("block", "node", mine, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("asks"))
     mine = F.pmod(F.xxhash64("node", F.lit(4)), F.col("slices")).cast("int").alias("slice")
     queries = queries.join(cuts, "block").select("block", "node", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), mine, F.lit(True).alias("asks"))
-    marked = saved(members.unionByName(queries), "jaccard-blocks")
+    marked = saved(members.unionByName(queries), "jaccard-blocks", scratch)
     few = marked.count() <= MOST_BROADCAST
     rows = active.join(F.broadcast(marked) if few else marked, "node").select("block", "shard", "slice", "asks", "node", "n", "shingles")
 
@@ -386,7 +386,7 @@ def _band(size: Column) -> Column:
     return F.floor(F.log2(size.cast("double")) * 4).cast("int")
 
 
-def _meetings(here: DataFrame) -> DataFrame:
+def _meetings(here: DataFrame, scratch: list[str]) -> DataFrame:
     """(block, node): nodes to search for in another component that shares a
     candidate list with theirs, the smaller component's nodes in the larger.
 
@@ -396,7 +396,7 @@ def _meetings(here: DataFrame) -> DataFrame:
     here = here.withColumn("strong", F.col("cap") >= F.col("n"))
     size = here.select("comp", "node").distinct().groupBy("comp").count().withColumnRenamed("count", "size")
     lists = here.groupBy("h", _band(F.col("n")).alias("band"), "strong", "comp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("cap").alias("most_cap"))
-    lists = saved(lists.join(size, "comp"), "jaccard-lists")
+    lists = saved(lists.join(size, "comp"), "jaccard-lists", scratch)
     mixed = lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("strong").alias("any")).where("lo <> hi and any").select("h")
     lists = lists.select("h", "band", "strong", F.col("comp").alias("block"), F.col("size").alias("block_size"), "least_n", "most_n", "most_cap")
     asks = here.join(mixed, "h").join(size, "comp")
@@ -409,11 +409,11 @@ def _meetings(here: DataFrame) -> DataFrame:
     return asks.join(lists, ["h", "band", "strong"]).where(f"{smaller} and {meet}").select("block", "node").distinct()
 
 
-def node_links(docs: DataFrame, naming: Naming, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def node_links(docs: DataFrame, naming: Naming, scratch: list[str], rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """(a, b) links that connect all nodes of each component, and (node, comp) of all nodes linked."""
     parts = docs.rdd.getNumPartitions()
     bits = max(4, int(np.ceil(np.log2(max(parts, 1)))) + 1)
-    active = saved(_linkable(_shared_postings(_packed_index(docs, bits, naming), bits), bits), "jaccard-nodes")
+    active = saved(_linkable(_shared_postings(_packed_index(docs, bits, naming), bits), bits), "jaccard-nodes", scratch)
     least = F.ceil(F.col("n") * 3 / 4)
     head = F.slice("shingles", F.lit(1), (F.size("shingles") - least + 1).cast("int"))
     rare = active.select("node", "n", F.size("shingles").alias("shared"), F.posexplode(head).alias("at", "h"))
@@ -427,27 +427,27 @@ def node_links(docs: DataFrame, naming: Naming, rounds: int = 2) -> tuple[DataFr
         rank = F.struct(F.xxhash64("node", F.lit(k)).alias("r"), F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("cap").alias("lead_cap"), F.col("comp").alias("lead_comp"))
         leads = here.groupBy("h").agg(F.min(rank).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "lead.*")
         near = "4 * least(n, lead_n) >= 3 * greatest(n, lead_n) and cap >= lead_n and lead_cap >= n and comp <> lead_comp"
-        pairs = saved(here.join(leads, "h").where(near).select(F.col("lead").alias("block"), "node").distinct(), "jaccard-stars")
+        pairs = saved(here.join(leads, "h").where(near).select(F.col("lead").alias("block"), "node").distinct(), "jaccard-stars", scratch)
         asked = pairs.select("block", F.col("block").alias("node")).distinct()
-        found = saved(_search(asked, pairs, active), "jaccard-links")
+        found = saved(_search(asked, pairs, active, scratch), "jaccard-links", scratch)
         links = found if links is None else links.union(found)
-        comps = connected_components(links)
+        comps = connected_components(links, keep=scratch)
     here = rare.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    queries = saved(_meetings(here), "jaccard-queries")
+    queries = saved(_meetings(here, scratch), "jaccard-queries", scratch)
     every = active.select("node").join(comps, "node", "left").select(F.coalesce("comp", "node").alias("block"), "node")
     members = every.join(queries.select("block").distinct(), "block", "left_semi")
-    found = saved(_search(queries, members, active, one_each=True), "jaccard-links")
+    found = saved(_search(queries, members, active, scratch, one_each=True), "jaccard-links", scratch)
     links = links.union(found)
     return links, connected_components(links)
 
 
-def false_links(docs: DataFrame, links: DataFrame, naming: Naming) -> DataFrame:
+def false_links(docs: DataFrame, links: DataFrame, naming: Naming, scratch: list[str]) -> DataFrame:
     """(a, b) of the links whose texts' shingles, as words, don't reach the threshold."""
     links = links.distinct()
     shards = links.groupBy("a").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
     ends = links.join(shards, "a").select("a", "b", "shards", F.pmod(F.xxhash64("b"), F.col("shards")).cast("int").alias("shard"))
     leads = shards.select("a", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.col("a").alias("node"))
-    rows = saved(ends.select("a", "shard", F.col("b").alias("node"), F.lit(1).alias("k")).union(leads.select("a", "shard", "node", F.lit(0).alias("k"))), "jaccard-ends")
+    rows = saved(ends.select("a", "shard", F.col("b").alias("node"), F.lit(1).alias("k")).union(leads.select("a", "shard", "node", F.lit(0).alias("k"))), "jaccard-ends", scratch)
     wanted = rows.select("node").distinct()
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,8 +480,11 @@ def document_components(docs: DataFrame, tries: int = 3) -> tuple[DataFrame, Nam
     the others with null for both; and the naming of the nodes."""
     for seed in range(tries):
         nodes, naming = named_nodes(docs, seed)
-        links, comps = node_links(docs, naming)
-        if not false_links(docs, links, naming).head(1):
+        scratch: list[str] = []
+        links, comps = node_links(docs, naming, scratch)
+        wrong = false_links(docs, links, naming, scratch).head(1)
+        remove(docs.sparkSession, scratch)
+        if not wrong:
             linked = nodes.where("node is not null").join(comps, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("comp", "node").alias("comp"))
             return linked.union(nodes.where("node is null").select("doc_id", "n_shingles", "node", F.col("node").alias("comp"))), naming
     raise RuntimeError(f"{tries} kinds of hashes have each given a false link")

@@ -252,8 +252,8 @@ def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", ids: str
 def encode_digests(docs: DataFrame, model_file: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of whole texts.
 
-    Null and empty texts have no ids; repeated rows give repeated results;
-    other columns are not read.  One pass, no shuffle."""
+    Null and empty texts have no ids; repeated rows give repeated results; an
+    empty table gives no rows; further columns are not read.  One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)

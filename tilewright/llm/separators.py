@@ -27,6 +27,9 @@ MANIFEST = "doc_id long, file string, ordinal long, tokens_crc32 long"
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store of a URI; Hadoop's own names of S3 and Azure stores are known too."""
+    scheme, colon, rest = uri.partition("://")
+    uri = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}.get(scheme, scheme) + colon + rest
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
@@ -147,7 +150,8 @@ def document_lengths(docs: DataFrame, ranks_file: str, pattern: str, end_id: int
     The texts are tokenised into files of the shared folder, the files scanned
     in blocks, and the documents found joined by (file, ordinal) to what was
     written: doc_id, file, ordinal, start, n_tokens, tokens_crc32.  Null and
-    empty texts have 0 tokens; repeated rows stay apart; no rows give none."""
+    empty texts have 0 tokens; repeated rows stay apart; no rows give
+    none; further columns, whatever their names, are not read."""
     import uuid
 
     spark = docs.sparkSession
