@@ -21,7 +21,7 @@ are divided into short ones, merged with a heap, and long ones, probed by binary
 search, for nodes that reach the overlap.
 
 Only components are asked for, so links within a component already known are
-not needed: two rounds search each list's nodes against one of them, and then
+not needed: each list's nodes are searched against one of them, its lead, and then
 every node is searched against each *other* component that shares a candidate
 list with its own, smaller against larger.  That leaves no link between two
 components untested, and emits no pairs within a group.
@@ -46,13 +46,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import remove, saved, slices
+from tilewright.llm.common import _folders, remove, saved, slices
 from tilewright.llm.components import connected_components
 from tilewright.llm.shingles import exact_shingles, shingle_sets
 
 WIDTH = 5
 #: Shingles that a task packs at once, and nodes of a component and queries in one search block.
 PACK, SHARD, SLICE = 1_500_000, 1000, 4000
+#: Leads that the lists of one group of nodes have.
+LEADS = 4
 #: Rows of (block, node) or nodes that may be broadcast, checked by a count; more are joined by shuffles.
 MOST_BROADCAST = 200_000
 #: A shingle goes past the index if one of these many nodes has it, and so many nodes of a pack at least.
@@ -345,13 +347,14 @@ def _search(queries: DataFrame, members: DataFrame, active: DataFrame, scratch:
 
     A block is cut into shards of its members and slices of its queries, so
     that no task has more than SHARD of the one and about SLICE of the other."""
-    shards = members.groupBy("block").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-    cuts = queries.groupBy("block").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")).join(shards, "block")
-    mine = F.pmod(F.xxhash64("node", F.lit(3)), F.col("shards")).cast("int").alias("shard")
-    members = members.join(cuts, "block").select("block", "node", mine, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("asks"))
-    mine = F.pmod(F.xxhash64("node", F.lit(4)), F.col("slices")).cast("int").alias("slice")
-    queries = queries.join(cuts, "block").select("block", "node", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), mine, F.lit(True).alias("asks"))
-    marked = saved(members.unionByName(queries), "jaccard-blocks", scratch)
+    ends = members.select("block", "node", F.lit(False).alias("asks")).union(queries.select("block", "node", F.lit(True)))
+    cuts = ends.groupBy("block").agg(F.ceil(F.count_if(~F.col("asks")) / SHARD).cast("int").alias("shards"), F.ceil(F.count_if("asks") / SLICE).cast("int").alias("slices"))
+    own = {"shard": F.array(F.pmod(F.xxhash64("node", F.lit(3)), F.col("shards")).cast("int")), "slice": F.array(F.pmod(F.xxhash64("node", F.lit(4)), F.col("slices")).cast("int"))}
+    every = {"shard": F.sequence(F.lit(0), F.col("shards") - 1), "slice": F.sequence(F.lit(0), F.col("slices") - 1)}
+    rows = ends.join(cuts.where("shards > 0 and slices > 0"), "block")
+    rows = rows.select("block", "node", "asks", F.when(F.col("asks"), own["slice"]).otherwise(every["slice"]).alias("slice"), F.explode(F.when(F.col("asks"), every["shard"]).otherwise(own["shard"])).alias("shard"))
+    marked = rows.select("block", "node", "asks", F.explode("slice").alias("slice"), "shard")
+    marked = saved(marked, "jaccard-blocks", scratch)
     few = marked.count() <= MOST_BROADCAST
     rows = active.join(F.broadcast(marked) if few else marked, "node").select("block", "shard", "slice", "asks", "node", "n", "shingles")
 
@@ -390,26 +393,24 @@ def _meetings(here: DataFrame, scratch: list[str]) -> DataFrame:
     """(block, node): nodes to search for in another component that shares a
     candidate list with theirs, the smaller component's nodes in the larger.
 
-    ``here`` is (h, node, n, cap, comp).  Two nodes can link over a list only if
-    each one's size is at most the other's cap and at least 3/4 of the other's
+    ``here`` is (h, node, n, cap, comp, size).  Two nodes can link over a list only
+    if each one's size is at most the other's cap and at least 3/4 of the other's
     size; of two caps one at least isn't below its node's own size (strong)."""
     here = here.withColumn("strong", F.col("cap") >= F.col("n"))
-    size = here.select("comp", "node").distinct().groupBy("comp").count().withColumnRenamed("count", "size")
-    lists = here.groupBy("h", _band(F.col("n")).alias("band"), "strong", "comp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("cap").alias("most_cap"))
-    lists = saved(lists.join(size, "comp"), "jaccard-lists", scratch)
+    lists = here.groupBy("h", _band(F.col("n")).alias("band"), "strong", "comp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("cap").alias("most_cap"), F.max("size").alias("size"))
+    lists = saved(lists, "jaccard-lists", scratch)
     mixed = lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("strong").alias("any")).where("lo <> hi and any").select("h")
     lists = lists.select("h", "band", "strong", F.col("comp").alias("block"), F.col("size").alias("block_size"), "least_n", "most_n", "most_cap")
-    asks = here.join(mixed, "h").join(size, "comp")
     bands = F.sequence(_band(F.ceil(F.col("n") * 3 / 4)), _band(F.least("cap", F.floor(F.col("n") * 4 / 3))))
-    asks = asks.select("h", "node", "n", "cap", "comp", "size", "strong", F.explode(bands).alias("band"))
-    asks = asks.select("*", F.explode(F.when(F.col("strong"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("other")).drop("strong")
-    asks = asks.withColumnRenamed("other", "strong")
+    asks = here.join(mixed, "h").select("h", "node", "n", "cap", "comp", "size", "strong", F.explode(bands).alias("band"))
+    others = F.when(F.col("strong"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    asks = asks.select("h", "node", "n", "cap", "comp", "size", "band", F.explode(others).alias("strong"))
     smaller = "(size < block_size or size = block_size and comp < block)"
     meet = "4 * most_n >= 3 * n and 4 * n >= 3 * least_n and least_n <= cap and most_cap >= n"
     return asks.join(lists, ["h", "band", "strong"]).where(f"{smaller} and {meet}").select("block", "node").distinct()
 
 
-def node_links(docs: DataFrame, naming: Naming, scratch: list[str], rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def node_links(docs: DataFrame, naming: Naming, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
     """(a, b) links that connect all nodes of each component, and (node, comp) of all nodes linked."""
     parts = docs.rdd.getNumPartitions()
     bits = max(4, int(np.ceil(np.log2(max(parts, 1)))) + 1)
@@ -420,23 +421,24 @@ def node_links(docs: DataFrame, naming: Naming, scratch: list[str], rounds: int
     # with n - shared + at words passed, 4 n - 7 passed is at least 3 times the size of any set whose first common shingle is here
     cap = F.floor((4 * F.col("n") - 7 * (F.col("n") - F.col("shared") + F.col("at"))) / 3)
     rare = rare.select("h", "node", "n", cap.alias("cap")).where("4 * cap >= 3 * n")
-    comps = links = None
-    for k in range(rounds):
-        here = rare if comps is None else rare.join(comps, "node", "left")
-        here = here.withColumn("comp", F.col("node") if comps is None else F.coalesce("comp", "node"))
-        rank = F.struct(F.xxhash64("node", F.lit(k)).alias("r"), F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("cap").alias("lead_cap"), F.col("comp").alias("lead_comp"))
-        leads = here.groupBy("h").agg(F.min(rank).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "lead.*")
-        near = "4 * least(n, lead_n) >= 3 * greatest(n, lead_n) and cap >= lead_n and lead_cap >= n and comp <> lead_comp"
-        pairs = saved(here.join(leads, "h").where(near).select(F.col("lead").alias("block"), "node").distinct(), "jaccard-stars", scratch)
-        asked = pairs.select("block", F.col("block").alias("node")).distinct()
-        found = saved(_search(asked, pairs, active, scratch), "jaccard-links", scratch)
-        links = found if links is None else links.union(found)
-        comps = connected_components(links, keep=scratch)
-    here = rare.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # one node leads each list; lists fall into LEADS kinds, so that a group of nodes has as many leads
+    rank = F.struct(F.xxhash64("node", F.pmod("h", F.lit(LEADS))).alias("r"), F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("cap").alias("lead_cap"))
+    leads = rare.groupBy("h").agg(F.min(rank).alias("lead"), F.count("*").alias("nodes")).where("nodes > 1").select("h", "lead.*")
+    near = "4 * least(n, lead_n) >= 3 * greatest(n, lead_n) and cap >= lead_n and lead_cap >= n and node <> lead"
+    pairs = saved(rare.join(leads, "h").where(near).select(F.col("lead").alias("block"), "node").distinct(), "jaccard-stars", scratch)
+    asked = pairs.select("block", F.col("block").alias("node")).distinct()
+    links = saved(_search(asked, pairs, active, scratch), "jaccard-links", scratch)
+    kept: list[str] = []
+    comps = connected_components(links, keep=kept)
+    sized = saved(comps.join(comps.groupBy("comp").agg(F.count("*").alias("size")), "comp"), "jaccard-sizes", scratch)
+    here = rare.join(sized, "node", "left").withColumn("comp", F.coalesce("comp", "node")).withColumn("size", F.coalesce("size", F.lit(1)))
     queries = saved(_meetings(here, scratch), "jaccard-queries", scratch)
     every = active.select("node").join(comps, "node", "left").select(F.coalesce("comp", "node").alias("block"), "node")
-    members = every.join(queries.select("block").distinct(), "block", "left_semi")
-    found = saved(_search(queries, members, active, scratch, one_each=True), "jaccard-links", scratch)
+    found = saved(_search(queries, every, active, scratch, one_each=True), "jaccard-links", scratch)
+    if not found.head(1):
+        _folders.extend(kept)
+        return links, comps
+    scratch.extend(kept)
     links = links.union(found)
     return links, connected_components(links)
 
