@@ -420,11 +420,13 @@ def node_links(docs: DataFrame, naming: Naming, scratch: list[str]) -> tuple[Dat
     rare = active.select("node", "n", F.size("shingles").alias("shared"), F.posexplode(head).alias("at", "h"))
     # with n - shared + at words passed, 4 n - 7 passed is at least 3 times the size of any set whose first common shingle is here
     cap = F.floor((4 * F.col("n") - 7 * (F.col("n") - F.col("shared") + F.col("at"))) / 3)
-    rare = rare.select("h", "node", "n", cap.alias("cap")).where("4 * cap >= 3 * n")
-    # one node leads each list; lists fall into LEADS kinds, so that a group of nodes has as many leads
-    rank = F.struct(F.xxhash64("node", F.pmod("h", F.lit(LEADS))).alias("r"), F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("cap").alias("lead_cap"))
-    leads = rare.groupBy("h").agg(F.min(rank).alias("lead"), F.count("*").alias("nodes")).where("nodes > 1").select("h", "lead.*")
+    rare = rare.select("h", "node", "n", cap.alias("cap"), F.floor(F.col("shared") * -1000 / F.col("n")).alias("alone")).where("4 * cap >= 3 * n")
+    # the node that shares most of its shingles leads a list: a group's middle, to which whoever can link mostly does;
+    # where several do, lists fall into LEADS kinds, so that a group has as many leads
+    rank = F.struct("alone", F.xxhash64("node", F.pmod("h", F.lit(LEADS))).alias("r"), F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("cap").alias("lead_cap"))
+    leads = rare.groupBy("h").agg(F.min(rank).alias("lead"), F.count("*").alias("nodes")).where("nodes > 1").select("h", "lead.*").drop("alone", "r")
     near = "4 * least(n, lead_n) >= 3 * greatest(n, lead_n) and cap >= lead_n and lead_cap >= n and node <> lead"
+    rare = rare.drop("alone")
     pairs = saved(rare.join(leads, "h").where(near).select(F.col("lead").alias("block"), "node").distinct(), "jaccard-stars", scratch)
     asked = pairs.select("block", F.col("block").alias("node")).distinct()
     links = saved(_search(asked, pairs, active, scratch), "jaccard-links", scratch)
