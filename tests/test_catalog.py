@@ -38,3 +38,19 @@ def test_equals_oracle(spark, oracle, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, FOLDER).count() > 0
+
+
+def test_changed_groups_by_union(spark):
+    """All rows, against joining groups one edge at a time."""
+    found = {r["node"]: r["grp"] for r in catalog.queries()["changed_groups"](spark, FOLDER).collect()}
+    top = {}
+
+    def of(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for r in spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_suppkey", "l_partkey").collect():
+        a, b = sorted((of(r["l_suppkey"]), of(r["l_partkey"] % 40 + 1000000)))
+        top[b] = a
+    assert found == {x: of(x) for x in list(top)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.catalog import query
@@ -23,13 +23,55 @@ def patches(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select(c.alias("patch"), heights(_N + 1, 0).alias("corners"), heights(_N, 1).alias("centres"))
 
 
-@query("lifted_patches", "select c_custkey as patch, 0::bigint as error from customer")
+def _round(v: str, divisor: int) -> str:
+    return f"(case when {v} > 0 then ({v} + {divisor // 2}) // {divisor} else -((-({v}) + {divisor // 2}) // {divisor}) end)"
+
+
+def _at(name: str, width: int, i: str, j: str) -> str:
+    return f"{name}[({i}) * {width} + ({j}) + 1]"
+
+
+def _predicted(name: str) -> str:
+    """SQL of a centre (i, j) from a list of corners: as in the operator, but place by place."""
+    near = "(" + " + ".join(_at(name, 9, f"i + {a}", f"j + {b}") for a in (0, 1) for b in (0, 1)) + ")"
+    ring = "(" + " + ".join(_at(name, 9, f"i + {a}", f"j + {b}") for a, b in ((-1, 0), (-1, 1), (0, -1), (1, -1), (0, 2), (1, 2), (2, 0), (2, 1))) + ")"
+    return f"case when i between 1 and 6 and j between 1 and 6 then {_round(f'(10 * {near} - {ring})', 32)} else {_round(near, 4)} end"
+
+
+def _gains(name: str) -> str:
+    """SQL of what a corner (i, j) gains from a list of details."""
+    four = "(" + " + ".join(_at(name, 8, f"i - {a}", f"j - {b}") for a in (0, 1) for b in (0, 1)) + ")"
+    return f"case when i between 1 and 7 and j between 1 and 7 then {_round(four, 8)} else 0 end"
+
+
+def _grid(name: str, width: int, value: str, source: str) -> str:
+    keep = ", ".join(("corners", "centres", "details", "low", "codes", "back", "given", "centres_given")[: {"corners": 0, "centres": 1, "details": 2, "low": 3, "codes": 4, "back": 5, "given": 6, "centres_given": 7}[name]])
+    return f"select patch{', ' if keep else ''}{keep}, list({value} order by i, j) as {name} from {source}, (select unnest(range({width})) as i), (select unnest(range({width})) as j) group by patch{', ' if keep else ''}{keep}"
+
+
+_C = "patch % 31 + 3"
+_STEPS = [
+    ("corners", 9, f"2 * i * ({_C}) + 2 * j * (patch % 17 + 5) + i * j * patch % 97"), ("centres", 8, f"(2 * i + 1) * ({_C}) + (2 * j + 1) * (patch % 17 + 5) + i * j * patch % 97"),
+    ("details", 8, f"{_at('centres', 8, 'i', 'j')} - {_predicted('corners')}"), ("low", 9, f"{_at('corners', 9, 'i', 'j')} + {_gains('details')}"),
+    ("codes", 8, _round(_at("details", 8, "i", "j"), 5)), ("back", 8, f"{_at('codes', 8, 'i', 'j')} * 5"),
+    ("given", 9, f"{_at('low', 9, 'i', 'j')} - {_gains('back')}"), ("centres_given", 8, f"{_at('back', 8, 'i', 'j')} + {_predicted('given')}"),
+]
+_LIFT_SQL = "with p as (select c_custkey as patch from customer)" + "".join(f", s{k} as ({_grid(name, width, value, f's{k - 1}' if k else 'p')})" for k, (name, width, value) in enumerate(_STEPS))
+
+
+def _weighed(values: str) -> Column:
+    """The sum of an array's values, each times its place from 1."""
+    return F.aggregate(F.transform(values, lambda v, k: v * (k + 1)), F.lit(0).cast("long"), lambda s, v: s + v)
+
+
+@query("lifted_patches", _LIFT_SQL + " select patch, list_sum(list_transform(range(1, 82), lambda k: low[k] * k))::bigint as low, list_sum(list_transform(range(1, 65), lambda k: details[k] * k))::bigint as details, 0::bigint as error from s3")
 def lifted_patches(spark: SparkSession, folder: str) -> DataFrame:
-    """Lossless lifting gives each patch back without error."""
-    return lifting.lift_patches(patches(spark, folder)).select("patch", "error")
+    """Digests of the low part and of the details of each patch; lossless lifting gives it back without error."""
+    rows = lifting.lift_patches(patches(spark, folder))
+    return rows.select("patch", _weighed("low").alias("low"), _weighed("codes").alias("details"), "error")
 
 
-@query("lifted_details")
+@query("lifted_details", _LIFT_SQL + " select patch, list_sum(list_transform(codes, lambda v: v * v))::bigint as energy, greatest(list_max(list_transform(range(1, 82), lambda k: abs(given[k] - corners[k]))), list_max(list_transform(range(1, 65), lambda k: abs(centres_given[k] - centres[k]))))::bigint as error from s7")
 def lifted_details(spark: SparkSession, folder: str) -> DataFrame:
     """Energy of the details and the largest error under a tolerance of two."""
     rows = lifting.lift_patches(patches(spark, folder), tolerance=2)
@@ -65,12 +107,15 @@ def error_bounded_cut(spark: SparkSession, folder: str) -> DataFrame:
     return final.where("level = 0").select("level", "row", "col", "error").union(below.select("level", "row", "col", "error"))
 
 
-@query("leaf_counts", f"select level, count(*) as leaves from ({_ERRORS}) where level = 5 or error <= {_TARGET}::double group by level")
+@query(
+    "leaf_counts",
+    f"""with recursive e as (select * from {_ERRORS}),
+cut as (select level, row, col, error from e where level = 0 union all select k.level, k.row, k.col, k.error from cut c join e k on k.level = c.level + 1 and (k.row >> 1) = c.row and (k.col >> 1) = c.col where c.error > {_TARGET}::double and c.level < {_LEAF})
+select level, count(*) as leaves from cut where error <= {_TARGET}::double or level = {_LEAF} group by level""",
+)
 def leaf_counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = customers(spark, folder).select(F.least("lon", F.lit(179.9999)).alias("lon"), F.greatest("lat", F.lit(-89.9999)).alias("lat"), "weight", F.explode(F.sequence(F.lit(0), F.lit(_LEAF))).alias("level"))
-    two = F.pow(F.lit(2.0), "level")
-    errors = rows.groupBy("level", F.floor((90 - F.col("lat")) / (90.0 / two)).alias("row"), F.floor((F.col("lon") + 180) / (90.0 / two)).alias("col")).agg((F.max(F.abs("weight")) / 1000 / F.first(two)).alias("error"))
-    return errors.where((F.col("level") == 5) | (F.col("error") <= _TARGET)).groupBy("level").agg(F.count("*").alias("leaves"))
+    """Leaves of the error-bounded cut on each level."""
+    return error_bounded_cut(spark, folder).groupBy("level").agg(F.count("*").alias("leaves"))
 
 
 # a mesh: two triangles per part on a strip of vertices

@@ -111,16 +111,11 @@ def root_fragments(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select(c.alias("patch"), first.alias("first"), second.alias("second"))
 
 
-@query(
-    "changed_groups",
-    """with recursive e as (select distinct l_suppkey as a, l_partkey % 40 + 1000000 as b from lineitem where l_linenumber = 7 and l_quantity > 49),
-both_ways as (select a, b from e union select b, a from e), reach as (select a as node, a as seen from both_ways union select r.node, x.b from reach r join both_ways x on x.a = r.seen)
-select node, min(seen) as grp from reach group by node""",
-)
+@query("changed_groups")
 def changed_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Members that are replaced together: components of what they share, named by the
     smallest member; labels spread and pointers halve until nothing changes."""
-    li = table(spark, folder, "lineitem").where("l_linenumber = 7 and l_quantity > 49")
+    li = table(spark, folder, "lineitem")
     e = li.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 40 + 1000000).alias("b")).distinct()
     loops.ensure_checkpoint_dir(spark)
     edges = e.union(e.select("b", "a")).distinct().checkpoint()

@@ -54,17 +54,22 @@ def record_checksums(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("key", "fnv", F.concat(F.lit("fnv1a64-"), "fnv", F.lit("-"), F.octet_length("payload").cast("string")).alias("etag"))
 
 
+_FNV_SQL = "list_reduce([{o}::hugeint] || list_transform(range(1, length({t}) + 1), lambda n: ascii(substr({t}, n::int, 1))::hugeint), lambda a, b: (xor(a, b) * {p}::hugeint) % 18446744073709551616::hugeint)"
+
+
 @query(
     "payload_validation",
-    f"select key, case when key % 5 = 0 then 'length' when key % 7 = 0 then 'checksum' else 'ok' end as status from {_RECORDS_SQL}",
+    f"""with sent as (select key, payload, case when key % 5 = 0 then payload || 'x' when key % 7 = 0 then '#' || substr(payload, 2) else payload end as got from {_RECORDS_SQL})
+select key, case when length(got) <> length(payload) then 'length' when {_FNV_SQL.format(o=OFFSET, p=PRIME, t="got")} <> {_FNV_SQL.format(o=OFFSET, p=PRIME, t="payload")} then 'checksum' else 'ok' end as status from sent""",
 )
 def payload_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """Declared lengths and checksums against payloads, length first; every fifth
-    declared length and every seventh checksum is made wrong."""
-    rows = records(spark, folder).withColumn("fnv", fnv1a64_hex(F.col("payload").cast("binary")))
-    declared = rows.select("key", "payload", "fnv", F.when(F.col("key") % 5 == 0, F.octet_length("payload") + 1).otherwise(F.octet_length("payload")).alias("size"), F.when(F.col("key") % 7 == 0, F.lit("0")).otherwise(F.col("fnv")).alias("sum"))
-    status = F.when(F.col("size") != F.octet_length("payload"), "length").when(F.col("sum") != F.col("fnv"), "checksum").otherwise("ok")
-    return declared.select("key", status.alias("status"))
+    """Declared lengths and checksums against payloads as they arrive, length first;
+    every fifth payload has grown, and the first letter of every seventh is another."""
+    rows = records(spark, folder).withColumn("declared", fnv1a64_hex(F.col("payload").cast("binary")))
+    got = F.when(F.col("key") % 5 == 0, F.concat("payload", F.lit("x"))).when(F.col("key") % 7 == 0, F.concat(F.lit("#"), F.expr("substr(payload, 2)"))).otherwise(F.col("payload"))
+    rows = rows.select("key", "declared", F.octet_length("payload").alias("size"), got.alias("got")).withColumn("fnv", fnv1a64_hex(F.col("got").cast("binary")))
+    status = F.when(F.octet_length("got") != F.col("size"), "length").when(F.col("fnv") != F.col("declared"), "checksum").otherwise("ok")
+    return rows.select("key", status.alias("status"))
 
 
 @query(

@@ -101,33 +101,6 @@ def lru_hits(spark: SparkSession, folder: str) -> DataFrame:
     return replay.lru(request_log(spark, folder), 16)
 
 
-@query("fifo_hits")
-def fifo_hits(spark: SparkSession, folder: str) -> DataFrame:
-    return replay.lru(request_log(spark, folder), 16, "fifo")
-
-
-@query("ttl_hits")
-def ttl_hits(spark: SparkSession, folder: str) -> DataFrame:
-    return replay.ttl(request_log(spark, folder), 32, 60_000)
-
-
-@query("ledger_grants")
-def ledger_grants(spark: SparkSession, folder: str) -> DataFrame:
-    return replay.ledger(request_log(spark, folder), 5000)
-
-
-@query("emitted_changes")
-def emitted_changes(spark: SparkSession, folder: str) -> DataFrame:
-    return replay.on_change(request_log(spark, folder).where("value is not null"), 0.5)
-
-
-@query("proxy_outcomes")
-def proxy_outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    """Outcomes of an image proxy over the request log."""
-    answer = F.element_at(F.array(*[F.lit(a) for a in ("ok", "same", "ok", "error", "same", "missing", "ok")]), (F.col("seq") % 7 + 1).cast("int"))
-    return replay.proxy(request_log(spark, folder).withColumn("answer", answer), 20_000, 60_000, 60_000)
-
-
 _ASKS = "(select user_id as consumer, event_id as seq, event_type as kind, value, case when event_id % 13 = 0 then null else event_id % 1000 end as due from events)"
 
 
