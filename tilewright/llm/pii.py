@@ -21,6 +21,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ from tilewright.llm.common import saved
 
 KINDS = ("email", "ip", "card", "phone", "name", "secret")
 #: Spans of each kind to fit the classifier to at most, and columns of its features.
-TRAIN_SPANS, COLUMNS = 4000, 1024
+TRAIN_SPANS, COLUMNS = 1500, 1024
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"([0-9](?<![0-9].)[0-9]*+)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
@@ -302,12 +303,13 @@ def fit_spans(spans: list[tuple[list[int], float]]) -> Classifier:
     """The classifier for (columns, probability) of spans."""
     weights = np.zeros(COLUMNS + 1)
     if spans:
-        used = sorted({c for columns, _ in spans for c in columns})
+        kinds = sorted(Counter((tuple(columns), p) for columns, p in spans).items())  # equal spans are one row
+        used = sorted({c for (columns, _), _ in kinds for c in columns})
         place = {c: k for k, c in enumerate(used)}
-        x = np.zeros((len(spans), len(used)))
-        for row, (columns, _) in enumerate(spans):
+        x = np.zeros((len(kinds), len(used)))
+        for row, ((columns, _), _) in enumerate(kinds):
             x[row, [place[c] for c in columns]] = 1
-        w = fit_classifier(x, np.array([p for _, p in spans]), np.ones(len(spans)))
+        w = fit_classifier(x, np.array([p for (_, p), _ in kinds]), np.array([n for _, n in kinds], float))
         weights[used], weights[-1] = w[:-1], w[-1]
     return Classifier(tuple(weights.tolist()))
 
