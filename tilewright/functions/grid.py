@@ -194,3 +194,15 @@ def log2_floor(v: Column) -> Column:
 
 def reverse_bits32(v: Column) -> Column:
     return F.conv(F.reverse(F.lpad(F.bin(v), 32, "0")), 2, 10).cast("long")
+
+
+def sample_spacing(d: Column, fragment: int, dimension: int, scale: tuple[float, float, float]) -> Column:
+    """Longest edge of a fragment's triangle in metres, over the samples along it;
+    the scale gives the metres of a grid unit on each axis."""
+    ring = [d[f"c{k % 4}"] for k in (2 * fragment, 2 * fragment + 1, 2 * fragment + 2)]
+
+    def edge(a: Column, b: Column) -> Column:
+        steps = [(a[x] - b[x]).cast("double") * s for x, s in zip(AXES, scale, strict=True)]
+        return steps[0] * steps[0] + steps[1] * steps[1] + steps[2] * steps[2]
+
+    return F.sqrt(F.greatest(edge(ring[0], ring[1]), edge(ring[1], ring[2]), edge(ring[2], ring[0]))) / dimension
