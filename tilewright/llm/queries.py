@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import html_text, ivfpq, langid, licenses, mpeg, ngram_join, packing, pii, sentencepiece_codec, separators
+from tilewright.llm import fill_middle, html_text, ivfpq, langid, licenses, mpeg, ngram_join, packing, pii, sentencepiece_codec, separators, topk, whitening
 from tilewright.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -55,6 +55,18 @@ def op10_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_vertical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_supervision_pii": op1_weak_supervision_pii,
     "op2_mpeg_audio": op2_mpeg_audio,
@@ -66,6 +78,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bin_slack_packing": op8_bin_slack_packing,
     "op9_sentencepiece_codec": op9_sentencepiece_codec,
     "op10_ivf_pq": op10_ivf_pq,
+    "op11_vertical_topk": op11_vertical_topk,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_tsqr_whitening": op13_tsqr_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_license_join": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op7_license_join": licenses.oracle_sql(),
+    "op11_vertical_topk": topk.oracle_sql(),
+    "op12_fill_in_middle": fill_middle.oracle_sql(),
+}
