@@ -8,6 +8,8 @@ its parent corners, as far as they lie inside the root.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +40,8 @@ def locate(level: Column, x: Column, y: Column, half: int) -> tuple[Column, Colu
     return (cx + step_x).cast("long"), (cy + step_y).cast("long")
 
 
-def with_parents(rows: DataFrame, half: int) -> DataFrame:
-    """(level, x, y, parent_level, parent_x, parent_y): one row for each parent inside the root."""
-    level, x, y = (F.col(c) for c in KEY)
+def parents(level: Column, x: Column, y: Column, half: int) -> Column:
+    """Array of the parents (x, y) of a diamond below the root, those outside it too."""
     s, up = reach(level, half), reach(level - 1, half)
 
     def at(a: Column, b: Column) -> Column:
@@ -51,18 +52,35 @@ def with_parents(rows: DataFrame, half: int) -> DataFrame:
     rising = F.pmod((x - s) / up + (y - s) / up, F.lit(2)) == 1
     odd = F.when(flat, F.array(at(x - s, y), at(x + s, y))).otherwise(F.array(at(x, y - s), at(x, y + s)))
     even = F.when(rising, F.array(at(x - s, y - s), at(x + s, y + s))).otherwise(F.array(at(x - s, y + s), at(x + s, y - s)))
-    both = rows.where(level > 0).select(*KEY, F.explode(F.when(level % 2 == 1, odd).otherwise(even)).alias("p"))
+    return F.when(level % 2 == 1, odd).otherwise(even)
+
+
+def with_parents(rows: DataFrame, half: int, keep: Sequence[str] = ()) -> DataFrame:
+    """(level, x, y, parent_level, parent_x, parent_y), after the columns to keep: one
+    row for each parent inside the root."""
+    level = F.col("level")
+    both = rows.where(level > 0).select(*keep, *KEY, F.explode(parents(level, F.col("x"), F.col("y"), half)).alias("p"))
     inside = F.col("p.x").between(0, 2 * half) & F.col("p.y").between(0, 2 * half)
-    return both.where(inside).select(*KEY, (level - 1).alias("parent_level"), F.col("p.x").alias("parent_x"), F.col("p.y").alias("parent_y"))
+    return both.where(inside).select(*keep, *KEY, (level - 1).alias("parent_level"), F.col("p.x").alias("parent_x"), F.col("p.y").alias("parent_y"))
+
+
+def complete(roots: DataFrame, half: int, levels: int) -> DataFrame:
+    """(root, level, x, y): every diamond of each root down to a level."""
+    rows = roots.select("root", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")).withColumn("s", reach(F.col("level"), half))
+    places = F.sequence(F.lit(0), (2 * half / F.col("s")).cast("int"))
+    rows = rows.withColumn("a", F.explode(places)).withColumn("b", F.explode(places))
+    a, b = F.col("a") % 2 == 1, F.col("b") % 2 == 1
+    return rows.where(F.when(F.col("level") % 2 == 1, a != b).otherwise(a & b)).select("root", "level", (F.col("a") * F.col("s")).cast("long").alias("x"), (F.col("b") * F.col("s")).cast("long").alias("y"))
 
 
-def needed(seeds: DataFrame, half: int, levels: int) -> DataFrame:
-    """The seeds and all that they depend on, each once."""
+def needed(seeds: DataFrame, half: int, levels: int, keep: Sequence[str] = ()) -> DataFrame:
+    """The seeds and all that they depend on, each once (and for each root, if the
+    columns to keep name one)."""
 
-    def parents(rows: DataFrame) -> DataFrame:
-        return with_parents(rows, half).select(F.col("parent_level").alias("level"), F.col("parent_x").alias("x"), F.col("parent_y").alias("y"))
+    def up(rows: DataFrame) -> DataFrame:
+        return with_parents(rows, half, keep).select(*keep, F.col("parent_level").alias("level"), F.col("parent_x").alias("x"), F.col("parent_y").alias("y"))
 
-    return loops.closure(seeds.select(*KEY), parents, levels + 1)
+    return loops.closure(seeds.select(*keep, *KEY), up, levels + 1)
 
 
 def blocked(nodes: DataFrame, missing: Column, half: int, levels: int) -> DataFrame:

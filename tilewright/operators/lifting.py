@@ -15,22 +15,22 @@ def rounded(v: np.ndarray, divisor: int) -> np.ndarray:
 
 
 def predict(corners: np.ndarray) -> np.ndarray:
-    """Centres (n, n) from corners (n + 1, n + 1): ten times the four nearest less the
-    eight around them, by 32, inside; the mean of four along the border."""
+    """Centres (..., n, n) from corners (..., n + 1, n + 1): ten times the four nearest
+    less the eight around them, by 32, inside; the mean of four along the border."""
     p = corners.astype(np.int64)
-    near = p[:-1, :-1] + p[:-1, 1:] + p[1:, :-1] + p[1:, 1:]
+    near = p[..., :-1, :-1] + p[..., :-1, 1:] + p[..., 1:, :-1] + p[..., 1:, 1:]
     out = rounded(near, 4)
-    if len(p) > 3:
-        ring = p[:-3, 1:-2] + p[:-3, 2:-1] + p[1:-2, :-3] + p[2:-1, :-3] + p[1:-2, 3:] + p[2:-1, 3:] + p[3:, 1:-2] + p[3:, 2:-1]
-        out[1:-1, 1:-1] = rounded(10 * near[1:-1, 1:-1] - ring, 32)
+    if p.shape[-1] > 3:
+        ring = p[..., :-3, 1:-2] + p[..., :-3, 2:-1] + p[..., 1:-2, :-3] + p[..., 2:-1, :-3] + p[..., 1:-2, 3:] + p[..., 2:-1, 3:] + p[..., 3:, 1:-2] + p[..., 3:, 2:-1]
+        out[..., 1:-1, 1:-1] = rounded(10 * near[..., 1:-1, 1:-1] - ring, 32)
     return out
 
 
 def update(details: np.ndarray) -> np.ndarray:
-    """What the corners gain from details (n, n): half the mean of four, none along the border."""
+    """What the corners gain from details (..., n, n): half the mean of four, none along the border."""
     d = details.astype(np.int64)
-    out = np.zeros((len(d) + 1, len(d) + 1), np.int64)
-    out[1:-1, 1:-1] = rounded(d[:-1, :-1] + d[:-1, 1:] + d[1:, :-1] + d[1:, 1:], 8)
+    out = np.zeros((*d.shape[:-2], d.shape[-2] + 1, d.shape[-1] + 1), np.int64)
+    out[..., 1:-1, 1:-1] = rounded(d[..., :-1, :-1] + d[..., :-1, 1:] + d[..., 1:, :-1] + d[..., 1:, 1:], 8)
     return out
 
 
