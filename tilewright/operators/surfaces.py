@@ -99,6 +99,11 @@ def _too_large(*parts: np.ndarray) -> np.ndarray:
     return bad
 
 
+def _filled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches that have rows."""
+    return (f for f in frames if len(f))
+
+
 def _lists(a: np.ndarray) -> list[np.ndarray]:
     return list(a.reshape(len(a), int(np.prod(a.shape[1:]))))
 
@@ -152,16 +157,15 @@ def build(samples: DataFrame, half: int, n: int, levels: int, tolerance: int = 0
     size = (2 * n + 1) ** 2
 
     def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in _filled(frames):
             m = np.full((len(f), size), missing, np.int64)
-            if len(f):
-                count = f["places"].str.len().to_numpy()
-                m[np.repeat(np.arange(len(f)), count), np.concatenate(f["places"].to_numpy())] = np.concatenate(f["values"].to_numpy())
+            count = f["places"].str.len().to_numpy()
+            m[np.repeat(np.arange(len(f)), count), np.concatenate(f["places"].to_numpy())] = np.concatenate(f["values"].to_numpy())
             yield _analysed(f, levels, m.reshape(len(f), 2 * n + 1, 2 * n + 1), tolerance)
 
     def inner(level: int):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
+            for f in _filled(frames):
                 m, known = np.zeros((len(f), size), np.int64), np.zeros((len(f), size), bool)
                 for k, (x, y, parts) in enumerate(zip(f["x"], f["y"], f["parts"], strict=True)):
                     for part in parts:
@@ -207,8 +211,8 @@ def synthesise(roots: DataFrame, records: DataFrame, half: int, n: int, levels:
 
     def refined(level: int, whole: bool):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                low = np.stack(f["low"].to_numpy()).reshape(-1, n + 1, n + 1) if len(f) else np.zeros((0, n + 1, n + 1), np.int64)
+            for f in _filled(frames):
+                low = np.stack(f["low"].to_numpy()).reshape(-1, n + 1, n + 1)
                 codes = np.array([np.zeros(n * n, np.int64) if c is None else c for c in f["codes"]], np.int64).reshape(-1, n, n)
                 step = 2 * f["tolerance"].fillna(0).to_numpy(np.int64)[:, None, None] + 1
                 details = np.clip(codes * step, _LEAST, _MOST)
@@ -221,8 +225,10 @@ def synthesise(roots: DataFrame, records: DataFrame, half: int, n: int, levels:
                 m = np.zeros((len(f), 2 * n + 1, 2 * n + 1), np.int64)
                 m[:, ::2, ::2], m[:, 1::2, 1::2] = p, q
                 m, good = m.reshape(len(f), (2 * n + 1) ** 2)[~bad], f[~bad]
+                if not len(good):
+                    continue
                 absent = f["codes"].isna().to_numpy()[~bad]
-                own = np.stack(good["data_levels"].to_numpy()) if len(good) else np.zeros((0, 2))
+                own = np.stack(good["data_levels"].to_numpy())
                 for dx, dy in children(level, half):
                     x, y = good["x"].to_numpy() + dx, good["y"].to_numpy() + dy
                     inside = (x >= 0) & (x <= 2 * half) & (y >= 0) & (y <= 2 * half)
@@ -238,7 +244,7 @@ def synthesise(roots: DataFrame, records: DataFrame, half: int, n: int, levels:
 
     def assembled(level: int):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
+            for f in _filled(frames):
                 low, known = np.zeros((len(f), (n + 1) ** 2), np.int64), np.zeros((len(f), (n + 1) ** 2), bool)
                 sides, data = np.zeros((len(f), 2), bool), np.full((len(f), 2), -1)
                 x, y = f["x"].to_numpy(), f["y"].to_numpy()
