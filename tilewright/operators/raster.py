@@ -31,13 +31,13 @@ def to_bands(rows: DataFrame) -> DataFrame:
     return rows.select(*keys, F.posexplode("bands").alias("band", "value"))
 
 
-def combine(pixels: DataFrame, layer: str, least: int) -> DataFrame:
+def combine(pixels: DataFrame, layer: str, least: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """The last layer whose pixel isn't null wins; pixels without one are 0.
-    (x, y, bands)"""
-    rows = by_pixel(pixels, layer)
+    (keys, x, y, bands)"""
+    rows = by_pixel(pixels, layer, *keys)
     order = F.when(~is_null(F.col("bands"), least), F.col(layer))
-    best = rows.groupBy("x", "y").agg(F.max_by("bands", order).alias("best"), F.max(F.size("bands")).alias("n"))
-    return best.select("x", "y", F.coalesce("best", F.array_repeat(F.lit(0), F.col("n"))).alias("bands"))
+    best = rows.groupBy(*keys, "x", "y").agg(F.max_by("bands", order).alias("best"), F.max(F.size("bands")).alias("n"))
+    return best.select(*keys, "x", "y", F.coalesce("best", F.array_repeat(F.lit(0), F.col("n"))).alias("bands"))
 
 
 def coarsen(pixels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
