@@ -2,26 +2,29 @@
 blocks with notice templates, in DataFrame operations only.
 
 A block is a window of words, whatever line breaks and marks stand between them,
-as long as the template with room for foreign words (``window_words``); every
+as long as the template with room for foreign words; every
 place of every text begins one.  It meets a template when it holds at least
-``THRESHOLD`` of the template's distinct words.  Words are put in one global
-order, rarest first; then a block that meets a template must share a word with
-the first ``size - need + 1`` words of the template (prefix filter), must hold
-``need`` of the template's words at all (length filter; texts that don't hold as
-many anywhere have no block that does), and the places of the first shared
-word must leave room for ``need`` shared words (positional filter).  What is
-left is verified exactly.  Blocks with the same words are joined once.
+``THRESHOLD`` of the template's distinct words, ``need`` of ``size``.
+
+The template's words are put in one global order, rarest in the corpus first.  Then a
+block that meets a template holds one of the first ``size - need + 1`` of its words
+(prefix filter), so only places of such words, anchors, are looked at: no window is made
+elsewhere.  An anchor is taken as the rarest word that block and template share.  Then
+``need`` words from its own place in the order on must be in the text at all (length
+filter), and also in the words that windows over the anchor can reach (positional
+filter).  Only then windows are made, those that hold the anchor, and counted exactly.
+A word's templates are found by a join, so many templates cost what their rarest words
+cost.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import saved
-
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -53,33 +56,54 @@ TEMPLATES = (
 )
 
 
-def template_rows() -> list[tuple[int, str, list[str], int]]:
-    """(number, label, distinct words, words needed)"""
+def template_rows(templates: Sequence[tuple[str, str]] = TEMPLATES) -> list[tuple[int, str, list[str], int, int]]:
+    """(number, label, distinct words, words needed, words of a window)"""
     out = []
-    for k, (label, text) in enumerate(TEMPLATES):
+    for k, (label, text) in enumerate(templates):
         words = sorted(set(text.split()))
-        out.append((k, label, words, math.ceil(THRESHOLD * len(words) - 1e-9)))
+        out.append((k, label, words, math.ceil(THRESHOLD * len(words) - 1e-9), math.ceil(len(text.split()) / THRESHOLD)))
     return out
 
 
-def window_words(template: int) -> int:
-    """Words of a block that is held against a template."""
-    return math.ceil(len(TEMPLATES[template][1].split()) / THRESHOLD)
+def _strings(values: Sequence[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def _strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _words(docs: DataFrame) -> DataFrame:
+    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
+    return docs.select("doc_id", F.array_remove(F.split(text, NOT_WORD), "").alias("words"))
 
 
-def scan_texts(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: word counts, phrase starts, and for each template
-    that the text's words can meet the sets of its words in windows (``blocks``,
-    structs of template and found)."""
-    templates = template_rows()
-    vocabulary = _strings(sorted({w for _, _, words, _ in templates for w in words}))
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    rows = docs.select("doc_id", F.array_remove(F.split(text, NOT_WORD), "").alias("words"))
-    rows = rows.withColumn("held", F.array_intersect(vocabulary, "words"))
+def corpus_order(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> list[str]:
+    """The words of all templates, those in the fewest texts first."""
+    vocabulary = sorted({w for _, _, words, _, _ in template_rows(templates) for w in words})
+    held = _words(docs).select(F.explode(F.array_intersect(_strings(vocabulary), "words")).alias("word"))
+    counts = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}  # a number for each template word
+    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
+
+
+def prefixes(order: list[str], templates: Sequence[tuple[str, str]] = TEMPLATES) -> list[tuple]:
+    """(word, template, label, size, need, window, rest): the words of which a block
+    that meets a template holds one, with the template's words from there on in the order."""
+    place = {w: k for k, w in enumerate(order)}
+    out = []
+    for k, label, words, need, window in template_rows(templates):
+        own = sorted(words, key=place.__getitem__)
+        out += [(w, k, label, len(own), need, window, own[i:]) for i, w in enumerate(own[: len(own) - need + 1])]
+    return out
+
+
+def candidates(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """One pass over the texts, with a row for each anchor and each template that it can
+    belong to, and one with anchor -1 for each text:
+    row, doc_id, n_words, p0 and on (starts of the phrases), anchor, template, label, size,
+    long_enough, placed (whether the length and the positional filter let it pass), and
+    best (the most words that a window over the anchor shares; null if it isn't made)."""
+    spark = docs.sparkSession
+    order = corpus_order(docs, templates)
+    rarest = prefixes(order, templates)
+    anchors = sorted({r[0] for r in rarest})
+    rows = _words(docs).withColumn("held", F.array_intersect(_strings(sorted(order)), "words"))
     # phrases hold one of two words; the others' texts need no look at each place
     hint = F.array_contains("words", "license") | F.array_contains("words", "cc")
     places = F.sequence(F.lit(0), F.size("words") - 1)
@@ -95,56 +119,42 @@ def scan_texts(docs: DataFrame) -> DataFrame:
 
         return F.when(hint, F.filter(places, here)).otherwise(F.array().cast("array<int>"))
 
-    def windows(template: int, own: list[str], need: int) -> Column:
-        """The template's words in each window, where they are enough; windows
-        begin with one of them, as others hold no more."""
-        mine = _strings(own)
-        places_of = F.filter(places, lambda i: F.array_contains(mine, F.get("words", i)))
-        found = F.transform(places_of, lambda i: F.array_intersect(mine, F.slice("words", i + 1, window_words(template))))
-        can = F.size(F.array_intersect(mine, "held")) >= need
-        sets = F.when(can, F.array_distinct(F.filter(found, lambda held: F.size(held) >= need))).otherwise(F.array().cast("array<array<string>>"))
-        return F.transform(sets, lambda held: F.struct(F.lit(template).alias("template"), held.alias("found")))
-
-    blocks = F.flatten(F.array(*[windows(k, own, need) for k, _, own, need in templates]))
-    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), *[starts(p).alias(f"p{k}") for k, (p, _) in enumerate(PHRASES)], blocks.alias("blocks"))
-
-
-def matching_templates(sets: DataFrame) -> DataFrame:
-    """(template, found, label, share): each distinct block's words ``found`` that
-    meet the template they were looked for by."""
-    spark = sets.sparkSession
-    templates = spark.createDataFrame(template_rows(), "template int, label string, own array<string>, need int")
-    tokens = sets.select("template", "found", F.explode("found").alias("token"))
-    order = tokens.groupBy("token").count().withColumnRenamed("count", "freq")
-    own = templates.select("template", "label", "own", "need", F.explode("own").alias("token")).join(order, "token")  # words that no block holds match nothing
-    missing = F.size("own") - F.count("*").over(Window.partitionBy("template"))  # they come first in the order
-    place = F.row_number().over(Window.partitionBy("template").orderBy("freq", "token"))
-    left = own.select("template", "label", "own", "need", "token", (missing + place - 1).alias("i"))
-    left = left.where(F.col("i") <= F.size("own") - F.col("need"))
-    at = F.row_number().over(Window.partitionBy("template", "found").orderBy("freq", "token")) - 1
-    right = tokens.join(order, "token").select("template", "found", "token", at.alias("j"))
-    pairs = right.join(left, ["template", "token"]).where(F.size("found") >= F.col("need"))
-    room = 1 + F.least(F.size("own") - F.col("i") - 1, F.size("found") - F.col("j") - 1)
-    pairs = pairs.where(room >= F.col("need")).select("found", "template", "label", "own", "need").distinct()
-    shared = F.size(F.array_intersect("found", "own"))
-    return pairs.where(shared >= F.col("need")).select("template", "found", "label", (shared / F.size("own")).alias("share"))
-
-
-def scan_licenses(docs: DataFrame) -> DataFrame:
+    none = F.array().cast("array<int>")
+    at = F.when(F.size("words") > 0, F.filter(places, lambda i: F.get("words", i).isin(anchors))).otherwise(none)
+    phrases = [starts(p).alias(f"p{k}") for k, (p, _) in enumerate(PHRASES)]
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), *phrases, "words", "held", F.array_append(at, F.lit(-1)).alias("at"))
+    names = [f"p{k}" for k in range(len(PHRASES))]
+    rows = rows.select("row", "doc_id", "n_words", *names, "words", "held", F.explode("at").alias("anchor"))
+    rows = rows.withColumn("word", F.when(F.col("anchor") >= 0, F.get("words", F.col("anchor"))))
+    index = spark.createDataFrame(rarest, "word string, template int, label string, size int, need int, window int, rest array<string>")
+    rows = rows.join(F.broadcast(index), "word", "left")  # as many rows as templates have prefix words
+    first = F.greatest(F.col("anchor") - F.col("window") + 1, F.lit(0))
+    reached = F.slice("words", first + 1, F.col("anchor") - first + F.col("window"))
+    long_enough = F.coalesce((F.col("n_words") >= F.col("need")) & (F.size(F.array_intersect("rest", "held")) >= F.col("need")), F.lit(False))
+    rows = rows.select("row", "doc_id", "n_words", *names, "anchor", "template", "label", "size", "need", "window", "rest", long_enough.alias("long_enough"), (F.col("anchor") - first).alias("inner"), F.when(long_enough, reached).alias("reached"))
+    placed = F.coalesce(F.size(F.array_intersect("rest", "reached")) >= F.col("need"), F.lit(False))
+    rows = rows.withColumn("placed", placed)
+    # windows begin with a shared word, as others hold no more
+    begins = F.filter(F.sequence(F.lit(0), "inner"), lambda i: F.array_contains("rest", F.get("reached", i)))
+    shared = F.transform(begins, lambda i: F.size(F.array_intersect("rest", F.slice("reached", i + 1, F.col("window")))))
+    best = F.when(F.col("placed"), F.array_max(shared))
+    return rows.select("row", "doc_id", "n_words", *names, "anchor", "template", "label", "size", "long_enough", "placed", F.when(best >= F.col("need"), best).alias("best"))
+
+
+def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """Labels per document.
 
     Null and empty texts have no words, no labels and score 0; repeated rows
-    give repeated results; an empty table gives no rows; further columns are not
+    give repeated results; very long texts are read whole, and only the surroundings of
+    anchors are held besides; an empty table gives no rows; further columns are not
     read.  ``score`` is 1 with a phrase, else the best template's share, else 0."""
-    base = saved(scan_texts(docs).withColumn("row", F.monotonically_increasing_id()), "license-scan")
-    blocks = base.select("row", F.explode("blocks").alias("block")).select("row", "block.*")
-    # written, so that the join's shuffles stand alone and a common block's rows can be dealt to several tasks
-    met = saved(matching_templates(blocks.select("template", "found").distinct()), "license-met")
-    by_row = blocks.join(met, ["template", "found"]).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
-    rows = base.join(by_row, "row", "left")
-    starts = F.concat(*[F.col(f"p{k}") for k in range(len(PHRASES))])
+    names = [f"p{k}" for k in range(len(PHRASES))]
+    found = candidates(docs, templates).select("row", "doc_id", "n_words", *names, F.when(F.col("best").isNotNull(), F.col("label")).alias("label"), (F.col("best") / F.col("size")).alias("share"))
+    # combined before the shuffle: of a text one row travels
+    rows = found.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"), *(F.first(c).alias(c) for c in ("doc_id", "n_words", *names)))
+    starts = F.concat(*names)
     of_base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)])))
-    every = F.array_sort(F.array_union(of_base, F.coalesce("more", F.array().cast("array<string>"))))
+    every = F.array_sort(F.array_union(of_base, F.col("more")))
     return rows.select(
         "doc_id", "n_words", F.size(starts).cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
@@ -159,7 +169,7 @@ def oracle_sql() -> str:
     def items(words: list[str]) -> str:
         return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
-    templates = ", ".join(f"({k}, '{label}', {items(words)}, {need}, {window_words(k)})" for k, label, words, need in template_rows())
+    templates = ", ".join(f"({k}, '{label}', {items(words)}, {need}, {window})" for k, label, words, need, window in template_rows())
     tests = []
     for phrase, _ in PHRASES:
         parts = phrase.split()
