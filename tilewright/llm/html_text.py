@@ -27,52 +27,134 @@ _SPACE = re.compile(r"\s+")
 # fixed values: the elements' roles
 RAW = frozenset(("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "xmp", "noframes", "noembed", "title"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
-DROPPED = RAW | frozenset(("head", "nav", "footer", "aside", "form", "button", "select", "option", "annotation", "annotation-xml", "label", "fieldset", "dialog", "menu", "audio", "video", "map", "input", "datalist", "progress", "meter"))
+DROPPED = RAW | frozenset(("head", "nav", "footer", "aside", "button", "select", "option", "annotation", "annotation-xml", "label", "dialog", "menu", "audio", "video", "map", "input", "datalist", "progress", "meter"))
 INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "ruby", "rt", "rp", "math", "mrow", "mi", "mn", "mo", "mtext", "ms", "msub", "msup", "msubsup", "mfrac", "msqrt", "mroot", "munder", "mover", "munderover", "mtable", "mtr", "mtd", "mspace", "mstyle", "semantics", "mfenced", "mpadded"))
 CLOSES_P = frozenset(("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"))
 PARAGRAPHS = frozenset(("p", "pre", "td", "blockquote", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt", "figcaption"))
-#: inside an article names that only may mean boilerplate don't count: bylines, legal texts, tags and sections on related work are its own
-_NOT_IN_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|crumbs|pagination|pager|"
-    r"sidebar\w*|widget\w*|footer\w*|toolbar|share\w*|sharing|social\w*|comments?|commentlist|disqus|respond|reply|replies|skip\w*|hidden)(?=$|[\s_-])|(?:^|\s)(?:related|recommend\w*)(?:$|\s|[_-](?:posts?|articles?|stor\w+|links?|content|topics?|news|items?|pages?|reading)(?=$|[\s_-]))",
-    re.IGNORECASE,
+# fixed values: words of class and id names by what they say of an element
+#: readers' comments; other boilerplate; boilerplate only where the text is short or full of links
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+BOILERPLATE = frozenset(
+    "ad ads adsense sponsor sponsors sponsored promo promos promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login nav navbar navigation menu menus "
+    "breadcrumb breadcrumbs crumbs pagination pager sidebar sidebars widget widgets footer toolbar share shared sharing social related recommended recommendation recommendations skip skiplink hidden".split()
 )
-_NOT_MAIN = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|crumbs|pagination|pager|"
-    r"sidebar\w*|side|aside|rail|widget\w*|footer\w*|foot|header|masthead|topbar|toolbar|share\w*|sharing|social\w*|related\w*|recommend\w*|comments?|commentlist|disqus|respond|reply|replies|discussion|skip\w*|hidden|legal|copyright|tags?|byline|meta)(?=$|[\s_-])",
-    re.IGNORECASE,
+#: inside an article these are its own: bylines, legal texts, headers
+OUTSIDE = frozenset("alert aside legal copyright topbar masthead".split())
+WEAK = frozenset("side rail foot header discussion tag tags byline meta".split())
+#: what may stand after such a word without changing its sense
+PARTS = frozenset(
+    "area bar block body bottom box btn button buttons card cards center column columns container content cont count feed form full group header head holder icon icons inner item items label left link links list lists main media "
+    "menu module news outer page pages panel post posts article articles story stories topics reading primary region right row secondary section site small slot tab tabs text title to top unit view wrap wrapper zone thread author template".split()
 )
+#: of a name that begins with one of these the rest says what an element has, not what it is
+MODIFIERS = frozenset("has have with without no not is show shows hide two three".split())
+STOPS = frozenset("a an and as at by for from in into of on or over the to under".split())
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content\w*|entry|main\w*|post\w*|text|story|blog)(?=$|[\s_-])", re.IGNORECASE)
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"))
 
 
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: how sure it is that an element is no main text
+WEAKLY, STRONGLY, BY_READERS, FORM = 1, 2, 3, 4
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "weight", "length", "links", "commas")
+    __slots__ = ("tag", "parent", "children", "score", "weight", "length", "links", "commas", "flag", "prose", "leads")
 
-    def __init__(self, tag: str, parent: Node | None, weight: float = 0):
-        self.tag, self.parent, self.weight = tag, parent, weight
+    def __init__(self, tag: str, parent: Node | None, weight: float = 0, flag: int = 0):
+        self.tag, self.parent, self.weight, self.flag = tag, parent, weight, flag
         self.children: list[Node | str] = []
         self.score, self.length, self.links, self.commas = 0.0, 0, 0, 0
-
-
-def _judge(tag: str, attributes: str, inside: bool = False) -> float | None:
-    """A weight by class, id and role; None if the element is never main text."""
+        self.prose, self.leads = 0, False
+
+
+def named(name: str, inside: bool) -> int:
+    """What a class or id says: 0 if it doesn't name boilerplate.  A name is one if such
+    a word ends it, or has only parts of pages after it: a ``social-impact`` or a page that
+    ``has-sidebar`` is none, nor is a phrase with words like ``of``."""
+    parts = [w for w in re.split(r"[\W_]+", _CAMEL.sub("-", name).lower()) if w and not w.isdigit()]
+    if not parts or parts[0] in MODIFIERS and len(parts) > 1:
+        return 0
+    found = 0
+    for k, w in enumerate(parts):
+        of = BY_READERS if w in COMMENTS else STRONGLY if w in BOILERPLATE or w.startswith("advert") or (w in OUTSIDE and not inside) else WEAKLY if w in WEAK and not inside else 0
+        if of and all(v in PARTS or v in BOILERPLATE or v in COMMENTS or v in WEAK or len(v) < 3 and v not in STOPS for v in parts[k + 1 :]):
+            found = max(found, of)
+    return 0 if STOPS.intersection(parts[1:-1]) else found
+
+
+def _judge(tag: str, attributes: str, inside: bool = False) -> tuple[float | None, int]:
+    """(weight by class, id and role, flag); the weight is None if the element is never
+    main text.  Headings and what stands inside a line aren't judged by their names."""
+    if tag == "form" or tag == "fieldset":
+        return 0.0, FORM
     if tag in DROPPED:
-        return None
-    if tag in ("html", "body", "main", "article") or not attributes.strip():
-        return 25.0 if tag in ("article", "main") else 0.0
+        return None, 0
+    if tag in ("html", "body", "main", "article") and not (tag == "article" and inside) or not attributes.strip():
+        return (25.0 if tag in ("article", "main") else 0.0), 0
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    names = f"{found.get('class', '')} {found.get('id', '')}"
     if found.get("role", "").lower() in _ROLES or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return None
+        return None, 0
     if re.search(r"(?i)(?:^|\s)hidden(?:\s|=|$)", re.sub(_ATTRIBUTE, " ", attributes)):
-        return None
-    if (_NOT_IN_ARTICLE if inside else _NOT_MAIN).search(names) and tag not in INLINE:
-        return None if not _MAIN.search(names) or _STRONG.search(names) else -25.0
-    return 25.0 if _MAIN.search(names) else 0.0
+        return None, 0
+    names = f"{found.get('class', '')} {found.get('id', '')}"
+    flag = 0 if tag in INLINE or tag in HEADINGS else max((named(n, inside) for n in names.split()), default=0)
+    return (25.0 if tag in ("article", "main") or not flag and _MAIN.search(names) else 0.0), flag
+
+
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
+def prune(root: Node) -> None:
+    """Takes out elements that their names or tags flag, where what they hold agrees.
+
+    Readers' comments go unless the page's title or main part lies in them.  Other flagged
+    elements go unless they hold that, or half of the page's paragraph text: then they are
+    wrappers that have a sidebar, not sidebars.  Weakly flagged ones go only if they are
+    short or full of links."""
+    nodes = _walk(root)
+    for node in reversed(nodes):
+        node.leads = node.tag in ("h1", "main")
+        own = 0
+        for c in node.children:
+            if isinstance(c, str):
+                text = len(c.strip())
+                node.length += text
+                own += text
+            else:
+                node.length += c.length
+                node.links += c.length if c.tag == "a" else c.links
+                own += c.length - c.links if c.tag in INLINE and c.tag != "a" else 0
+                node.leads |= c.leads and c.flag != BY_READERS
+                if c.tag not in INLINE and c.flag != BY_READERS:
+                    node.prose += c.prose
+        if node.tag in ("p", "pre", "blockquote", "dd") or node.tag in ("div", "td", "section", "article", "main", "body", "html", "form"):
+            node.prose += own if own >= 25 else 0
+    total = root.prose
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        kept: list[Node | str] = []
+        for c in node.children:
+            if isinstance(c, Node) and c.flag and not _stays(c, total):
+                kept.append(Node("hr", node))
+            else:
+                kept.append(c)
+                if isinstance(c, Node):
+                    stack.append(c)
+        node.children = kept
+    for node in nodes:
+        node.length = node.links = 0
 
 
-_STRONG = re.compile(r"(?i)comment|sidebar|footer|nav|menu|advert|cookie|related|share|social|respond|repl(?:y|ies)|newsletter|promo|sponsor")
+def _stays(c: Node, total: int) -> bool:
+    if c.leads and (c.prose or c.flag != STRONGLY):
+        return True
+    if c.flag == BY_READERS:
+        return False
+    if c.flag == WEAKLY:
+        return c.prose >= 140 and c.links * 5 < c.length
+    return c.prose > 0 and c.prose * 2 >= total and c.links * 2 < c.length
 
 
 def parse(page: str) -> Node:
@@ -128,9 +210,9 @@ def parse(page: str) -> Node:
             if tag in ("br", "hr", "img"):
                 here.children.append(Node(tag, here))
             continue
-        weight = _judge(tag, attributes, article_depth > 0)
+        weight, flag = _judge(tag, attributes, article_depth > 0)
         if tag == "header" and not article_depth:
-            weight = None
+            flag = max(flag, WEAKLY)
         if weight is None:
             if not attributes.rstrip().endswith("/"):
                 skipped, skip_tag = 1, tag
@@ -142,7 +224,7 @@ def parse(page: str) -> Node:
             here = _close_p(here, root)
         elif tag in ("li", "dt", "dd", "tr", "td", "th"):
             here = _close_item(here, root, tag)
-        node = Node(tag, here, weight)
+        node = Node(tag, here, weight, flag)
         here.children.append(node)
         here = node
         if tag == "article":
@@ -182,6 +264,7 @@ def _walk(root: Node) -> list[Node]:
 
 def score(root: Node) -> list[Node]:
     """Sets lengths, link lengths and points; returns the nodes, parents first."""
+    prune(root)
     nodes = _walk(root)
     for node in reversed(nodes):
         for c in node.children:
@@ -242,36 +325,53 @@ def best_nodes(nodes: list[Node]) -> list[Node]:
     if not pool:
         return [root]
     best = max(pool, key=lambda n: (n.score, n.length))
-    up = best
-    while up is not None:  # a part of an article stands for the article
-        if up.tag in ("article", "main") and up.length:
-            best = up
-            break
-        up = up.parent
-    else:
-        if len(articles) == 1 and articles[0].length * 4 >= root.length:
-            best = articles[0]
-    if best.parent is None:
+    within = [best]
+    while within[-1].parent is not None:
+        within.append(within[-1].parent)
+    main = next((n for n in within if n.tag == "main" and n.length), None)
+    own = next((n for n in within if n.tag == "article" and n.length), None)
+    if own is None and main is None and len(articles) == 1 and articles[0].length * 4 >= root.length:
+        own = articles[0]
+    if main is not None and best is main:
+        return [main]
+    best = own or main or best  # a part of an article stands for the article
+    if best.parent is None or best is main:
         return [best]
     least = max(10.0, best.score * 0.2)
-    inside = best.tag in ("article", "main")
     out, here = [best], best
     while here.parent is not None:
-        kept = [c is here or _belongs(c, least, inside) for c in here.parent.children]
-        if not inside:
-            _spread(here.parent.children, kept)
+        siblings = here.parent.children
+        kept = [c is here or _belongs(c, least, own is not None and main is None) for c in siblings]
+        if own is None or main is not None:
+            _spread(siblings, kept)
+        else:
+            _appended(siblings, kept)
         level: list[Node] = []
-        for c, keep in zip(here.parent.children, kept, strict=True):
+        for c, keep in zip(siblings, kept, strict=True):
             if c is here:
                 level.extend(out)
             elif keep:
                 level.append(_wrap(c, here.parent))
         out, here = level, here.parent
-        if inside:
+        if here is main or own is not None and main is None:
             break
     return out
 
 
+def _appended(children: list[Node | str], kept: list[bool]) -> None:
+    """Keeps what follows an article under a heading of its own: an appendix, notes."""
+    beside = False
+    for k, c in enumerate(children):
+        if isinstance(c, str) or c.tag in ("hr", "br", "img") or not c.length:
+            continue
+        if kept[k]:
+            beside = True
+        elif beside and c.tag in _BESIDE and c.tag not in INLINE and _density(c) < 0.3 and (c.tag in HEADINGS or any(isinstance(b, Node) and b.tag in HEADINGS and kept[j] for j, b in enumerate(children[:k]))):
+            kept[k] = True
+        else:
+            beside = False
+
+
 def _wrap(c: Node | str, parent: Node) -> Node:
     if isinstance(c, Node):
         return c
