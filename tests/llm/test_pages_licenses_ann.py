@@ -220,3 +220,47 @@ def test_probes_follow_the_clusters():
 
 def test_no_vectors(spark):
     assert ivfpq.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("dim", [16, 64])
+def test_outliers_have_all_their_neighbours(spark, dim):
+    """Tight clusters, and queries far from all of them: ten answers each, the true ones."""
+    r = np.random.default_rng(12)
+    x = np.repeat(r.normal(size=(40, dim)), 247, axis=0) + 0.01 * r.normal(size=(9880, dim))
+    x = np.concatenate([x, 3 * r.normal(size=(100, dim))])
+    ids = [100 * k if k < 100 else 100_000 + 1 + k for k in range(len(x))]
+    x = np.concatenate([x[-100:], x[:-100]])
+    found = ivfpq.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")).collect()
+    by = {}
+    for f in found:
+        by.setdefault(f["query_id"], []).append(f["vec_id"])
+    queries = [k for k, i in enumerate(ids) if i % 100 == 0]
+    hits = 0
+    for q in queries:
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        assert len(by[ids[q]]) == 10
+        hits += len(set(by[ids[q]]) & {ids[k] for k in np.argsort(d)[:10]})
+    assert hits >= 0.99 * 10 * len(queries)
+
+
+def test_lists_that_hold_too_few(spark, monkeypatch):
+    """Fewer rows in the probed lists than answers are wanted: the others are looked into."""
+    monkeypatch.setattr(ivfpq, "measured", lambda index, x, k, recall: (1, float("inf")))
+    r = np.random.default_rng(13)
+    x = r.normal(size=(60, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ivfpq.nearest(df, every=1).groupBy("query_id").count().collect()
+    assert len(found) == 60 and {f["count"] for f in found} == {10}
+
+
+def test_more_lengths_and_clashing_names(spark):
+    """Each vector length apart, however many; columns named like those inside."""
+    from pyspark.sql import functions as F
+
+    rows = [(100 * n + k, [float(k + j) for j in range(1, n + 2)]) for n in range(12) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name in ("key", "v", "digest", "dim", "copy", "ids", "slice", "shard", "list", "score", "found", "bound", "rank", "query_id"):
+        df = df.withColumn(name, F.lit(1))
+    got = sorted((f["query_id"], f["vec_id"]) for f in ivfpq.nearest(df).collect())
+    assert got == [(100 * n, 100 * n + 1) for n in range(12)]

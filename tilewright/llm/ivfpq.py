@@ -15,6 +15,10 @@ quantisation error of each entry is stored: its true distance can't be less than
 the approximate one by more than that, so only entries that can't be among the
 nearest are left out, and all others are ranked by their true distance.
 
+A query that has found too few neighbours then, or only ones farther than nearly all of
+the sample's are, lies outside what the probes were measured on.  It goes on down all
+its other lists, until what it has found excludes them; its answers are exact.
+
 Equal vectors are one entry: of a vector's copies only the k + 1 with the
 smallest ids can ever be among the k nearest of any query, so each copy keeps
 its list, but no list holds more than that of one vector.  Long lists are split
@@ -37,8 +41,6 @@ from tilewright.llm.common import saved
 LISTS, ROWS_A_LIST, TRAIN_ROWS, SHARD_ROWS, SLICE = 8192, 16, 8192, 4000, 4000
 #: Rows of the sample whose neighbours are looked for to measure probes.
 MEASURED = 400
-#: Kinds of vector lengths that one table may have.
-MOST_LENGTHS = 64
 
 
 @dataclass
@@ -100,12 +102,13 @@ def train(x: np.ndarray, lists: int, parts: int = 8, codes: int = 256) -> Index:
     return Index(centroids, np.stack([kmeans(rest[:, p], codes, rounds=8) for p in range(parts)]))
 
 
-def measured_probes(index: Index, x: np.ndarray, k: int, recall: float) -> int:
-    """The fewest lists of a query that hold ``recall`` of its k nearest rows of the
-    sample.  The whole table is denser than the sample, so its neighbours lie closer."""
+def measured(index: Index, x: np.ndarray, k: int, recall: float) -> tuple[int, float]:
+    """(lists, distance): the fewest lists of a query that hold ``recall`` of its k
+    nearest rows of the sample, and how far the k-th of them is at most for as many of the
+    sample's rows.  The whole table is denser than the sample, so its neighbours lie closer."""
     lists = len(index.centroids)
     if recall >= 1 or len(x) <= k:
-        return lists
+        return lists, np.inf
     asked = x[:MEASURED]
     d = (x**2).sum(axis=1) - 2 * asked @ x.T
     d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
@@ -113,7 +116,13 @@ def measured_probes(index: Index, x: np.ndarray, k: int, recall: float) -> int:
     place = np.empty((len(asked), lists), np.int64)
     np.put_along_axis(place, index.assign(asked, lists), np.arange(lists)[None], axis=1)
     needed = np.sort(np.take_along_axis(place, index.assign(x)[:, 0][near], axis=1).ravel())
-    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+    at = lambda n: min(n - 1, int(np.ceil(recall * n)) - 1)
+    last = np.sort(np.sqrt(np.maximum(np.take_along_axis(d, near, axis=1).max(axis=1) + (asked**2).sum(axis=1), 0)))
+    return int(needed[at(len(needed))]) + 1, float(last[at(len(last))])
+
+
+def measured_probes(index: Index, x: np.ndarray, k: int, recall: float) -> int:
+    return measured(index, x, k, recall)[0]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -165,13 +174,12 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, recall: float = 0
     non-finite components) take no part; of a repeated id the smallest vector
     counts; vectors of different lengths have no distance and are never each
     other's answers; an empty table gives no rows; further columns are not read.
-    As many lists are looked into as hold ``recall`` of a sample's neighbours;
-    1 means every list, and then the answers are exact."""
+    As many lists are looked into as hold ``recall`` of a sample's neighbours, and all
+    that may hold nearer ones by queries far from everything; 1 means every list, and
+    then all answers are exact.  A query has k answers wherever there are k candidates."""
     spark = vectors.sparkSession
     rows = saved(usable(vectors).withColumn("dim", F.size("v")), "ann-rows")
-    lengths = [r["dim"] for r in rows.select("dim").distinct().limit(MOST_LENGTHS + 1).collect()]
-    if len(lengths) > MOST_LENGTHS:
-        raise ValueError(f"vectors of over {MOST_LENGTHS} different lengths")
+    lengths = [r["dim"] for r in rows.select("dim").distinct().collect()]
     out = spark.createDataFrame([], ANSWER)
     for dim in sorted(lengths):
         out = out.union(_nearest_of_length(rows.where(F.col("dim") == dim).select("vec_id", "v"), dim, k, every, recall))
@@ -190,7 +198,7 @@ def _nearest_of_length(rows: DataFrame, dim: int, k: int, every: int, recall: fl
     sample = distinct.orderBy(F.xxhash64("key")).limit(max(TRAIN_ROWS, ROWS_A_LIST * lists)).select("v").collect()
     x = np.array([r["v"] for r in sample])
     index = train(x, lists, next(p for p in (16, 8, 4, 2, 1) if dim % p == 0))
-    probes = measured_probes(index, x, k, recall)
+    probes, far = measured(index, x, k, recall)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -219,13 +227,12 @@ def _nearest_of_length(rows: DataFrame, dim: int, k: int, every: int, recall: fl
     entries = entries.withColumn("shard", F.pmod(F.xxhash64("key"), number).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     entries = entries.select("key", "list", "shard", "slice", "codes", "error", "v")
 
-    def probe(first: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def probe(begin: int, end: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for whole in frames:
                 for f in (whole.iloc[a : a + 1024] for a in range(0, len(whole), 1024)):
                     v, bounds = np.stack(f["v"].to_numpy()), f["bound"].to_numpy(float, na_value=np.inf)
-                    near = index.assign(v, probes)
-                    near = near[:, :1] if first else near[:, 1:]
+                    near = index.assign(v, end)[:, begin:]
                     away = (index.centroids**2).sum(axis=1) - 2 * v @ index.centroids.T + (v**2).sum(axis=1)[:, None]
                     gap = np.sqrt(np.maximum(np.take_along_axis(away, near, axis=1), 0)) - radius[near]
                     room = 1e-7 * (np.abs(v).sum(axis=1) + np.abs(index.centroids).sum(axis=1).max())  # rounding
@@ -252,19 +259,27 @@ def _nearest_of_length(rows: DataFrame, dim: int, k: int, every: int, recall: fl
                 scores.append(score)
         return pd.DataFrame({"key": np.concatenate(keys), "found": np.concatenate(ids), "score": np.concatenate(scores)} if keys else {"key": [], "found": [], "score": []})
 
-    def look(queries: DataFrame, first: bool) -> DataFrame:
-        wanted = queries.select("key", "v", "bound").mapInPandas(probe(first), "key long, v array<double>, bound double, list int, shard int")
+    def look(queries: DataFrame, begin: int, end: int) -> DataFrame:
+        """What queries (key, v, bound) find in their lists of some ranks."""
+        wanted = queries.select("key", "v", "bound").mapInPandas(probe(begin, end), "key long, v array<double>, bound double, list int, shard int")
         wanted = wanted.withColumn("slice", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(slices)).cast("int"))
         place = ["list", "shard", "slice"]
         return wanted.groupBy(*place).cogroup(entries.groupBy(*place)).applyInPandas(search, "key long, found long, score double")
 
     near = Window.partitionBy("key").orderBy("score", "found")
-    start = look(queries.withColumn("bound", F.lit(None).cast("double")), True).withColumn("k", F.row_number().over(near)).where(F.col("k") <= k + 1)
-    start = saved(start, "ann-first")
-    bounds = start.where(F.col("k") == k + 1).select("key", F.col("score").alias("bound"))
-    rest = look(queries.join(bounds, "key", "left"), False)
-    found = start.drop("k").union(rest)
-    scored = found.withColumn("k", F.row_number().over(near)).where(F.col("k") <= k + 1)
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("k", F.row_number().over(near)).where(F.col("k") <= k + 1)
+
+    def bounds(found: DataFrame) -> DataFrame:
+        return queries.join(found.where(F.col("k") == k + 1).select("key", F.col("score").alias("bound")), "key", "left")
+
+    start = saved(best(look(queries.withColumn("bound", F.lit(None).cast("double")), 0, 1)), "ann-first")
+    scored = best(start.drop("k").union(look(bounds(start), 1, probes)))
+    if probes < len(index.centroids):
+        scored = saved(scored, "ann-second")
+        alone = bounds(scored).where(F.col("bound").isNull() | (F.col("bound") > far))
+        scored = best(scored.drop("k").union(look(alone, probes, len(index.centroids))))
     scored = scored.join(distinct.select(F.col("key").alias("found"), "ids"), "found")  # copies by their ids
     lists = scored.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("score").alias("score"), i.alias("vec_id")))))).alias("near"))
     answers = asked.join(lists, "key").select(F.col("vec_id").alias("query_id"), F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("near"))
