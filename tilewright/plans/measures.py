@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.catalog import query
-from tilewright.operators import polygons
+from tilewright.operators import polygons, ranks
 from tilewright.operators.cells import cover
 from tilewright.sources.tables import CUSTOMERS_SQL, PARTS_SQL, customers, parts, table
 
@@ -72,8 +72,8 @@ def replacement_order(spark: SparkSession, folder: str) -> DataFrame:
     One row a supplier is ordered; the counts of all rows are summed before."""
     li = table(spark, folder, "lineitem")
     g = li.groupBy(F.col("l_suppkey").alias("grp")).agg(F.coalesce(F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))), F.lit(0.0)).alias("before"), F.coalesce(F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity"))), F.lit(0.0)).alias("after"))
-    w = Window.orderBy(F.desc(F.col("after") < F.col("before")), "after", "grp")
-    return g.select("grp", F.row_number().over(w).alias("place"))
+    rows = g.select("grp", (F.col("after") >= F.col("before")).alias("grows"), "after")
+    return ranks.placed(rows, [], ["grows", "after", "grp"]).select("grp", F.col("place").cast("int").alias("place"))
 
 
 @query("uniform_cut", "select level, (1 << level)::bigint * 4 * (1 << level) * 2 as nodes from (select unnest(range(6))::int as level)")

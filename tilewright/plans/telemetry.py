@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.catalog import query
-from tilewright.operators import replay
+from tilewright.operators import ranks, replay
 from tilewright.sources.tables import table
 
 _OK = "isfinite(value) and value >= 0"
@@ -33,8 +33,9 @@ def recent_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("rolling_maximum", f"select event_id, max(value) over (partition by event_type order by ts, event_id rows between 239 preceding and current row) as top from events where {_OK}")
 def rolling_maximum(spark: SparkSession, folder: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-239, 0)
-    return timings(spark, folder).select("event_id", F.max("value").over(w).alias("top"))
+    """The largest of the last 240 samples of a series: few series, so slices of each are worked on apart."""
+    rows = timings(spark, folder).select("event_type", "ts", "event_id", "value")
+    return ranks.rolling(rows, ["event_type"], ["ts", "event_id"], 240, F.col("value"), "top").select("event_id", "top")
 
 
 @query("shared_requests", "select event_id % 97 as key, count(*) as consumers, count(distinct user_id) as users, max(value) as priority, min(event_id) as first from events group by event_id % 97")
@@ -81,8 +82,8 @@ def merged_demand(spark: SparkSession, folder: str) -> DataFrame:
 @query("sampled_rate", "with r as (select l_orderkey, l_linenumber, l_quantity, row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) as n, count(*) over (partition by l_returnflag) as total, l_returnflag as flag from lineitem) select flag, count(*) as sampled, round(avg(l_quantity), 6) as estimate from r where (n - 1) % greatest(total // 50, 1) = 0 group by flag")
 def sampled_rate(spark: SparkSession, folder: str) -> DataFrame:
     """A mean estimated from a systematic sample of about fifty rows of each group."""
-    w = Window.partitionBy("l_returnflag")
-    rows = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_quantity", F.row_number().over(w.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).alias("n"), F.count("*").over(w).alias("total"))
+    rows = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = ranks.placed(rows, ["flag"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]).withColumnRenamed("place", "n")
     hit = rows.where((F.col("n") - 1) % F.greatest(F.expr("total div 50"), F.lit(1)) == 0)
     return hit.groupBy("flag").agg(F.count("*").alias("sampled"), F.round(F.avg("l_quantity"), 6).alias("estimate"))
 
