@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tilewright.catalog import query
 from tilewright.functions import geo
+from tilewright.operators import surface_distance
 from tilewright.operators import triangles as tri
-from tilewright.sources.tables import CUSTOMERS_SQL, customers
+from tilewright.sources.tables import CUSTOMERS_SQL, LAT_SQL, LON_SQL, customers, latitude, longitude, table
 
 R = geo.RADIUS
 _EYE = (0.3 * R, 0.5 * R, 1.1 * R)
@@ -118,3 +119,33 @@ def _facing_sql() -> str:
 def block_facing(spark: SparkSession, folder: str) -> DataFrame:
     """Of each quad's triangles on each level, whether all face the eye, none does, or some may."""
     return tri.facing_blocks(ground(spark, folder), _EYE, _LEVELS)
+
+
+def _distance_sql() -> str:
+    v = [[f"p[{3 * n + k + 1}]" for k in range(3)] for n in range(3)]
+    q = ["x", "y", "z"]
+    sub = lambda a, b: [f"({s} - {t})" for s, t in zip(a, b, strict=True)]
+    dot = lambda a, b: "(" + " + ".join(f"{s} * {t}" for s, t in zip(a, b, strict=True)) + ")"
+    cross = lambda a, b: [f"({a[j]} * {b[k]} - {a[k]} * {b[j]})" for j, k in ((1, 2), (2, 0), (0, 1))]
+    normal = cross(sub(v[1], v[0]), sub(v[2], v[0]))
+    edges = [(v[0], v[1]), (v[1], v[2]), (v[2], v[0])]
+    over = " and ".join(f"{dot(cross(sub(b, a), sub(q, a)), ['nx', 'ny', 'nz'])} >= 0" for a, b in edges)
+    gaps = []
+    for a, b in edges:
+        along = f"greatest(0, least(1, {dot(sub(q, a), sub(b, a))} / {dot(sub(b, a), sub(b, a))}))"
+        gaps.append("sqrt(" + " + ".join(f"pow({w} - {s} - {along} * ({t} - {s}), 2)" for w, s, t in zip(q, a, b, strict=True)) + ")")
+    return f"""with s as (select s_suppkey::bigint as id, sin(radians({LON_SQL.format(k='s_suppkey')})) * cos(radians({LAT_SQL.format(k='s_suppkey')})) * ({_n(R)} + s_suppkey * 7919 % 300 * 10000) as x, sin(radians({LAT_SQL.format(k='s_suppkey')})) * ({_n(R)} + s_suppkey * 7919 % 300 * 10000) as y,
+  cos(radians({LON_SQL.format(k='s_suppkey')})) * cos(radians({LAT_SQL.format(k='s_suppkey')})) * ({_n(R)} + s_suppkey * 7919 % 300 * 10000) as z from supplier),
+g as (select id as triangle, p, {', '.join(f'{c} as n{a}' for a, c in zip('xyz', normal, strict=True))} from {_ground_sql()}),
+d as (select s.id, triangle, case when {over} then abs({dot(sub(q, v[0]), ['nx', 'ny', 'nz'])}) / sqrt(nx * nx + ny * ny + nz * nz) else least({', '.join(gaps)}) end as distance from s, g)
+select id, arg_min(triangle, (distance, triangle)) as triangle, round(min(distance), 3) as distance from d group by id"""
+
+
+@query("surface_distances", _distance_sql())
+def surface_distances(spark: SparkSession, folder: str) -> DataFrame:
+    """How far each supplier, up to 3,000 km high, is from the nearest ground triangle."""
+    s = F.col("s_suppkey")
+    places = geo.xyz(longitude(s), latitude(s), (s * 7919 % 300 * 10000).cast("double"))
+    points = table(spark, folder, "supplier").select(s.cast("long").alias("id"), *(c.alias(a) for c, a in zip(places, "xyz", strict=True)))
+    ground_rows = ground(spark, folder).select(F.col("id").alias("triangle"), F.col("xyz").alias("t"))
+    return surface_distance.nearest(points, ground_rows, 400000.0).withColumn("distance", F.round("distance", 3))
