@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.operators.cells import cell
@@ -11,18 +13,26 @@ from tilewright.operators.cells import cell
 MOST_QUERIES = 10_000
 
 
-def nearest(queries: DataFrame, points: DataFrame, query: str, point: str, k: int, radius: float) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, query: str, point: str, k: int, radius: float, accept: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None) -> DataFrame:
     """(query, point, d2, rank) of the k points (x, y) nearest to each query,
     strictly within ``radius``; ties go to the smaller id.
 
+    ``accept(q, p)`` says which pairs count, by columns q("name") of queries and p("name")
+    of points.
+
     Queries go to the cells that their circle touches; a point is in one cell."""
     size = radius
     span = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    asks = queries.select(query, F.col("x").alias("qx"), F.col("y").alias("qy"), (cell(F.col("x"), size)).alias("ax"), (cell(F.col("y"), size)).alias("ay"))
+    own = [F.struct(*queries.columns).alias("_query")] if accept else []
+    other = [F.struct(*points.columns).alias("_point")] if accept else []
+    asks = queries.select(query, F.col("x").alias("qx"), F.col("y").alias("qy"), (cell(F.col("x"), size)).alias("ax"), (cell(F.col("y"), size)).alias("ay"), *own)
     asks = asks.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span)).withColumn("cx", F.col("ax") + F.col("dx")).withColumn("cy", F.col("ay") + F.col("dy"))
-    rows = points.select(point, "x", "y", cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
+    rows = points.select(point, "x", "y", cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"), *other)
     d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
-    near = asks.join(rows, ["cx", "cy"]).select(query, point, d2.alias("d2")).where(F.col("d2") < radius * radius)
+    both = asks.join(rows, ["cx", "cy"])
+    if accept:
+        both = both.where(accept(lambda c: F.col("_query")[c], lambda c: F.col("_point")[c]))
+    near = both.select(query, point, d2.alias("d2")).where(F.col("d2") < radius * radius)
     w = Window.partitionBy(query).orderBy("d2", point)
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
