@@ -29,7 +29,8 @@ components untested, and emits no pairs within a group.
 Nothing rests on hashes being different.  Nodes whose 64-bit names clash while
 their 128-bit digests differ are renamed before anything else, and every link is
 checked on the words of both texts at the end; were one false, all is done again
-with other hashes.
+with other hashes.  Only two lists of as many but other nodes whose 64-bit sums agree would
+be taken for one run.
 """
 
 from __future__ import annotations
@@ -214,8 +215,9 @@ def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def _shared_postings(packed: DataFrame, bits: int) -> DataFrame:
-    """The postings of lists with two nodes or more, as (range, node, size, h, df)
-    arrays by ranges of nodes; common shingles have the largest df."""
+    """The postings of lists with two nodes or more, as (range, node, size, h, df, who)
+    arrays by ranges of nodes; common shingles have the largest df.  ``who`` is the same
+    for lists of the same nodes: a sum over hashes of all of them."""
 
     def postings(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         place = np.frombuffer(row[3], "<u2")
@@ -236,8 +238,10 @@ def _shared_postings(packed: DataFrame, bits: int) -> DataFrame:
         fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (node[1:] != node[:-1]))) if len(h) else np.empty(0, bool)
         h, node, size = h[fresh], node[fresh], size[fresh]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
-        df = np.repeat(np.diff(np.append(first, len(h))), np.diff(np.append(first, len(h))))
-        return tuple(x[df > 1] for x in (h, node, size, df))
+        count = np.diff(np.append(first, len(h)))
+        df = np.repeat(count, count)
+        who = np.repeat(np.add.reduceat(_mixed(node.view(np.uint64)), first), count) if len(h) else np.empty(0, np.uint64)
+        return tuple(x[df > 1] for x in (h, node, size, df, who))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_range(batches):
@@ -246,39 +250,58 @@ def _shared_postings(packed: DataFrame, bits: int) -> DataFrame:
             for r in rows:
                 if not len(r[3]):
                     h = np.frombuffer(r[4], np.uint64)
-                    parts.append((h, np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.int32), np.full(len(h), 2**31 - 1)))
-            h, node, size, df = (np.concatenate(x) for x in zip(*parts, strict=True))
-            out: list[list] = [[], [], [], [], []]
+                    parts.append((h, np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.int32), np.full(len(h), 2**31 - 1), h))
+            h, node, size, df, who = (np.concatenate(x) for x in zip(*parts, strict=True))
+            out: list[list] = [[], [], [], [], [], []]
             for b, at in _cut(node.view(np.uint64), bits):
-                for column, value in zip(out, (b, node[at].tobytes(), size[at].tobytes(), h[at].tobytes(), np.minimum(df[at], 2**31 - 1).astype(np.int32).tobytes()), strict=True):
+                for column, value in zip(out, (b, node[at].tobytes(), size[at].tobytes(), h[at].tobytes(), np.minimum(df[at], 2**31 - 1).astype(np.int32).tobytes(), who[at].tobytes()), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _KINDS, strict=True)], names=["range", "node", "size", "h", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (*_KINDS, pa.binary()), strict=True)], names=["range", "node", "size", "h", "df", "who"])
 
-    return packed.repartitionById(1 << bits, F.col("bucket")).mapInArrow(run, "range int, node binary, size binary, h binary, df binary")
+    return packed.repartitionById(1 << bits, F.col("bucket")).mapInArrow(run, "range int, node binary, size binary, h binary, df binary, who binary")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose sums tell sets apart."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def _linkable(shared: DataFrame, bits: int) -> DataFrame:
-    """(node, n, shingles): nodes that share at least T of their shingles, and
-    those shingles in the global order: shorter lists first, then by hash."""
+    """(node, n, shingles, runs, weights): nodes that share at least T of their shingles,
+    those shingles in the global order: shorter lists first, then by hash; and the runs
+    of them whose lists have the same nodes, an eighth of its size and more, with their
+    shingles' number: whoever has one shingle of a run has all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_range(batches):
-            node, size, h, df = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in ((1, np.int64), (2, np.int32), (3, np.uint64), (4, np.int32)))
+            node, size, h, df, who = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in ((1, np.int64), (2, np.int32), (3, np.uint64), (4, np.int32), (5, np.uint64)))
             _, start, each, count = np.unique(node, return_index=True, return_inverse=True, return_counts=True)
             order = np.flatnonzero((count >= -(-3 * size[start].astype(np.int64) // 4))[each])
             order = order[np.lexsort((h[order], df[order], node[order]))]
-            node, size, h = node[order], size[order], h[order]
+            node, size, h, df, who = node[order], size[order], h[order], df[order], who[order]
             fresh = np.concatenate(([True], (node[1:] != node[:-1]) | (h[1:] != h[:-1]))) if len(node) else np.empty(0, bool)
-            node, size, h = node[fresh], size[fresh], h[fresh]  # common shingles of a node that two tasks have packed
+            node, size, h, df, who = node[fresh], size[fresh], h[fresh], df[fresh], who[fresh]  # common shingles of a node that two tasks have packed
             _, start, each, count = np.unique(node, return_index=True, return_inverse=True, return_counts=True)
             keep = (count >= -(-3 * size[start].astype(np.int64) // 4))[each]
-            node, size, h = node[keep], size[keep], h[keep]
+            node, size, h, df, who = node[keep], size[keep], h[keep], df[keep], who[keep]
             first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.empty(0, np.int64)
-            ends = np.append(first, len(node)).astype(np.int64)
-            lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(size[first].astype(np.int64)), lists], names=["node", "n", "shingles"])
 
-    return shared.repartitionById(1 << bits, F.col("range")).mapInArrow(run, "node long, n long, shingles array<long>")
+            def lists(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+                return pa.LargeListArray.from_arrays(pa.array(ends.astype(np.int64)), pa.array(values.view(np.int64))).cast(pa.list_(pa.int64()))
+
+            order = np.lexsort((who, df, node))
+            by, of, long = node[order], who[order], df[order]
+            begins = np.flatnonzero(np.concatenate(([True], (by[1:] != by[:-1]) | (of[1:] != of[:-1]) | (long[1:] != long[:-1])))) if len(by) else np.empty(0, np.int64)
+            weight = np.diff(np.append(begins, len(by)))
+            heavy = 8 * weight >= size[order][begins]
+            begins, weight = begins[heavy], weight[heavy]
+            names = _mixed(of[begins] ^ _mixed(long[begins].astype(np.uint64)))
+            ends = np.append(np.searchsorted(by[begins], node[first]), len(begins))
+            yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(size[first].astype(np.int64)), lists(np.append(first, len(node)), h), lists(ends, names), lists(ends, weight.astype(np.int64))], names=["node", "n", "shingles", "runs", "weights"])
+
+    return shared.repartitionById(1 << bits, F.col("range")).mapInArrow(run, "node long, n long, shingles array<long>, runs array<long>, weights array<long>")
 
 
 def divide_skip(lists: list[list[int]], least: int, weight: float = 0.01) -> list[tuple[int, int]]:
@@ -384,30 +407,109 @@ def _search(queries: DataFrame, members: DataFrame, active: DataFrame, scratch:
     return rows.repartition("block", "shard", "slice").sortWithinPartitions("block", "shard", "slice", "asks").mapInArrow(run, "a long, b long")
 
 
+def with_common_runs(nodes: DataFrame, naming: Naming) -> DataFrame:
+    """Nodes (node, n, shingles, runs, weights) in the shared folder, also with the runs of
+    common shingles, whose lists no range has held: those that the same of these nodes have.
+
+    Of each common shingle a sum over its nodes is put together from all tasks; there are
+    no more of them than the naming carries already."""
+    common = np.frombuffer(naming.common, np.uint64)
+    if not len(common):
+        return nodes
+
+    def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the node in the batch, place of the shingle, node's hash) of common shingles."""
+        lists = batch.column(2)
+        h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        held = common[at] == h
+        return owner[held], at[held], _mixed(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))[owner[held]]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros(len(common), np.uint64), np.zeros(len(common), np.int64)
+        for batch in batches:
+            _, at, who = columns(batch)
+            np.add.at(total, at, who)
+            count += np.bincount(at, minlength=len(common))
+        held = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array((total[held] >> np.uint64(32)).astype(np.int64)), pa.array((total[held] & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(count[held])], names=["at", "high", "low", "count"])
+
+    rows = nodes.mapInArrow(tally, "at long, high long, low long, count long").groupBy("at").agg(*(F.sum(c).alias(c) for c in ("high", "low", "count"))).collect()
+    name = np.zeros(len(common), np.uint64)
+    for r in rows:
+        name[r["at"]] = ((r["high"] << 32) + r["low"]) % (1 << 64)
+    count = np.zeros(len(common), np.uint64)
+    count[[r["at"] for r in rows]] = [r["count"] for r in rows]
+    name = _mixed(name ^ _mixed(count + np.uint64(1)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, at, _ = columns(batch)
+            n = batch.column(1).to_numpy(zero_copy_only=False)
+            order = np.lexsort((name[at], owner))
+            by, of = owner[order], name[at][order]
+            begins = np.flatnonzero(np.concatenate(([True], (by[1:] != by[:-1]) | (of[1:] != of[:-1])))) if len(by) else np.empty(0, np.int64)
+            weight = np.diff(np.append(begins, len(by)))
+            heavy = 8 * weight >= n[by[begins]]
+            runs, weights = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for k, w, run in zip(by[begins][heavy].tolist(), weight[heavy].tolist(), of[begins][heavy].view(np.int64).tolist(), strict=True):
+                runs[k].append(run)
+                weights[k].append(w)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(runs, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int64()))], names=["node", "n", "shingles", "runs", "weights"])
+
+    return nodes.mapInArrow(add, "node long, n long, shingles array<long>, runs array<long>, weights array<long>")
+
+
 def _band(size: Column) -> Column:
-    """A quarter of a doubling: sizes of one band differ by a fifth at most."""
-    return F.floor(F.log2(size.cast("double")) * 4).cast("int")
+    """An eighth of a doubling: sizes of one band differ by a twelfth at most."""
+    return F.floor(F.log2(size.cast("double")) * 8).cast("int")
+
+
+def _spare(a: Column, b: Column) -> Column:
+    """Most shingles that one of two linked sets of these bands can have apart from the other."""
+    low = lambda v: F.pow(F.lit(2.0), v / 8)
+    high = lambda v: F.pow(F.lit(2.0), (v + 1) / 8)
+    return F.greatest(4 * high(a) - 3 * low(b), 4 * high(b) - 3 * low(a)) / 7
+
+
+def with_marks(nodes: DataFrame) -> DataFrame:
+    """Nodes (n, runs, weights) with ``marks``: for each band that their partners' sizes can
+    be in, the hash of the runs that are larger than what linked sets of both bands
+    can have apart.  Linked nodes share all of these runs, each one's and the other's, so
+    both have the same mark for each other's band."""
+    own = _band(F.col("n"))
+    bands = F.sequence(_band(F.ceil(F.col("n") * 3 / 4)), _band(F.floor(F.col("n") * 4 / 3)))
+
+    def mark(band: Column) -> Column:
+        large = F.filter(F.arrays_zip("runs", "weights"), lambda r: r["weights"] > _spare(own, band) + 1e-6)
+        return F.struct(band.alias("band"), F.xxhash64(F.array_sort(F.transform(large, lambda r: r["runs"]))).alias("mark"))
+
+    return nodes.withColumn("marks", F.transform(bands, mark))
 
 
 def _meetings(here: DataFrame, scratch: list[str]) -> DataFrame:
     """(block, node): nodes to search for in another component that shares a
     candidate list with theirs, the smaller component's nodes in the larger.
 
-    ``here`` is (h, node, n, cap, comp, size).  Two nodes can link over a list only
+    ``here`` is (h, node, n, cap, comp, size, marks).  Two nodes can link over a list only
     if each one's size is at most the other's cap and at least 3/4 of the other's
-    size; of two caps one at least isn't below its node's own size (strong)."""
-    here = here.withColumn("strong", F.col("cap") >= F.col("n"))
-    lists = here.groupBy("h", _band(F.col("n")).alias("band"), "strong", "comp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("cap").alias("most_cap"), F.max("size").alias("size"))
+    size, and if their marks agree; of two caps one at least isn't below its node's own
+    size (strong)."""
+    here = here.withColumn("strong", F.col("cap") >= F.col("n")).withColumn("own", _band(F.col("n")))
+    met = here.select("h", "node", "n", "cap", "comp", "size", "strong", "own", F.explode("marks").alias("m")).select("*", F.col("m.band").alias("other"), F.col("m.mark").alias("mark")).drop("m")
+    # of each list the components by band, and by the marks for each band of those who ask
+    lists = met.groupBy("h", F.col("own").alias("band"), F.col("other").alias("asking"), "mark", "strong", "comp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("cap").alias("most_cap"), F.max("size").alias("size"))
     lists = saved(lists, "jaccard-lists", scratch)
-    mixed = lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("strong").alias("any")).where("lo <> hi and any").select("h")
-    lists = lists.select("h", "band", "strong", F.col("comp").alias("block"), F.col("size").alias("block_size"), "least_n", "most_n", "most_cap")
-    bands = F.sequence(_band(F.ceil(F.col("n") * 3 / 4)), _band(F.least("cap", F.floor(F.col("n") * 4 / 3))))
-    asks = here.join(mixed, "h").select("h", "node", "n", "cap", "comp", "size", "strong", F.explode(bands).alias("band"))
+    place = ["h", "band", "asking", "mark"]
+    mixed = here.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("strong").alias("any")).where("lo <> hi and any").select("h")
+    lists = lists.select(*place, "strong", F.col("comp").alias("block"), F.col("size").alias("block_size"), "least_n", "most_n", "most_cap")
+    asks = met.join(mixed, "h").where(F.col("other") <= _band(F.least("cap", F.floor(F.col("n") * 4 / 3))))
     others = F.when(F.col("strong"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
-    asks = asks.select("h", "node", "n", "cap", "comp", "size", "band", F.explode(others).alias("strong"))
+    asks = asks.select("h", "node", "n", "cap", "comp", "size", F.col("other").alias("band"), F.col("own").alias("asking"), "mark", F.explode(others).alias("strong"))
     smaller = "(size < block_size or size = block_size and comp < block)"
     meet = "4 * most_n >= 3 * n and 4 * n >= 3 * least_n and least_n <= cap and most_cap >= n"
-    return asks.join(lists, ["h", "band", "strong"]).where(f"{smaller} and {meet}").select("block", "node").distinct()
+    return asks.join(lists, [*place, "strong"]).where(f"{smaller} and {meet}").select("block", "node").distinct()
 
 
 def node_links(docs: DataFrame, naming: Naming, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -415,12 +517,13 @@ def node_links(docs: DataFrame, naming: Naming, scratch: list[str]) -> tuple[Dat
     parts = docs.rdd.getNumPartitions()
     bits = max(4, int(np.ceil(np.log2(max(parts, 1)))) + 1)
     active = saved(_linkable(_shared_postings(_packed_index(docs, bits, naming), bits), bits), "jaccard-nodes", scratch)
+    active = saved(with_marks(with_common_runs(active, naming)).drop("runs", "weights"), "jaccard-marked", scratch)
     least = F.ceil(F.col("n") * 3 / 4)
     head = F.slice("shingles", F.lit(1), (F.size("shingles") - least + 1).cast("int"))
-    rare = active.select("node", "n", F.size("shingles").alias("shared"), F.posexplode(head).alias("at", "h"))
+    rare = active.select("node", "n", "marks", F.size("shingles").alias("shared"), F.posexplode(head).alias("at", "h"))
     # with n - shared + at words passed, 4 n - 7 passed is at least 3 times the size of any set whose first common shingle is here
     cap = F.floor((4 * F.col("n") - 7 * (F.col("n") - F.col("shared") + F.col("at"))) / 3)
-    rare = rare.select("h", "node", "n", cap.alias("cap"), F.floor(F.col("shared") * -1000 / F.col("n")).alias("alone")).where("4 * cap >= 3 * n")
+    rare = rare.select("h", "node", "n", "marks", cap.alias("cap"), F.floor(F.col("shared") * -1000 / F.col("n")).alias("alone")).where("4 * cap >= 3 * n")
     # the node that shares most of its shingles leads a list: a group's middle, to which whoever can link mostly does;
     # where several do, lists fall into LEADS kinds, so that a group has as many leads
     rank = F.struct("alone", F.xxhash64("node", F.pmod("h", F.lit(LEADS))).alias("r"), F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("cap").alias("lead_cap"))
