@@ -630,8 +630,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("long")
     def name(texts: pd.Series) -> pd.Series:
-        sets = naming.sets(pa.array(texts, pa.string(), from_pandas=True))
-        return pd.Series([naming.name(_digest(s)) if len(s) else None for s in sets], dtype="Int64")
+        whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
+        names = [naming.name(_digest(s)) if len(s) else None for one in slices([whole]) for s in naming.sets(one.column(0))]
+        return pd.Series(names, dtype="Int64")
 
     # rows without words: a key of their own each, that no other has
     node = F.coalesce("_jaccard_name", F.xxhash64("doc_id"))
