@@ -120,3 +120,20 @@ def test_small_partitions_cost_no_padding(spark, monkeypatch):
     assert (by.cumsum() - got["length"] == got["offset"]).all() and by.sum().max() <= 2048
     assert got["length"].sum() == sum(3 + 37 * k % 1900 + 1 for k in range(300))
     assert len(by) <= got["length"].sum() / 2048 * 1.02 + 2  # two groups
+
+
+def test_token_files_are_cleared(spark, documents):
+    """What the scan has written goes with the other tables that operators leave."""
+    import os
+
+    from tilewright.llm import common, separators
+    from tilewright.llm.queries import BYTE_RANKS
+
+    import public_tokenizers
+
+    rows = separators.document_lengths(documents, BYTE_RANKS, public_tokenizers.PATTERN)
+    assert rows.count() == documents.count()
+    folders = [f.removeprefix("file://") for f in common._folders if "/tokens-" in f]
+    assert folders and all(os.path.isdir(f) for f in folders)
+    common.clear_saved(spark)
+    assert not any(os.path.isdir(f) for f in folders)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import saved, shared_dir, slices
+from tilewright.llm.common import _folders, saved, shared_dir, slices
 
 MANIFEST = "doc_id long, file string, ordinal long, tokens_crc32 long"
 
@@ -156,6 +156,7 @@ def document_lengths(docs: DataFrame, ranks_file: str, pattern: str, end_id: int
 
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    _folders.append(folder)
     manifest = saved(write_token_files(docs, folder, ranks_file, pattern, end_id), "token-manifest")
     if not manifest.head(1):
         return manifest.select("doc_id", "file", "ordinal", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_tokens"), "tokens_crc32")
