@@ -93,6 +93,37 @@ def record_framing(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("key", n.cast("int").alias("first_bytes"), F.when(short, left).otherwise(F.octet_length("record") - 4 - n).cast("int").alias("second_bytes"), F.when(short, "truncated").otherwise("ok").alias("status"))
 
 
+_FRAMES = """(select p_partkey as key, case when p_partkey % 9 = 0 then substr(whole, 1, 2 * p_size) else whole end as digits from (
+  select *, format('{:02X}', length(p_name) & 255) || format('{:02X}', (length(p_name) >> 8) & 255) || format('{:02X}', (length(p_name) >> 16) & 255) || format('{:02X}', (length(p_name) >> 24) & 255) || hex(p_name) || case when p_partkey % 4 = 0 then '' else hex(p_type) end as whole from part))"""
+
+
+def frames(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, record): a length, a first fragment of it, and a second one that some leave
+    out; every ninth record breaks off somewhere."""
+    size = F.octet_length("p_name")
+    header = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(size, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)]))
+    second = F.when(F.col("p_partkey") % 4 == 0, F.lit("")).otherwise(F.col("p_type")).cast("binary")
+    whole = F.concat(header, F.col("p_name").cast("binary"), second)
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("key"), F.when(F.col("p_partkey") % 9 == 0, F.substring(whole, F.lit(1), F.col("p_size"))).otherwise(whole).alias("record"))
+
+
+@query(
+    "framed_records",
+    f"""with r as (select key, digits, length(digits) // 2 as n_bytes, case when length(digits) >= 8 then ('0x' || digits[1:2])::bigint + 256 * ('0x' || digits[3:4])::bigint + 65536 * ('0x' || digits[5:6])::bigint + 16777216 * ('0x' || digits[7:8])::bigint end as n from {_FRAMES})
+select key, n_bytes::int as n_bytes, case when n is null then 'no_header' when n_bytes < 4 + n then 'truncated' when n_bytes = 4 + n then 'one' else 'two' end as status, case when n_bytes >= 4 + n then decode(unhex(digits[9 : 8 + 2 * n])) end as first, case when n_bytes > 4 + n then decode(unhex(digits[9 + 2 * n :])) end as second from r""",
+)
+def framed_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Fragments read back from the records' bytes alone, and what is wrong with the others."""
+    size = F.octet_length("record")
+    rows = frames(spark, folder).select("key", "record", size.alias("n_bytes"), F.when(size >= 4, little_endian(F.col("record"), 0)).alias("n"))
+    end = F.col("n") + 4
+    status = F.when(F.col("n").isNull(), "no_header").when(F.col("n_bytes") < end, "truncated").when(F.col("n_bytes") == end, "one").otherwise("two")
+    text = lambda at, n: F.decode(F.substring("record", at, n), "UTF-8")
+    first = F.when(F.col("n_bytes") >= end, text(F.lit(5), F.col("n").cast("int")))
+    second = F.when(F.col("n_bytes") > end, text((end + 1).cast("int"), F.col("n_bytes")))
+    return rows.select("key", "n_bytes", status.alias("status"), first.alias("first"), second.alias("second"))
+
+
 @query(
     "root_fragments",
     "with v as (select c_custkey as patch, k // 9 as y, k % 9 as x, ((k // 9) * (c_custkey % 31 + 3) + (k % 9) * (c_custkey % 17 + 5))::bigint as v from customer, (select unnest(range(81)) as k)) select patch, list(v order by y, x) filter (x <= 8 - y) as first, list(v order by y desc, x desc) filter (x >= 8 - y) as second from v group by patch",
