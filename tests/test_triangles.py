@@ -92,3 +92,28 @@ def test_no_front_in_a_rejected_block(spark, eye):
                 told += 1
                 assert (side > 0) == (b["facing"] == 1)
     assert told > 50 and sum(b["triangles"] for k, b in blocks.items() if k[0] == 0) == ground.count()
+
+
+def test_segments(spark):
+    """The part that is in view, by walking along the segment."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(8)
+    a, b = r.normal(size=(200, 3)) * 9, r.normal(size=(200, 3)) * 9
+    a[0], b[0] = (0, 0, 0), (0, 0, 20)  # through the eye, out behind it
+    rows = [(k, *map(float, a[k]), *map(float, b[k])) for k in range(200)]
+    df = spark.createDataFrame(rows, "id int, a0 double, a1 double, a2 double, b0 double, b1 double, b2 double")
+    planes = geo.planes(M)
+    first, last = geo.clip_segment(*(tuple(F.col(f"{p}{k}") for k in range(3)) for p in "ab"), planes)
+    got = {r["id"]: (r["first"], r["last"]) for r in df.select("id", first.alias("first"), last.alias("last")).collect()}
+    steps = np.linspace(0, 1, 5001)
+    shown = 0
+    for k in range(200):
+        p = a[k] + steps[:, None] * (b[k] - a[k])
+        inside = np.all([p @ np.array(n[:3]) + n[3] >= 0 for n in planes], axis=0)
+        if got[k][0] is None:
+            assert inside.sum() <= 1
+        else:
+            shown += 1
+            assert abs(steps[inside].min(initial=got[k][0]) - got[k][0]) < 1e-3 and abs(steps[inside].max(initial=got[k][1]) - got[k][1]) < 1e-3
+    assert 10 < shown < 190 and got[0][0] == 0 and got[0][1] == pytest.approx(9 / 20)

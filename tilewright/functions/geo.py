@@ -134,6 +134,20 @@ def box_visible(box: tuple[Column, ...], clip: list[tuple[float, float, float, f
     return out
 
 
+def clip_segment(a: tuple[Column, ...], b: tuple[Column, ...], clip: list[tuple[float, float, float, float]]) -> tuple[Column, Column]:
+    """The part of a segment inside all planes, as shares of the way from a to b; nulls if
+    there is none.  Each plane holds it back at the end that lies outside."""
+    first, last, seen = F.lit(0.0), F.lit(1.0), F.lit(True)
+    for plane in clip:
+        here, there = (sum((n * v for n, v in zip(plane[:3], p, strict=True)), F.lit(plane[3])) for p in (a, b))
+        cross = here / (here - there)
+        first = F.when((here < 0) & (there >= 0), F.greatest(first, cross)).otherwise(first)
+        last = F.when((here >= 0) & (there < 0), F.least(last, cross)).otherwise(last)
+        seen = seen & ((here >= 0) | (there >= 0))
+    fine = seen & (first <= last)
+    return F.when(fine, first), F.when(fine, last)
+
+
 # weather
 
 def vapour_pressure(temperature: Column) -> Column:

@@ -149,3 +149,25 @@ def surface_distances(spark: SparkSession, folder: str) -> DataFrame:
     points = table(spark, folder, "supplier").select(s.cast("long").alias("id"), *(c.alias(a) for c, a in zip(places, "xyz", strict=True)))
     ground_rows = ground(spark, folder).select(F.col("id").alias("triangle"), F.col("xyz").alias("t"))
     return surface_distance.nearest(points, ground_rows, 400000.0).withColumn("distance", F.round("distance", 3))
+
+
+_PLANES = geo.planes(_M)
+
+
+def _segments_sql() -> str:
+    end = lambda lon, lat: [f"sin(radians({lon})) * cos(radians({lat})) * {_n(1.2 * R)}", f"sin(radians({lat})) * {_n(1.2 * R)}", f"cos(radians({lon})) * cos(radians({lat})) * {_n(1.2 * R)}"]
+    points = end(LON_SQL.format(k="o_custkey"), LAT_SQL.format(k="o_custkey")) + end(LON_SQL.format(k="o_orderkey"), LAT_SQL.format(k="o_orderkey"))
+    sides = ", ".join(f"{{'a': {' + '.join(f'{_n(n)} * p[{k + 1}]' for k, n in enumerate(p[:3]))} + {_n(p[3])}, 'b': {' + '.join(f'{_n(n)} * p[{k + 4}]' for k, n in enumerate(p[:3]))} + {_n(p[3])}}}" for p in _PLANES)
+    return f"""with s as (select o_orderkey as id, [{', '.join(points)}] as p from orders), d as (select id, unnest([{sides}]) as d from s),
+r as (select id, max(case when d.a < 0 and d.b >= 0 then d.a / (d.a - d.b) else 0.0e0 end) as first, min(case when d.a >= 0 and d.b < 0 then d.a / (d.a - d.b) else 1.0e0 end) as last, bool_and(d.a >= 0 or d.b >= 0) as seen from d group by id)
+select id, case when seen and first <= last then round(first, 9) end as first, case when seen and first <= last then round(last, 9) end as last from r"""
+
+
+@query("segments_in_view", _segments_sql())
+def segments_in_view(spark: SparkSession, folder: str) -> DataFrame:
+    """The part of a straight line between each order's place and its customer's that the view holds."""
+    high = F.lit(0.2 * R)
+    ends = [geo.xyz(longitude(F.col(k)), latitude(F.col(k)), high) for k in ("o_custkey", "o_orderkey")]
+    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), *(c.alias(f"{p}{k}") for p, e in zip("ab", ends, strict=True) for k, c in enumerate(e)))
+    first, last = geo.clip_segment(*(tuple(F.col(f"{p}{k}") for k in range(3)) for p in "ab"), _PLANES)
+    return rows.select("id", F.round(first, 9).alias("first"), F.round(last, 9).alias("last"))
