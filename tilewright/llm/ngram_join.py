@@ -42,7 +42,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -628,11 +627,10 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     marked = per.join(first, "comp").select("doc_id", "node", "count", (order == F.col("first")).alias("stays"))
     marked = saved(marked.where("not stays or count > 1"), "jaccard-others")
 
-    @F.pandas_udf("long")
-    def name(texts: pd.Series) -> pd.Series:
-        whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
-        names = [naming.name(_digest(s)) if len(s) else None for one in slices([whole]) for s in naming.sets(one.column(0))]
-        return pd.Series(names, dtype="Int64")
+    @F.arrow_udf("long")
+    def name(texts: pa.Array) -> pa.Array:
+        whole = pa.RecordBatch.from_arrays([texts], names=["text"])
+        return pa.array([naming.name(_digest(s)) if len(s) else None for one in slices([whole]) for s in naming.sets(one.column(0))], pa.int64())
 
     # rows without words: a key of their own each, that no other has
     node = F.coalesce("_jaccard_name", F.xxhash64("doc_id"))
