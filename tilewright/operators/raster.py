@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.bits import right
-from tilewright.operators import loops
+from tilewright.operators import covering, loops
 
 
 def by_pixel(pixels: DataFrame, *keys: str) -> DataFrame:
@@ -115,7 +115,7 @@ def bilinear(points: DataFrame, pixels: DataFrame, missing: int) -> DataFrame:
 def first_valid(points: DataFrame, tiles: DataFrame, size: float) -> DataFrame:
     """points (id, lon, lat) with the value of the first tile, by number, that holds
     them; tiles are (tile, west, south, east, north, value); null values are invalid."""
-    from tilewright.operators.cells import box_join
-
-    hit = box_join(tiles.where(F.col("value").isNotNull()), points, size, closed=True)
+    valid = tiles.where(F.col("value").isNotNull())
+    bounds = lambda *at: (covering.inside(*at), F.col("tile"), F.col("tile"))
+    hit = covering.candidates(points, valid, "tile", size, 3, bounds).where("lon >= west and lon <= east and lat >= south and lat <= north")
     return hit.groupBy("id").agg(F.min_by("value", "tile").alias("value"), F.min("tile").alias("tile"))
