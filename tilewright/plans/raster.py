@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.catalog import query
-from tilewright.operators import cells, loops, raster
+from tilewright.operators import covering, loops, raster
 from tilewright.sources.tables import CUSTOMERS_SQL, LAT_SQL, LON_SQL, PIXELS_SQL, customers, latitude, longitude, pixels, table
 
 LEAST = 40
@@ -116,11 +116,14 @@ def mosaic_extent(spark: SparkSession, folder: str) -> DataFrame:
 @query("mosaic_spacing", f"with b as (select id, lon - 2 as w, lon + 2 as e, lat - 2 as s, lat + 2 as n from {CUSTOMERS_SQL}) select id, min(30.0e0 / (100 + tile % 50)) as spacing from b join {_TILES} on w < east and e > west and s < north and n > south group by id")
 def mosaic_spacing(spark: SparkSession, folder: str) -> DataFrame:
     """The finest sample spacing of the tiles that overlap each box."""
-    asks = customers(spark, folder).select("id", (F.col("lon") - 2).alias("w"), (F.col("lon") + 2).alias("e"), (F.col("lat") - 2).alias("s"), (F.col("lat") + 2).alias("n"))
-    left = cells.cover(asks, 10.0, ("w", "s", "e", "n"))
-    right = cells.cover(mosaic(spark, folder), 10.0)
-    hit = left.join(right, ["cell_x", "cell_y"]).where("w < east and e > west and s < north and n > south")
-    return hit.groupBy("id").agg(F.min(30.0 / (100 + F.col("tile") % 50)).alias("spacing"))
+    asks = customers(spark, folder).select("id", "lon", "lat", (F.col("lon") - 2).alias("w"), (F.col("lon") + 2).alias("e"), (F.col("lat") - 2).alias("s"), (F.col("lat") + 2).alias("n"))
+    spacing = 30.0 / (100 + F.col("tile") % 50)
+    sides = {"west": -1, "south": -1, "east": 1, "north": 1}
+    wide = mosaic(spark, folder).select("tile", spacing.alias("spacing"), *(F.col(c).alias(f"tile_{c}") for c in sides), *((F.col(c) + sign * 2.001).alias(c) for c, sign in sides.items()))
+    # a box overlaps a tile if its centre lies in the tile grown by two degrees
+    bounds = lambda *at: (covering.inside(*at, within=0.002), F.col("spacing"), F.col("spacing"))
+    hit = covering.candidates(asks, wide, "tile", 8.0, 3, bounds, ties=False).where("w < tile_east and e > tile_west and s < tile_north and n > tile_south")
+    return hit.groupBy("id").agg(F.min("spacing").alias("spacing"))
 
 
 @query("tile_coverage", f"select tile, x::int as x, y::int as y from (select tile, unnest(range(greatest(floor((west + 180) / 11.25e0), 0)::int, least(ceil((east + 180) / 11.25e0), 31)::int + 1)) as x, s, n from (select *, greatest(floor((south + 90) / 11.25e0), 0)::int as s, least(ceil((north + 90) / 11.25e0), 15)::int as n from {_TILES})), (select unnest(range(0, 16)) as y) where y between s and n")
