@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.catalog import query
 from tilewright.functions.bits import right
-from tilewright.operators import lifting
+from tilewright.operators import covering, lifting
 from tilewright.sources.tables import CUSTOMERS_SQL, LAT_SQL, LON_SQL, customers, latitude, longitude, table
 
 _N = 8
@@ -154,14 +154,20 @@ select ray, id, round(ah + u * (bh - ah) + v * (ch - ah), 6) as h from q where u
 )
 def ray_hits(spark: SparkSession, folder: str) -> DataFrame:
     """The first triangle that a ray from above meets: cells bring rays and triangles
-    together, barycentric coordinates decide, the highest hit is kept."""
-    from tilewright.operators.cells import box_join
-
+    together that may be on top, barycentric coordinates decide, the highest hit is kept."""
     s = F.col("s_suppkey")
     rays = table(spark, folder, "supplier").select(s.alias("ray"), longitude(s).alias("lon"), latitude(s).alias("lat"))
     tri = customers(spark, folder).select("id", F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("h").alias("ah"))
     boxes = tri.select("*", F.col("ax").alias("west"), F.col("ay").alias("south"), (F.col("ax") + 4).alias("east"), (F.col("ay") + 4).alias("north"))
-    hit = box_join(boxes, rays, 5.0, closed=True).withColumn("u", (F.col("lon") - F.col("ax")) / 4).withColumn("v", (F.col("lat") - F.col("ay")) / 4)
+
+    def bounds(x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, Column, Column]:
+        top = F.col("ah") + F.least((x1 - F.col("ax")) / 4, F.lit(1.0)) * 100 + F.least((y1 - F.col("ay")) / 4, F.lit(1.0)) * 50
+        low = F.col("ah") + F.greatest((x0 - F.col("ax")) / 4, F.lit(0.0)) * 100 + F.greatest((y0 - F.col("ay")) / 4, F.lit(0.0)) * 50
+        whole = covering.inside(x0, y0, x1, y1, within=1e-9) & ((x1 - F.col("ax")) / 4 + (y1 - F.col("ay")) / 4 <= 1)
+        return whole, -top - 1e-3, -low + 1e-3
+
+    hit = covering.candidates(rays, boxes, "id", 1.0, 2, bounds).where("lon >= west and lon <= east and lat >= south and lat <= north")
+    hit = hit.withColumn("u", (F.col("lon") - F.col("ax")) / 4).withColumn("u", (F.col("lon") - F.col("ax")) / 4).withColumn("v", (F.col("lat") - F.col("ay")) / 4)
     inside = hit.where((F.col("u") >= -1e-8) & (F.col("v") >= -1e-8) & (F.col("u") + F.col("v") <= 1 + 1e-8))
     height = F.col("ah") + F.col("u") * 100 + F.col("v") * 50
     best = inside.groupBy("ray").agg(F.max(F.struct(height.alias("h"), (-F.col("id")).alias("n"))).alias("best"))
