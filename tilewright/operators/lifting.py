@@ -3,8 +3,10 @@ corners, and update of the corners, in integers, so that it inverts exactly."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -63,17 +65,24 @@ def lift_patches(patches: DataFrame, tolerance: int = 0) -> DataFrame:
     """patches (patch, corners array, centres array) of square patches: the patch with
     its low part, its quantised details, and the largest error after synthesis."""
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for patch, p, q in zip(f["patch"], f["corners"], f["centres"], strict=True):
-                n = int(round(len(q) ** 0.5))
-                p, q = np.asarray(p, np.int64).reshape(n + 1, n + 1), np.asarray(q, np.int64).reshape(n, n)
+    schema = pa.schema([("patch", pa.int64()), ("low", pa.list_(pa.int64())), ("codes", pa.list_(pa.int64())), ("error", pa.int64())])
+
+    def lists(values: np.ndarray) -> pa.Array:
+        rows = values.reshape(len(values), -1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column("centres").value_lengths().to_numpy(zero_copy_only=False)
+            for length in np.unique(lengths):  # all patches of one size at once
+                part = batch.take(pa.array(np.flatnonzero(lengths == length)))
+                n = int(round(length**0.5))
+                p = part.column("corners").flatten().to_numpy().astype(np.int64).reshape(-1, n + 1, n + 1)
+                q = part.column("centres").flatten().to_numpy().astype(np.int64).reshape(-1, n, n)
                 low, details = analyse(p, q)
                 codes = quantise(details, tolerance)
                 back = synthesise(low, dequantise(codes, tolerance))
-                error = max(np.abs(back[0] - p).max(), np.abs(back[1] - q).max())
-                rows.append((patch, low.ravel(), codes.ravel(), int(error)))
-            yield pd.DataFrame(rows, columns=["patch", "low", "codes", "error"])
+                error = np.maximum(np.abs(back[0] - p).max(axis=(1, 2)), np.abs(back[1] - q).max(axis=(1, 2)))
+                yield pa.RecordBatch.from_arrays([part.column("patch").cast(pa.int64()), lists(low), lists(codes), pa.array(error)], schema=schema)
 
-    return patches.select("patch", "corners", "centres").mapInPandas(run, "patch long, low array<long>, codes array<long>, error long")
+    return patches.select("patch", "corners", "centres").mapInArrow(run, "patch long, low array<long>, codes array<long>, error long")

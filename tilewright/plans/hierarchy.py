@@ -17,10 +17,12 @@ def patches(spark: SparkSession, folder: str) -> DataFrame:
     """A patch of heights per customer: corners on even places, centres on odd ones."""
     c = F.col("c_custkey")
 
-    def heights(n: int, odd: int):
-        return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: ((F.floor(k / n) * 2 + odd) * (c % 31 + 3) + (k % n * 2 + odd) * (c % 17 + 5) + (F.floor(k / n) * (k % n) * c) % 97).cast("long"))
+    def heights(n: int, odd: int) -> Column:
+        # place by place: lambdas over a sequence aren't compiled
+        return F.array(*(((i * 2 + odd) * (c % 31 + 3) + (j * 2 + odd) * (c % 17 + 5) + (i * j * c) % 97).cast("long") for i in range(n) for j in range(n)))
 
-    return table(spark, folder, "customer").select(c.alias("patch"), heights(_N + 1, 0).alias("corners"), heights(_N, 1).alias("centres"))
+    spread = table(spark, folder, "customer").select("c_custkey").repartition("c_custkey")  # a row becomes 145 heights
+    return spread.select(c.alias("patch"), heights(_N + 1, 0).alias("corners"), heights(_N, 1).alias("centres"))
 
 
 def _round(v: str, divisor: int) -> str:
