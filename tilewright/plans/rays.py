@@ -133,13 +133,14 @@ def root_fragments(spark: SparkSession, folder: str) -> DataFrame:
     the second from its far corner."""
     c = F.col("c_custkey")
 
-    def height(k: Column) -> Column:
-        return (F.floor(k / 9) * (c % 31 + 3) + k % 9 * (c % 17 + 5)).cast("long")
-
-    places = F.sequence(F.lit(0), F.lit(80))
-    first = F.transform(F.filter(places, lambda k: k % 9 <= 8 - F.floor(k / 9)), height)
-    second = F.reverse(F.transform(F.filter(places, lambda k: k % 9 >= 8 - F.floor(k / 9)), height))
-    return table(spark, folder, "customer").select(c.alias("patch"), first.alias("first"), second.alias("second"))
+    def height(k: int) -> Column:
+        return (k // 9 * (c % 31 + 3) + k % 9 * (c % 17 + 5)).cast("long")
+
+    # place by place: lambdas over a sequence aren't compiled
+    first = F.array(*(height(k) for k in range(81) if k % 9 <= 8 - k // 9))
+    second = F.array(*(height(k) for k in reversed(range(81)) if k % 9 >= 8 - k // 9))
+    spread = table(spark, folder, "customer").select("c_custkey").repartition("c_custkey")  # a row becomes 90 heights
+    return spread.select(c.alias("patch"), first.alias("first"), second.alias("second"))
 
 
 @query("changed_groups")
