@@ -34,3 +34,29 @@ def test_nearest(spark, size):
         assert got[k]["distance"] == d.min() and got[k]["triangle"] == int(np.flatnonzero(d == d.min())[0])
     assert sd.nearest(points, triangles.limit(0), size).count() == 0
     assert sd.nearest(points.limit(0), triangles, size).count() == 0
+
+
+def test_rough_distances():
+    """The squares that choose pairs agree with the exact distances, except for thin triangles, which get 0."""
+    r = np.random.default_rng(3)
+    t, p = r.normal(size=(200, 3, 3)), r.normal(size=(90, 3)) * 3
+    t[:10, 2] = t[:10, 1]
+    rough = np.sqrt(sd._rough(p, t))
+    exact = np.stack([sd.distances(np.repeat(v[None], len(t), axis=0), t) for v in p])
+    assert (rough[:, :10] == 0).all() and np.abs(rough - exact)[:, 10:].max() < 1e-9
+
+
+def test_nothing_exploded_is_broadcast(spark, monkeypatch):
+    """Points and triangles are small as tables, but not once they are in cells; blocks cut small give the same."""
+    for name, value in (("MOST_CELLS", 0), ("SHARD", 7), ("SLICE", 5), ("STEP", 3)):
+        monkeypatch.setattr(sd, name, value, raising=False)
+    r = np.random.default_rng(4)
+    t, p = r.normal(size=(120, 1, 3)) + r.normal(size=(120, 3, 3)) * 0.3, r.normal(size=(40, 3)) * 3
+    points = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)], "id long, x double, y double, z double")
+    triangles = spark.createDataFrame([(k, v.ravel().tolist()) for k, v in enumerate(t)], "triangle long, t array<double>")
+    out = sd.nearest(points, triangles, 0.5)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {x["id"]: (x["triangle"], x["distance"]) for x in out.collect()}
+    for k, v in enumerate(p):
+        d = sd.distances(np.repeat(v[None], len(t), axis=0), t)
+        assert got[k] == (int(d.argmin()), d.min())

@@ -1,8 +1,11 @@
 """Exact distances from points to a surface of triangles, without a fixed radius.
 
 First each point gets a bound: cells around it, doubled until one of them holds a
-triangle's corner.  Then only triangles of cells within the bound can be nearer; the
-cells are as large as a quarter of the bound, so their number doesn't depend on it.
+triangle's corner.  Triangles are grouped by the cell of their middle; cells are as large
+as a quarter of the bound (larger for larger triangles), so the number of groups within
+it doesn't depend on it.  The triangles of the nearest group give a much better bound,
+and only those of groups within that are tried: whole blocks of points and triangles at
+once, by products of matrices, which leave few pairs for the exact distance.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,10 @@ from tilewright.operators import loops
 AXES = ("x", "y", "z")
 #: Cells between a point and its bound on each side.
 REACH = 4
+#: Cells or groups that may be broadcast, checked by a count.
+MOST_CELLS = 50_000
+#: Triangles and points in one block, and points tried at once.
+SHARD, SLICE, STEP = 2000, 4000, 256
 
 
 def _segment(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -42,6 +49,92 @@ def distances(p: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.where(over, plane, edges)
 
 
+def _rough(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """(n, m): squares of the distances of points (n, 3) to triangles (m, 3, 3) but for rounding,
+    by products of all with all.  Thin triangles get 0."""
+    a, b, c = t[:, 0], t[:, 1], t[:, 2]
+    normal = np.cross(b - a, c - a)
+    size = np.sqrt((normal * normal).sum(axis=1))
+    flat = size > 1e-6 * np.max([((v - u) ** 2).sum(axis=1) for u, v in ((a, b), (b, c), (c, a))], axis=0)
+    normal = np.where(flat[:, None], normal / np.where(flat, size, 1)[:, None], 0)
+
+    def along(way: np.ndarray, start: np.ndarray) -> np.ndarray:
+        return p @ way.T - (way * start).sum(axis=1)
+
+    over, side = np.ones((len(p), len(t)), bool), np.full((len(p), len(t)), np.inf)
+    for u, v in ((a, b), (b, c), (c, a)):
+        way = v - u
+        length = np.sqrt((way * way).sum(axis=1))
+        way = way / np.where(length == 0, 1, length)[:, None]
+        out, on = along(np.cross(way, normal), u), along(way, u)
+        over &= out <= 0
+        on -= np.clip(on, 0, length)
+        np.minimum(side, out * out + on * on, out=side)
+    side[over] = 0
+    plane = along(normal, a)
+    return np.where(flat, side + plane * plane, 0)
+
+
+def _best(ids: np.ndarray, p: np.ndarray, names: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, triangle, distance) of the nearest triangle of a block to each of its points."""
+    middle = t.reshape(-1, 3).mean(axis=0)
+    room = 1e-8 * (np.abs(t - middle).max() + np.abs(p - middle).max(axis=1))  # for rounding
+    near = _rough(p - middle, t - middle)
+    most = distances(p, t[near.argmin(axis=1)])
+    at, which = np.nonzero(near <= ((most + room) ** 2)[:, None])
+    d = distances(p[at], t[which])
+    order = np.lexsort((names[which], d, at))
+    first = order[np.searchsorted(at[order], np.arange(len(p)))]
+    return ids, names[which[first]], d[first]
+
+
+def _search(asks: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, triangle, distance) of the nearest triangles of the groups ``g`` that points
+    (g, id, x, y, z) ask, one at least; ``members`` are (g, triangle, t).  Groups are cut into
+    shards of their triangles and slices of their points."""
+    own = asks.groupBy("g").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")).checkpoint()
+    own = members.join(_few(own), "g").groupBy("g", "slices").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards")).checkpoint()
+    cuts = _few(own)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+    left = members.join(cuts, "g").select("g", one("triangle", "shards").alias("shard"), every("slices").alias("slice"), F.lit(False).alias("asks"), F.col("triangle").alias("id"), F.col("t").alias("v"))
+    right = asks.join(cuts, "g").select("g", every("shards").alias("shard"), one("id", "slices").alias("slice"), F.lit(True).alias("asks"), "id", F.array(*AXES).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).cast(pa.int64()).to_numpy(zero_copy_only=False) for k in range(4)], axis=1)
+            ids, v = batch.column(4).to_numpy(zero_copy_only=False), batch.column(5)
+            ends = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                key, values = tuple(keys[lo, :3].tolist()), v.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False)
+                if key != now:
+                    now, held = key, []
+                if not keys[lo, 3]:
+                    held.append((ids[lo:hi], values.reshape(-1, 3, 3)))
+                elif held:
+                    held = [tuple(np.concatenate(x) for x in zip(*held, strict=True))]
+                    for k in range(lo, hi, STEP):
+                        n = min(k + STEP, hi)
+                        found = _best(ids[k:n], values.reshape(-1, 3)[k - lo : n - lo], *held[0])
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["id", "triangle", "distance"])
+
+    rows = left.unionByName(right).repartition("g", "shard", "slice").sortWithinPartitions("g", "shard", "slice", "asks")
+    return rows.mapInArrow(run, "id long, triangle long, distance double")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """For joins: broadcast behind a count, else neither side, as exploded rows are many more than Spark expects."""
+    return F.broadcast(rows) if rows.count() <= MOST_CELLS else rows.hint("merge")
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Dealt out, as each row is exploded; by a number, which Spark keeps also for small tables."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "id")
+
+
 def _size(level: Column, size: float) -> Column:
     return F.pow(F.lit(2.0), level) * size
 
@@ -55,15 +148,15 @@ def bounds(points: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
     """Points with ``bound``, no less than their distance: that to the first corner of
     some triangle in the cells beside their own, on the first level that has any."""
     first = triangles.select(*(F.col("t")[k].alias(a) for k, a in enumerate(AXES))).checkpoint()
-    waiting, level, done = points.checkpoint(), 0, None
+    waiting, level, done = _spread(points).checkpoint(), 0, None
     while waiting.head(1):
         s = size * 2.0**level
-        cells = first.groupBy(*(F.floor(F.col(a) / s).alias(f"c{a}") for a in AXES)).agg(F.first(F.struct(*AXES)).alias("corner"))
+        cells = first.groupBy(*(F.floor(F.col(a) / s).alias(f"c{a}") for a in AXES)).agg(F.first(F.struct(*AXES)).alias("corner")).checkpoint()
         asked = waiting
         for a in AXES:
             asked = asked.withColumn(f"c{a}", _around(a, F.lit(s), 1))
         gap = sum(((F.col(a) - F.col("corner")[a]) ** 2 for a in AXES), F.lit(0.0))
-        found = asked.join(cells, [f"c{a}" for a in AXES]).groupBy("id").agg(F.sqrt(F.min(gap)).alias("bound"))
+        found = asked.join(_few(cells), [f"c{a}" for a in AXES]).groupBy("id").agg(F.sqrt(F.min(gap)).alias("bound"))
         out = waiting.join(found, "id").checkpoint()
         done = out if done is None else done.unionByName(out)
         waiting = waiting.join(found, "id", "left_anti").checkpoint()
@@ -80,26 +173,35 @@ def nearest(points: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
         return points.select("id", F.lit(None).cast("long").alias("triangle"), F.lit(None).cast("double").alias("distance")).limit(0)
     asked = bounds(points.select("id", *AXES), triangles, size)
     asked = asked.withColumn("bound", F.col("bound") * (1 + 1e-12))
-    asked = asked.withColumn("level", F.greatest(F.ceil(F.log2(F.greatest(F.col("bound"), F.lit(size * 1e-9)) / (size * REACH))), F.lit(0)).cast("int")).checkpoint()
+    asked = asked.withColumn("level", F.greatest(F.ceil(F.log2(F.greatest(F.col("bound"), F.lit(size * 1e-9)) / (size * REACH))), F.lit(0)).cast("int"))
+    asked = _spread(asked).checkpoint()
     levels = sorted(r["level"] for r in asked.select("level").distinct().collect())  # one for each doubling of the distances
-    cells = triangles.withColumn("level", F.explode(F.array(*(F.lit(v) for v in levels))))
-    s = _size(F.col("level"), size)
-    for k, a in enumerate(AXES):
-        corner = [F.col("t")[k + 3 * n] for n in range(3)]
-        cells = cells.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.least(*corner) / s), F.floor(F.greatest(*corner) / s))))
-    near = asked
+    if not levels:
+        return points.select("id", F.lit(None).cast("long").alias("triangle"), F.lit(None).cast("double").alias("distance")).limit(0)
+    # groups of triangles that are no wider than a cell, by the cell of their middle: none reaches farther out than half a cell
+    ends = {a: [F.col("t")[k + 3 * n] for n in range(3)] for k, a in enumerate(AXES)}
+    boxed = triangles.select("triangle", "t", *(f(*e).alias(f"{name}{a}") for a, e in ends.items() for name, f in (("lo", F.least), ("hi", F.greatest))))
+    wide = F.greatest(*(F.col(f"hi{a}") - F.col(f"lo{a}") for a in AXES))
+    boxed = boxed.withColumn("own", F.greatest(F.ceil(F.log2(F.greatest(wide, F.lit(size * 1e-9)) / size)), F.lit(0)).cast("int"))
+    widths = sorted(r["own"] for r in boxed.select("own").distinct().collect())  # one for each doubling of the widths
+    placed = boxed.repartition("triangle").withColumn("level", F.explode(F.array(*(F.lit(v) for v in levels)))).withColumn("at", F.greatest("own", "level"))
+    s = _size(F.col("at"), size)
+    key = ["level", "at", *(f"c{a}" for a in AXES)]
+    placed = placed.withColumns({f"c{a}": F.floor((F.col(f"lo{a}") + F.col(f"hi{a}")) / (2 * s)) for a in AXES})
+    groups = placed.groupBy(*key).agg(*(F.min(f"lo{a}").alias(f"lo{a}") for a in AXES), *(F.max(f"hi{a}").alias(f"hi{a}") for a in AXES)).checkpoint()
+    groups = _few(groups.withColumn("g", F.monotonically_increasing_id()).checkpoint())
+    members = placed.select(*key, "triangle", "t").join(groups.select(*key, "g"), key).select("g", "triangle", "t")
+    near = asked.withColumn("at", F.explode(F.array_distinct(F.transform(F.array(*(F.lit(v) for v in widths)), lambda w: F.greatest(w, F.col("level"))))))
+    gap = F.lit(0.0)
     for a in AXES:
-        near = near.withColumn(f"c{a}", F.explode(F.sequence(F.floor((F.col(a) - F.col("bound")) / s), F.floor((F.col(a) + F.col("bound")) / s))))
-    # of these only cells that the ball reaches
-    gap = sum((F.greatest(F.col(f"c{a}") * s - F.col(a), F.col(a) - (F.col(f"c{a}") + 1) * s, F.lit(0.0)) ** 2 for a in AXES), F.lit(0.0))
-    near = near.where(F.sqrt(gap) <= F.col("bound") * (1 + 1e-9))
-    pairs = near.join(cells, ["level", *(f"c{a}" for a in AXES)]).select("id", *AXES, "triangle", "t")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                d = distances(f[list(AXES)].to_numpy(), np.stack(f["t"].to_numpy()).reshape(-1, 3, 3))
-                yield pd.DataFrame({"id": f["id"], "triangle": f["triangle"], "distance": d})
-
-    found = pairs.mapInPandas(run, "id long, triangle long, distance double")
-    return found.groupBy("id").agg(F.min(F.struct("distance", "triangle")).alias("best")).select("id", "best.triangle", "best.distance")
+        near = near.withColumn(f"c{a}", F.explode(F.sequence(F.floor((F.col(a) - F.col("bound")) / s - 0.51), F.floor((F.col(a) + F.col("bound")) / s + 0.51))))
+        gap = gap + F.greatest((F.col(f"c{a}") - 0.51) * s - F.col(a), F.col(a) - (F.col(f"c{a}") + 1.51) * s, F.lit(0.0)) ** 2
+        near = near.where(F.sqrt(gap) <= F.col("bound") * (1 + 1e-9))
+    gap = F.sqrt(sum((F.greatest(F.col(f"lo{a}") - F.col(a), F.col(a) - F.col(f"hi{a}"), F.lit(0.0)) ** 2 for a in AXES), F.lit(0.0)))
+    middle = sum(((F.col(f"lo{a}") + F.col(f"hi{a}") - 2 * F.col(a)) ** 2 for a in AXES), F.lit(0.0))
+    near = near.join(groups, key).withColumn("gap", gap).where(F.col("gap") <= F.col("bound") * (1 + 1e-9)).select("id", *AXES, "g", "gap", middle.alias("middle")).checkpoint()
+    first = near.groupBy("id", *AXES).agg(F.min(F.struct("middle", "g")).alias("first")).select("id", *AXES, "first.g")
+    found = _search(first, members).groupBy("id").agg(F.min(F.struct("distance", "triangle")).alias("best")).checkpoint()
+    again = near.join(first.select("id", "g"), ["id", "g"], "left_anti").join(found.hint("merge"), "id").where(F.col("gap") <= F.col("best.distance") * (1 + 1e-9)).select("g", "id", *AXES).checkpoint()
+    found = found.unionByName(_search(again, members).select("id", F.struct("distance", "triangle").alias("best")))
+    return found.groupBy("id").agg(F.min("best").alias("best")).select("id", "best.triangle", "best.distance")
