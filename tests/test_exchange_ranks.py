@@ -104,3 +104,24 @@ def test_rolling(spark, width):
         mine = [x for x in rows if x[0] == g]
         for n, x in enumerate(mine):
             assert got[x[1]] == max(y[2] for y in mine[max(0, n - width + 1) : n + 1])
+
+
+def test_tree_is_made_once(spark, monkeypatch):
+    """No round reads the customers again; writing a checkpoint may compute it twice."""
+    from tilewright.plans import exchange as plan
+
+    seen, source = spark.sparkContext.accumulator(0), plan.customers
+
+    def counted(spark, folder):
+        def run(frames):
+            for f in frames:
+                seen.add(len(f))
+                yield f
+
+        rows = source(spark, folder).select("lon", "lat", "weight")
+        return rows.mapInPandas(run, rows.schema)
+
+    monkeypatch.setattr(plan, "customers", counted)
+    folder = "/root/testdata/sf0.001"
+    assert plan.exchanged_cut(spark, folder).count() > 0
+    assert seen.value <= 2 * source(spark, folder).count()

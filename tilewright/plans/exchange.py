@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.catalog import query
 from tilewright.functions.bits import right
-from tilewright.operators import exchange
+from tilewright.operators import exchange, loops
 from tilewright.plans.hierarchy import _ERRORS
 from tilewright.sources.tables import customers, table
 
@@ -16,10 +16,14 @@ _LEAF, _TARGET, _ROUNDS = 8, 0.05, 5
 
 def nodes(spark: SparkSession, folder: str) -> DataFrame:
     """(level, row, col, error, kids) of the quadtree of the customers' weights."""
-    rows = customers(spark, folder).select(F.least("lon", F.lit(179.9999)).alias("lon"), F.greatest("lat", F.lit(-89.9999)).alias("lat"), "weight", F.explode(F.sequence(F.lit(0), F.lit(_LEAF))).alias("level"))
-    two = F.pow(F.lit(2.0), "level")
-    row, col = F.floor((90 - F.col("lat")) / (90.0 / two)).cast("int"), F.floor((F.col("lon") + 180) / (90.0 / two)).cast("int")
-    found = rows.groupBy("level", row.alias("row"), col.alias("col")).agg((F.max(F.abs("weight")) / 1000 / F.first(two)).alias("error"))
+    leaf = 1 << _LEAF
+    rows = customers(spark, folder).select(F.least("lon", F.lit(179.9999)).alias("lon"), F.greatest("lat", F.lit(-89.9999)).alias("lat"), "weight")
+    row, col = F.floor((90 - F.col("lat")) / (90.0 / leaf)).cast("int"), F.floor((F.col("lon") + 180) / (90.0 / leaf)).cast("int")
+    # leaves first: their ancestors' cells are halvings of theirs, so no customer comes once a level
+    leaves = rows.groupBy(row.alias("row"), col.alias("col")).agg(F.max(F.abs("weight")).alias("weight")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_LEAF))))
+    up = (_LEAF - F.col("level")).cast("int")
+    at = [F.call_function("shiftright", F.col(c), up).alias(c) for c in ("row", "col")]
+    found = leaves.groupBy("level", *at).agg((F.max("weight") / 1000 / F.first(F.pow(F.lit(2.0), "level"))).alias("error"))
     kids = found.where("level > 0").groupBy((F.col("level") - 1).alias("level"), right(F.col("row"), 1).alias("row"), right(F.col("col"), 1).alias("col")).agg(F.count("*").alias("kids"))
     return found.join(kids, exchange.NODE, "left").withColumn("kids", F.coalesce("kids", F.lit(0)))
 
@@ -56,5 +60,6 @@ l{k + 1} as materialized (
 @query("exchanged_cut", _sql())
 def exchanged_cut(spark: SparkSession, folder: str) -> DataFrame:
     """For each view the leaves after five rounds of splits, paid by merges elsewhere."""
-    tree = nodes(spark, folder)
+    loops.ensure_checkpoint_dir(spark)
+    tree = nodes(spark, folder).checkpoint()  # of as many nodes as the levels have at most; read several times a round
     return exchange.exchange(first_cuts(spark, folder, tree), tree, _TARGET, _ROUNDS).select("view", *exchange.NODE, "error")
