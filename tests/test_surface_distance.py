@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tilewright.operators import blocks
 from tilewright.operators import surface_distance as sd
 
 
@@ -48,8 +49,8 @@ def test_rough_distances():
 
 def test_nothing_exploded_is_broadcast(spark, monkeypatch):
     """Points and triangles are small as tables, but not once they are in cells; blocks cut small give the same."""
-    for name, value in (("MOST_CELLS", 0), ("SHARD", 7), ("SLICE", 5), ("STEP", 3)):
-        monkeypatch.setattr(sd, name, value, raising=False)
+    for name, value in (("MOST_ROWS", 0), ("SHARD", 7), ("SLICE", 5), ("STEP", 3)):
+        monkeypatch.setattr(blocks, name, value)
     r = np.random.default_rng(4)
     t, p = r.normal(size=(120, 1, 3)) + r.normal(size=(120, 3, 3)) * 0.3, r.normal(size=(40, 3)) * 3
     points = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)], "id long, x double, y double, z double")

@@ -10,22 +10,15 @@ once, by products of matrices, which leave few pairs for the exact distance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators import loops
+from tilewright.operators import blocks, loops
 
 AXES = ("x", "y", "z")
 #: Cells between a point and its bound on each side.
 REACH = 4
-#: Cells or groups that may be broadcast, checked by a count.
-MOST_CELLS = 50_000
-#: Triangles and points in one block, and points tried at once.
-SHARD, SLICE, STEP = 2000, 4000, 256
 
 
 def _segment(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,6 +70,7 @@ def _rough(p: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 def _best(ids: np.ndarray, p: np.ndarray, names: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, triangle, distance) of the nearest triangle of a block to each of its points."""
+    t = t.reshape(-1, 3, 3)
     middle = t.reshape(-1, 3).mean(axis=0)
     room = 1e-8 * (np.abs(t - middle).max() + np.abs(p - middle).max(axis=1))  # for rounding
     near = _rough(p - middle, t - middle)
@@ -90,44 +84,9 @@ def _best(ids: np.ndarray, p: np.ndarray, names: np.ndarray, t: np.ndarray) -> t
 
 def _search(asks: DataFrame, members: DataFrame) -> DataFrame:
     """(id, triangle, distance) of the nearest triangles of the groups ``g`` that points
-    (g, id, x, y, z) ask, one at least; ``members`` are (g, triangle, t).  Groups are cut into
-    shards of their triangles and slices of their points."""
-    own = asks.groupBy("g").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")).checkpoint()
-    own = members.join(_few(own), "g").groupBy("g", "slices").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards")).checkpoint()
-    cuts = _few(own)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
-    left = members.join(cuts, "g").select("g", one("triangle", "shards").alias("shard"), every("slices").alias("slice"), F.lit(False).alias("asks"), F.col("triangle").alias("id"), F.col("t").alias("v"))
-    right = asks.join(cuts, "g").select("g", every("shards").alias("shard"), one("id", "slices").alias("slice"), F.lit(True).alias("asks"), "id", F.array(*AXES).alias("v"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(k).cast(pa.int64()).to_numpy(zero_copy_only=False) for k in range(4)], axis=1)
-            ids, v = batch.column(4).to_numpy(zero_copy_only=False), batch.column(5)
-            ends = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
-            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                key, values = tuple(keys[lo, :3].tolist()), v.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False)
-                if key != now:
-                    now, held = key, []
-                if not keys[lo, 3]:
-                    held.append((ids[lo:hi], values.reshape(-1, 3, 3)))
-                elif held:
-                    held = [tuple(np.concatenate(x) for x in zip(*held, strict=True))]
-                    for k in range(lo, hi, STEP):
-                        n = min(k + STEP, hi)
-                        found = _best(ids[k:n], values.reshape(-1, 3)[k - lo : n - lo], *held[0])
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["id", "triangle", "distance"])
-
-    rows = left.unionByName(right).repartition("g", "shard", "slice").sortWithinPartitions("g", "shard", "slice", "asks")
-    return rows.mapInArrow(run, "id long, triangle long, distance double")
-
-
-def _few(rows: DataFrame) -> DataFrame:
-    """For joins: broadcast behind a count, else neither side, as exploded rows are many more than Spark expects."""
-    return F.broadcast(rows) if rows.count() <= MOST_CELLS else rows.hint("merge")
+    (g, id, x, y, z) ask, one at least; ``members`` are (g, triangle, t)."""
+    asks, members = asks.select("g", "id", F.array(*AXES).alias("v")), members.select("g", F.col("triangle").alias("id"), F.col("t").alias("v"))
+    return blocks.meet(asks, members, _best, "id long, triangle long, distance double")
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -156,7 +115,7 @@ def bounds(points: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
         for a in AXES:
             asked = asked.withColumn(f"c{a}", _around(a, F.lit(s), 1))
         gap = sum(((F.col(a) - F.col("corner")[a]) ** 2 for a in AXES), F.lit(0.0))
-        found = asked.join(_few(cells), [f"c{a}" for a in AXES]).groupBy("id").agg(F.sqrt(F.min(gap)).alias("bound"))
+        found = asked.join(blocks.few(cells), [f"c{a}" for a in AXES]).groupBy("id").agg(F.sqrt(F.min(gap)).alias("bound"))
         out = waiting.join(found, "id").checkpoint()
         done = out if done is None else done.unionByName(out)
         waiting = waiting.join(found, "id", "left_anti").checkpoint()
@@ -189,7 +148,7 @@ def nearest(points: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
     key = ["level", "at", *(f"c{a}" for a in AXES)]
     placed = placed.withColumns({f"c{a}": F.floor((F.col(f"lo{a}") + F.col(f"hi{a}")) / (2 * s)) for a in AXES})
     groups = placed.groupBy(*key).agg(*(F.min(f"lo{a}").alias(f"lo{a}") for a in AXES), *(F.max(f"hi{a}").alias(f"hi{a}") for a in AXES)).checkpoint()
-    groups = _few(groups.withColumn("g", F.monotonically_increasing_id()).checkpoint())
+    groups = blocks.few(groups.withColumn("g", F.monotonically_increasing_id()).checkpoint())
     members = placed.select(*key, "triangle", "t").join(groups.select(*key, "g"), key).select("g", "triangle", "t")
     near = asked.withColumn("at", F.explode(F.array_distinct(F.transform(F.array(*(F.lit(v) for v in widths)), lambda w: F.greatest(w, F.col("level"))))))
     gap = F.lit(0.0)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.catalog import query
 from tilewright.functions import geo, rays
-from tilewright.operators import loops
+from tilewright.operators import blocks, loops
+from tilewright.operators.cells import cell, cover
 from tilewright.sources.tables import CUSTOMERS_SQL, customers, latitude, longitude, table
 
 R = geo.RADIUS
@@ -50,16 +52,48 @@ def box_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
+def triangle_candidates(ask: DataFrame, tri: DataFrame, size: float) -> DataFrame:
+    """(ray, id): for downward rays (ray, lon, lat) those of the triangles (id, west, south,
+    east, north, h; corners in the south-west, south-east and north-west) that each may meet
+    first.  Of a cell's triangles only boxes that hold the ray count, and then those whose
+    plane it meets as far out as it surely meets any, but for rounding."""
+    loops.ensure_checkpoint_dir(ask.sparkSession)
+    group = (F.col("cell_x") * (1 << 32) + F.col("cell_y")).alias("g")
+    asks = ask.select((cell(F.col("lon"), size) * (1 << 32) + cell(F.col("lat"), size)).alias("g"), F.col("ray").alias("id"), F.array("lon", "lat").alias("v"))
+    spread = tri.repartition(int(tri.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    members = cover(spread, size).select(group, "id", F.array("west", "south", "east", "north", "h").alias("v"))
+
+    def place(lon: np.ndarray, lat: np.ndarray, r: np.ndarray | float) -> np.ndarray:
+        a, b = np.radians(lon), np.radians(lat)
+        return np.stack([np.sin(a) * np.cos(b) * r, np.sin(b) * r, np.cos(a) * np.cos(b) * r], axis=-1)
+
+    def kernel(ids: np.ndarray, p: np.ndarray, names: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
+        lon, lat, (west, south, east, north, h) = p[:, :1], p[:, 1:], t.T
+        u = place(p[:, 0], p[:, 1], 1.0)
+        a, b, c = place(west, south, R + h), place(east, south, R + h), place(west, north, R + h)
+        normal = np.cross(b - a, c - a)
+        # a ray to the centre cuts a plane into the shares of its corners
+        shares = [u @ np.cross(v, w).T for v, w in ((b, c), (c, a), (a, b))]
+        whole = u @ normal.T
+        fine = np.abs(whole) > 0
+        depth = np.where(fine, (a * normal).sum(axis=1) / np.where(fine, whole, 1), np.inf)
+        least = np.minimum(np.minimum(shares[0], shares[1]), shares[2]) / np.where(fine, sum(shares), 1)
+        held = (lon >= west) & (lon <= east) & (lat >= south) & (lat <= north)
+        top = np.where(held & fine & (least > 1e-6), depth, -np.inf).max(axis=1)
+        at, which = np.nonzero(held & ((least >= -1e-6) | ~fine) & (depth >= (top - 1.0)[:, None]))
+        return ids[at], names[which]
+
+    return blocks.meet(asks, members, kernel, "ray long, id long")
+
+
 @query("triangle_hits")
 def triangle_hits(spark: SparkSession, folder: str) -> DataFrame:
     """Rays from above each supplier to the centre, and the nearest ground triangle that
-    each meets: triangles go to the cells of their box, so only near ones are tried."""
-    from tilewright.operators.cells import box_join
-
+    each meets: triangles go to the cells of their box, and few of a cell's are tried exactly."""
     s = F.col("s_suppkey")
     ask = table(spark, folder, "supplier").select(s.alias("ray"), longitude(s).alias("lon"), latitude(s).alias("lat"))
     tri = customers(spark, folder).where("lat < 80 and lat > -80 and lon < 175").select("id", F.col("lon").alias("west"), F.col("lat").alias("south"), (F.col("lon") + 4).alias("east"), (F.col("lat") + 4).alias("north"), "h")
-    near = box_join(tri, ask, 5.0, closed=True)
+    near = triangle_candidates(ask, tri, 5.0).join(ask, "ray").join(tri, "id")
 
     def at(lon: Column, lat: Column, h: Column) -> rays.Vec:
         return geo.xyz(lon, lat, h)
