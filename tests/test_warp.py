@@ -63,3 +63,18 @@ def test_levels(spark):
 
     rows = spark.createDataFrame([(12.0,), (11.25,), (6.0,), (5.625,), (0.001,)], "step double").select(warp.level_for(F.col("step"), 16, 5)).collect()
     assert [r[0] for r in rows] == [0, 0, 1, 1, 5]
+
+
+def test_last_pixels_in_batches(spark, monkeypatch):
+    """What many blocks at once give is what combining every source's pixels gives: bands of
+    their own holes, sources of one band, low pixels, beyond the map's edge."""
+    r = np.random.default_rng(4)
+    monkeypatch.setattr(warp, "MOST_PIXELS", 500)
+    sources = [(k, 9 + k % 5, 12, 1 if k % 3 == 0 else 3, 1 + k % 3, float(r.uniform(-180, 180)), 1.5, 0.3, float(r.uniform(-90, 90)), 0.2, -1.5) for k in range(20)]
+    pixels = [p for s in sources for p in pixels_of(s[0], s[1], s[2], s[3], lambda x, y, b: int(r.integers(0, 60))) if r.random() > 0.4]
+    sources.append((50, 5, 5, 3, 1, 0.0, 1.5, 0.0, 0.0, 0.0, -1.5))  # without pixels
+    given, known = spark.createDataFrame(sources, SOURCE), spark.createDataFrame(pixels, PIXELS)
+    whole = sorted(map(tuple, warp.insert(warp.warp(given, warp.blocks(known, 4), 16, size=4), 16, 20).collect()))
+    got = warp.in_quads(warp.last_pixels(given, warp.banded_blocks(known, 4), 16, 20, size=4), 16)
+    assert sorted(map(tuple, got.collect())) == whole and len(whole) > 500
+    assert warp.last_pixels(given, warp.banded_blocks(known.limit(0), 4), 16, 20, size=4).count() == 0

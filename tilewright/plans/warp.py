@@ -75,5 +75,5 @@ select level::int as level, (x // {_PIXELS})::int as quad_x, (y // {_PIXELS})::i
 )
 def warped_quads(spark: SparkSession, folder: str) -> DataFrame:
     """All sources warped into the quads of their level, the last one on top."""
-    rows = warp.warp(sources(spark, folder), warp.blocks(source_pixels(spark, folder), _BLOCK), _PIXELS, size=_BLOCK)
-    return warp.insert(rows, _PIXELS, _LEAST)
+    rows = warp.last_pixels(sources(spark, folder), warp.banded_blocks(source_pixels(spark, folder), _BLOCK), _PIXELS, _LEAST, size=_BLOCK)
+    return warp.in_quads(rows, _PIXELS)
