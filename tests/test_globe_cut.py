@@ -81,3 +81,29 @@ def test_boxes_hold_their_corners():
     # along an axis a box shows the rectangle of the two others
     assert np.allclose(cuts.areas(axes, half, axes[:, 2]), 4 * half[:, 0] * half[:, 1])
     assert np.allclose(cuts.distances(centre, axes, half, centre + axes[:, 0] * (half[:, :1] + 50)), 50)
+
+
+def test_cameras_of_a_batch_are_cut_alone(spark):
+    """In one pass over cameras that are dealt out: the same in batches of any size, with the
+    sides and the refined diamonds that the joins of ``leaves`` find."""
+    rows = [(n, [float(v) for v in cuts.unit(CORNERS[n % 8, 0]) * (geo.RADIUS + 3e5 + 1e5 * n)], AWAY if n == 5 else NONE) for n in range(9)]
+    cameras = spark.createDataFrame([*rows, (None, rows[0][1], NONE)], "camera long, eye array<double>, planes array<double>")
+    nodes, refined = cuts.cut(cameras, 0.15, 32, 4, 0.0, 5000.0)
+    want = {(key(r), r["sides"], r["visible"], round(r["priority"], 9)) for r in cuts.leaves(nodes, refined).collect()}
+    marked = cuts.marked(cameras, 0.15, 32, 4, 0.0, 5000.0)
+    assert "Join" not in marked._jdf.queryExecution().executedPlan().toString()
+    assert marked.rdd.getNumPartitions() >= 4
+    for batch, kept in ((512, 100_000), (1, 0)):
+        found = {(k, sides, seen, round(size, 9)) for some in by_kernel(rows, batch, kept) for k, sides, seen, size in some}
+        assert found == want
+
+
+def by_kernel(rows, batch, kept):
+    """Leaves by the kernel alone, in batches of cameras, with its diamonds kept or not."""
+    known = cuts._Diamonds(0.0, 5000.0, geo.RADIUS)
+    for n in range(0, len(rows), batch):
+        some = rows[n : n + batch]
+        known = known if len(known.at) <= kept else cuts._Diamonds(0.0, 5000.0, geo.RADIUS)
+        eyes, planes = np.array([r[1] for r in some]), np.array([r[2] for r in some]).reshape(len(some), -1, 4)
+        who, ids, seen, size, split, sides = cuts._cut_batch(known, eyes, planes, 0.15, 32, 4)
+        yield [((some[w][0], int(known.level[d]), *known.place[d].tolist()), s, v, p) for w, d, s, v, p, r in zip(who, ids, sides.tolist(), seen.tolist(), size.tolist(), split, strict=True) if not r]

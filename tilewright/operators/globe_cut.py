@@ -3,7 +3,7 @@
 A diamond is refined if its oriented box looks larger than a threshold, and so is every
 diamond that this depends on: all its parents within the globe, which may lie on the far
 side of the neighbour.  Both ways, down by size and up by dependence, are taken by one
-frontier of newly refined diamonds until there are none.
+frontier of newly refined diamonds until there are none, for a batch of cameras at once.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +21,9 @@ from tilewright.operators import loops
 KEY = ["camera", "level", "i", "j", "k"]
 #: Priority of a box that holds the eye.
 INSIDE = float(1 << 30)
+#: Cameras whose graphs a task holds at once, diamonds that it measures or returns at once,
+#: and different ones that it keeps for the next cameras.
+CAMERAS, MEASURED, KNOWN = 512, 16_384, 100_000
 
 
 def degrees(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,36 +109,141 @@ def child(corners: np.ndarray, side: int, which: int) -> np.ndarray:
     return np.stack([ring[0], _wrapped(ring[1]), ring[2], _wrapped(ring[3])], axis=1)
 
 
-KIDS = "camera long, level int, i long, j long, k long, d array<long>"
-
-
-def _row_ids(corners: np.ndarray) -> dict[str, np.ndarray]:
-    centre = (corners[:, 0] + corners[:, 2]) // 2
-    return {a: centre[:, n] for n, a in enumerate(grid.AXES)}
-
-
-def children(rows: DataFrame) -> DataFrame:
-    """(camera, level, i, j, k, d): the children of diamonds (camera, level, d) on the
-    sides whose parent lies on the globe, each once."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            d = np.stack(f["d"].to_numpy()).reshape(-1, 4, 3) if len(f) else np.zeros((0, 4, 3), np.int64)
+class _Diamonds:
+    """The diamonds that the cameras of a task have made, each once: places, corners, boxes,
+    and by number their parents, and the children of those that any camera has refined."""
+
+    def __init__(self, low: float, high: float, radius: float) -> None:
+        self.range, self.at = (low, high, radius), {}
+        self.level, self.place, self.corners = np.empty(0, np.int64), np.empty((0, 3), np.int64), np.empty((0, 4, 3), np.int64)
+        self.kids, self.up = np.empty((0, 4), np.int64), np.empty((0, 2), np.int64)  # -1: not on the globe, -2: not known yet
+        self.box = (np.empty((0, 3)), np.empty((0, 3, 3)), np.empty((0, 3)))
+
+    def numbers(self, level: int, corners: np.ndarray) -> np.ndarray:
+        """Of diamonds (n, 4, 3) of a level; makes those that are new."""
+        place = (corners[:, 0] + corners[:, 2]) // 2
+        out, new = np.empty(len(corners), np.int64), []
+        for n, key in enumerate(map(tuple, place.tolist())):
+            if (level, key) not in self.at:
+                self.at[level, key] = len(self.at)
+                new.append(n)
+            out[n] = self.at[level, key]
+        if new:
+            self.level = np.concatenate([self.level, np.full(len(new), level)])
+            self.place, self.corners = np.concatenate([self.place, place[new]]), np.concatenate([self.corners, corners[new]])
+            self.kids, self.up = np.concatenate([self.kids, np.full((len(new), 4), -2)]), np.concatenate([self.up, np.full((len(new), 2), -2)])
+            self.box = tuple(np.concatenate(v) for v in zip(self.box, boxes(corners[new], *self.range), strict=True))
+        return out
+
+    def children(self, ids: np.ndarray) -> np.ndarray:
+        """(n, 4) numbers on the sides whose parent lies on the globe, -1 on the others."""
+        new = np.unique(ids[self.kids[ids, 0] == -2])
+        for level in np.unique(self.level[new]).tolist():
+            some = new[self.level[new] == level]
             for side in (0, 1):
-                fine = inside(d[:, 1 + 2 * side])
+                fine = inside(self.corners[some, 1 + 2 * side])
                 for which in (0, 1):
-                    if fine.any():
-                        kids = child(d[fine], side, which)
-                        yield pd.DataFrame({"camera": f["camera"][fine].to_numpy(), "level": f["level"][fine].to_numpy() + 1, **_row_ids(kids), "d": list(kids.reshape(len(kids), 12))})
-
-    return rows.select("camera", "level", "d").mapInPandas(run, KIDS).dropDuplicates(KEY)
-
-
-def parents(rows: DataFrame) -> DataFrame:
-    """(camera, level, i, j, k): the parents on the globe, each once."""
-    ends = F.explode(F.array(F.slice("d", 4, 3), F.slice("d", 10, 3))).alias("p")
-    both = rows.where(F.col("level") > 0).select("camera", (F.col("level") - 1).alias("level"), ends)
-    return both.where(F.forall("p", lambda v: F.abs(v) <= grid.HALF)).select("camera", "level", *(F.col("p")[n].alias(a) for n, a in enumerate(grid.AXES))).distinct()
+                    self.kids[some, 2 * side + which] = -1
+                    self.kids[some[fine], 2 * side + which] = self.numbers(level + 1, child(self.corners[some[fine]], side, which))
+        return self.kids[ids]
+
+    def parents(self, ids: np.ndarray) -> np.ndarray:
+        """(n, 2) numbers, -1 outside the globe, -2 where not made yet."""
+        for side in (0, 1):
+            for n in np.unique(ids[self.up[ids, side] == -2]).tolist():
+                p = self.corners[n, 1 + 2 * side]
+                there = self.level[n] > 0 and inside(p)
+                self.up[n, side] = self.at.get((int(self.level[n]) - 1, tuple(p.tolist())), -2) if there else -1
+        return self.up[ids]
+
+
+_ROOTS = np.array([[grid.CYLINDER_POINTS[c] for c in r] for r in grid.CYLINDER_ROOTS])
+
+
+def _cut_batch(known: _Diamonds, eyes: np.ndarray, planes: np.ndarray, threshold: float, samples: int, levels: int) -> tuple[np.ndarray, ...]:
+    """(camera's place, diamond, visible, priority, refined, sides) of all diamonds of some cameras' graphs."""
+    count = len(eyes)
+
+    def measured(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, who = np.divmod(keys, count)
+        centre, axes, half = (v[ids] for v in known.box)
+        seen, away = visible(centre, axes, half, planes[who]), distances(centre, axes, half, eyes[who])
+        with np.errstate(divide="ignore"):
+            size = np.where(away == 0, INSIDE, np.sqrt(areas(axes, half, _normal(centre - eyes[who]))) / (samples * away))
+        return seen, np.where(seen, size, 0.0)
+
+    def add(keys: np.ndarray) -> np.ndarray:
+        """Makes diamonds; those that are large."""
+        cuts = range(0, len(keys), MEASURED)
+        parts = [measured(keys[n : n + MEASURED]) for n in cuts] or [(np.empty(0, bool), np.empty(0))]
+        seen, size = (np.concatenate(v) for v in zip(*parts, strict=True))
+        made.append((keys, seen, size))
+        return keys[(size > threshold) & (known.level[keys // count] < levels)]
+
+    # a diamond of a camera is one number: of the diamond, then of the camera
+    made: list[tuple[np.ndarray, ...]] = []
+    refined = fresh = add((known.numbers(0, _ROOTS)[:, None] * count + np.arange(count)).ravel())
+    all_made, waiting = made[0][0], np.empty((0, 2), np.int64)  # waiting: (refined diamond, its side) whose parent isn't made
+    for _ in range(4 * levels + 4):  # a way of dependence goes down and up each level
+        if not len(fresh):
+            break
+        ids, who = np.divmod(fresh, count)
+        kids = known.children(ids)
+        kids = np.unique((kids * count + who[:, None])[kids >= 0])
+        kids = kids[~np.isin(kids, all_made)]
+        all_made = np.concatenate([all_made, kids])
+        grown = add(kids)
+        refined = np.concatenate([refined, grown])
+        asks = np.concatenate([waiting, np.stack([np.repeat(fresh, 2), np.tile([0, 1], len(fresh))], axis=1)])
+        up = known.parents(asks[:, 0] // count)[np.arange(len(asks)), asks[:, 1]]
+        asks, up = asks[up != -1], up[up != -1]
+        keys = np.where(up >= 0, up * count + asks[:, 0] % count, -1)
+        there = np.isin(keys, all_made)
+        waiting = asks[~there]  # their parents come first
+        forced = np.setdiff1d(keys[there], refined)
+        fresh, refined = np.concatenate([grown, forced]), np.concatenate([refined, forced])
+    else:
+        raise RuntimeError("no end of dependences")
+    if len(waiting):
+        raise RuntimeError("a diamond depends on one that isn't there")
+    keys, seen, size = (np.concatenate(v) for v in zip(*made, strict=True))
+    ids, who = np.divmod(keys, count)
+    up = known.parents(ids)
+    sides = np.isin(np.where(up >= 0, up * count + who[:, None], -1), refined) @ np.array([1, 2])
+    return who, ids, seen, size, np.isin(keys, refined), np.where(known.level[ids] == 0, 3, sides)
+
+
+def marked(cameras: DataFrame, threshold: float, samples: int, levels: int, low: float = 0.0, high: float = 0.0, radius: float = geo.RADIUS, corners: bool = False) -> DataFrame:
+    """(camera, level, i, j, k, visible, priority, refined, sides), and d if ``corners``: all
+    diamonds of the graphs of cameras (camera, eye, planes), as ``cut`` has them, whether
+    they are refined, and the sides (bit 0 and 1) whose parent is.
+
+    Cameras don't depend on one another: they are dealt out and each task takes CAMERAS of
+    them at a time, so its memory is bounded by their graphs, and nothing else is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Diamonds(low, high, radius)
+        for whole in batches:
+            for first in range(0, whole.num_rows, CAMERAS):
+                batch = whole.slice(first, CAMERAS)
+                if len(known.at) > KNOWN:
+                    known = _Diamonds(low, high, radius)
+                eyes, planes = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, *shape) for c, shape in ((1, (3,)), (2, (-1, 4))))
+                who, ids, seen, size, refined, sides = _cut_batch(known, eyes, planes, threshold, samples, levels)
+                for n in range(0, len(who), MEASURED):
+                    at, part = ids[n : n + MEASURED], slice(n, n + MEASURED)
+                    columns = [batch.column(0).take(pa.array(who[part])), pa.array(known.level[at].astype(np.int32)), *(pa.array(known.place[at, a]) for a in range(3))]
+                    columns += [pa.array(seen[part]), pa.array(size[part]), pa.array(refined[part]), pa.array(sides[part].astype(np.int32))]
+                    if corners:
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * 12), pa.array(known.corners[at].ravel())))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    fields = f"{', '.join(f'{c} {t}' for c, t in zip(KEY, ('long', 'int', 'long', 'long', 'long'), strict=True))}, visible boolean, priority double, refined boolean, sides int" + (", d array<long>" if corners else "")
+    names = [f.split()[0] for f in fields.split(", ")]
+    spark = cameras.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = cameras.select(F.col("camera").cast("long").alias("camera"), "eye", "planes").where("camera is not null")
+    return rows.repartition(tasks, "camera").mapInArrow(run, fields)
 
 
 def cut(cameras: DataFrame, threshold: float, samples: int, levels: int, low: float = 0.0, high: float = 0.0, radius: float = geo.RADIUS) -> tuple[DataFrame, DataFrame]:
@@ -148,45 +256,8 @@ def cut(cameras: DataFrame, threshold: float, samples: int, levels: int, low: fl
     the cut.  No diamond below ``levels`` is made.  Each diamond that is refined has all
     its parents refined."""
     loops.ensure_checkpoint_dir(cameras.sparkSession)
-
-    def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            centre, axes, half = boxes(np.stack(f["d"].to_numpy()).reshape(-1, 4, 3), low, high, radius)
-            eyes, planes = np.stack(f["eye"].to_numpy()), np.stack(f["planes"].to_numpy()).reshape(len(f), -1, 4)
-            seen, away = visible(centre, axes, half, planes), distances(centre, axes, half, eyes)
-            with np.errstate(divide="ignore"):
-                size = np.where(away == 0, INSIDE, np.sqrt(areas(axes, half, _normal(centre - eyes))) / (samples * away))
-            yield f[[*KEY, "d"]].assign(visible=seen, priority=np.where(seen, size, 0.0))
-
-    def with_priority(rows: DataFrame) -> DataFrame:
-        return rows.join(cameras.select("camera", "eye", "planes"), "camera").mapInPandas(measured, f"{KIDS}, visible boolean, priority double")
-
-    corners = np.array([[grid.CYLINDER_POINTS[c] for c in r] for r in grid.CYLINDER_ROOTS])
-    roots = F.array(*(F.struct(*(F.lit(int(v[n])).cast("long").alias(a) for a, v in _row_ids(corners).items()), F.array(*(F.lit(int(v)).cast("long") for v in corners[n].ravel())).alias("d")) for n in range(len(corners))))
-    start = cameras.select(F.col("camera").cast("long").alias("camera"), F.explode(roots).alias("r")).select("camera", F.lit(0).alias("level"), "r.*")
-    nodes = with_priority(start).checkpoint()
-    large = (F.col("priority") > threshold) & (F.col("level") < levels)
-    refined = fresh = nodes.where(large).select(*KEY, "d")
-    waiting = refined.select(*KEY).limit(0)
-    for _ in range(4 * levels + 4):  # a way of dependence goes down and up each level
-        if not fresh.head(1):
-            break
-        kids = with_priority(children(fresh).join(nodes.select(*KEY), KEY, "left_anti")).checkpoint()
-        nodes = nodes.unionByName(kids)
-        grown = kids.where(large).select(*KEY, "d")
-        refined = refined.unionByName(grown)
-        wanted = parents(fresh).unionByName(waiting).distinct().join(refined.select(*KEY), KEY, "left_anti")
-        wanted = wanted.join(nodes.select(*KEY, "d"), KEY, "left").checkpoint()
-        forced = wanted.where(F.col("d").isNotNull())
-        waiting = wanted.where(F.col("d").isNull()).select(*KEY)  # not made yet: their parents come first
-        fresh, refined = grown.unionByName(forced), refined.unionByName(forced)
-    else:
-        raise RuntimeError("no end of dependences")
-    if waiting.head(1):
-        raise RuntimeError("a diamond depends on one that isn't there")
-    return nodes, refined
+    every = marked(cameras, threshold, samples, levels, low, high, radius, corners=True).checkpoint()
+    return every.select(*KEY, "d", "visible", "priority"), every.where("refined").select(*KEY, "d")
 
 
 def leaves(nodes: DataFrame, refined: DataFrame) -> DataFrame:

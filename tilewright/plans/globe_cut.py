@@ -111,8 +111,8 @@ select camera, level, id[1] as i, id[2] as j, id[3] as k, case when level = 0 th
 )
 def globe_cut(spark: SparkSession, folder: str) -> DataFrame:
     """For each camera the diamonds that show the globe as finely as the threshold asks."""
-    rows = cuts.leaves(*cuts.cut(cameras(spark, folder), _THRESHOLD, _SAMPLES, _LEVELS, 0.0, _HIGH))
-    return rows.withColumn("priority", F.round("priority", 6))
+    rows = cuts.marked(cameras(spark, folder), _THRESHOLD, _SAMPLES, _LEVELS, 0.0, _HIGH).where("not refined")
+    return rows.select(*cuts.KEY, "sides", "visible", F.round("priority", 6).alias("priority"))
 
 
 @query("cut_requests", f"""with recursive {_GRAPH},
