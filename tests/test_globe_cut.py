@@ -107,3 +107,11 @@ def by_kernel(rows, batch, kept):
         eyes, planes = np.array([r[1] for r in some]), np.array([r[2] for r in some]).reshape(len(some), -1, 4)
         who, ids, seen, size, split, sides = cuts._cut_batch(known, eyes, planes, 0.15, 32, 4)
         yield [((some[w][0], int(known.level[d]), *known.place[d].tolist()), s, v, p) for w, d, s, v, p, r in zip(who, ids, sides.tolist(), seen.tolist(), size.tolist(), split, strict=True) if not r]
+
+
+def test_requests_count_cameras_without_a_join(spark):
+    """One pass over marked diamonds: nothing but the cameras and the sums is shuffled."""
+    from tilewright.catalog import queries
+
+    plan = queries()["cut_requests"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 2

@@ -120,9 +120,8 @@ asked as (select camera, 'root' as kind, level, id from made where level = 0 uni
 select kind, level, id[1] as i, id[2] as j, id[3] as k, count(*) as cameras, round(max(priority), 6) as priority from asked join sized using (camera, level, id) group by all""")
 def cut_requests(spark: SparkSession, folder: str) -> DataFrame:
     """What all cuts need fetched: roots and details of refined diamonds, each once with its highest priority."""
-    nodes, refined = cuts.cut(cameras(spark, folder), _THRESHOLD, _SAMPLES, _LEVELS, 0.0, _HIGH)
-    details = nodes.join(refined.select(*cuts.KEY), cuts.KEY, "left_semi").withColumn("kind", F.lit("detail"))
-    asked = nodes.where("level = 0").withColumn("kind", F.lit("root")).unionByName(details)
+    kinds = F.array_compact(F.array(F.when(F.col("level") == 0, "root"), F.when(F.col("refined"), "detail")))
+    asked = cuts.marked(cameras(spark, folder), _THRESHOLD, _SAMPLES, _LEVELS, 0.0, _HIGH).withColumn("kind", F.explode(kinds))
     return asked.groupBy("kind", "level", "i", "j", "k").agg(F.count("*").alias("cameras"), F.round(F.max("priority"), 6).alias("priority"))
 
 
