@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from tilewright.llm import ngram_join
 from tilewright.llm.ngram_join import divide_skip
 from tilewright.llm.shingles import shingle_sets
@@ -136,3 +138,22 @@ def test_copies_with_repeated_and_null_ids(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
     assert got == sorted([(5, one), (6, other), (None, "solo text"), (None, None), (None, None), (7, " ")], key=str)
     assert ngram_join.drop_near_copies(table(spark, rows).limit(0)).count() == 0
+
+
+def test_sample_leaves_out_nodes_that_cannot_link(spark):
+    """Only few of the texts that share little reach the whole index, and all that link do."""
+    rng = np.random.default_rng(7)
+    alone = [" ".join(f"w{v}" for v in rng.integers(0, 1 << 40, 200)) for _ in range(300)]
+    pairs = [t + f" end{n}" for n, t in enumerate(alone[:20])]  # near copies
+    short = ["one two three", "one two three", "four"]
+    df = spark.createDataFrame(list(enumerate([*alone, *pairs, *short, "", None])), "doc_id long, text string").repartition(5)
+    nodes, naming = ngram_join.named_nodes(df)
+    stay, postings = ngram_join.staying(df, nodes, 4, naming)
+    kept = {r["doc_id"] for r in nodes.where("node is not null").collect() if stay[(r["node"] & (8 * len(stay) - 1)) >> 3] >> (r["node"] & 7) & 1}
+    assert kept >= {*range(20), *range(300, 320)} and len(kept) < 60
+    assert postings < 60 * 200 < nodes.groupBy().sum("n_shingles").first()[0] / 4
+    # the index of those that stay is all that is shuffled by range
+    whole = ngram_join._packed_index(df, 4, naming, stay).selectExpr("sum(length(owner)) div 2").first()[0]
+    assert whole <= postings + 3 * 200
+    comps = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df).collect()}
+    assert all(comps[300 + n] == n for n in range(20)) and comps[321] == 320 and len(set(comps.values())) == 325 - 21

@@ -1,9 +1,10 @@
 """Exact Jaccard self-join of documents on sets of word n-grams, by T-occurrence
 search, and the components that its links form.
 
-Documents with equal sets are one *node*.  An inverted index is built over all
-shingles of all nodes, split by hash ranges; it travels as packed arrays, not
-rows.  Its list lengths give every node the shingles that it shares with any
+Documents with equal sets are one *node*.  A first inverted index over three eighths of
+all hashes leaves out nodes that have over a quarter of their shingles there alone.
+A second one is built over all shingles of the others, split by hash ranges; both travel
+as packed arrays, not rows.  Its list lengths give every node the shingles that it shares with any
 other; a node with fewer than T = ceil(3/4 of its size) such shingles cannot
 link, which leaves few nodes, and only their shared shingles, rarest first.
 Shingles that a first pass finds in a large share of the nodes go past the index
@@ -59,6 +60,10 @@ LEADS = 4
 MOST_BROADCAST = 200_000
 #: A shingle goes past the index if one of these many nodes has it, and so many nodes of a pack at least.
 COMMON_SHARE, COMMON_LEAST = 1000, 64
+#: Shingles below this hash are the sample by which nodes are left out first: more than a quarter of all.
+SAMPLE = 3 << 61
+#: Postings of a range of the index, and bits at most of the map of the nodes that stay in it.
+RANGE, MOST_BITS = 500_000, 1 << 29
 #: Names that clash are carried by closures; so many are expected only beyond 10^11 documents.
 MOST_RENAMED = 10_000
 _KINDS = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
@@ -85,9 +90,13 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def _sampled(shingles: np.ndarray) -> np.ndarray:
+    return shingles < np.uint64(SAMPLE)
+
+
 def document_nodes(docs: DataFrame, naming: Naming) -> DataFrame:
-    """(doc_id, n_shingles, node, digest, common) for every document, node and digest
-    null for an empty set; and rows that hold but common, the shingles that many of
+    """(doc_id, n_shingles, sampled, node, digest, common) for every document, node and digest
+    null for an empty set, sampled the number of its shingles below SAMPLE; and rows that hold but common, the shingles that many of
     the nodes of one pack have, as (shingle, how many) in turn."""
 
     def tally(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -95,18 +104,18 @@ def document_nodes(docs: DataFrame, naming: Naming) -> DataFrame:
         many = n >= max(COMMON_LEAST, len(held) * 10 // COMMON_SHARE)
         if many.any():
             found = np.stack((h[many].view(np.int64), n[many]), axis=1).ravel()
-            yield batch([None], [None], [None], [None], [found])
+            yield batch([None], [None], [None], [None], [None], [found])
 
-    def batch(ids, n, nodes, digests, common) -> pa.RecordBatch:
+    def batch(ids, n, sampled, nodes, digests, common) -> pa.RecordBatch:
         ids = ids if isinstance(ids, pa.Array) else pa.array(ids, pa.int64())
-        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(digests, pa.binary()), pa.array(common, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "digest", "common"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sampled, pa.int64()), pa.array(nodes, pa.int64()), pa.array(digests, pa.binary()), pa.array(common, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "sampled", "node", "digest", "common"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, seen = [], 0, set()
         for one in slices(batches):
             sets = naming.sets(one.column(1))
             digests = [_digest(s) if len(s) else None for s in sets]
-            yield batch(one.column(0), [len(s) for s in sets], [naming.name(d) if d else None for d in digests], digests, [None] * len(sets))
+            yield batch(one.column(0), [len(s) for s in sets], [int(_sampled(s).sum()) for s in sets], [naming.name(d) if d else None for d in digests], digests, [None] * len(sets))
             for s, d in zip(sets, digests, strict=True):
                 if d is None or d in seen:
                     continue
@@ -119,11 +128,11 @@ def document_nodes(docs: DataFrame, naming: Naming) -> DataFrame:
         if held:
             yield from tally(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, digest binary, common array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sampled long, node long, digest binary, common array<long>")
 
 
 def named_nodes(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, Naming]:
-    """(doc_id, n_shingles, node) in the shared folder, and the naming by which
+    """(doc_id, n_shingles, sampled, node) in the shared folder, and the naming by which
     equal nodes have equal sets.
 
     The common shingles that the naming carries are at most COMMON_SHARE times
@@ -140,7 +149,7 @@ def named_nodes(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, Naming]:
     if clash:
         naming = Naming(seed, frozenset(r["node"] for r in clash), naming.common)
         nodes = saved(document_nodes(docs, naming), "jaccard-documents")
-    return nodes.where("common is null").select("doc_id", "n_shingles", "node"), naming
+    return nodes.where("common is null").select("doc_id", "n_shingles", "sampled", "node"), naming
 
 
 def _cut(key: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -152,17 +161,19 @@ def _cut(key: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
         yield b, order[lo:hi]
 
 
-def _packed_index(docs: DataFrame, bits: int, naming: Naming) -> DataFrame:
-    """The inverted index as (bucket, nodes, sizes, owner, step): of each hash range
+def _packed_index(docs: DataFrame, bits: int, naming: Naming, stay: np.ndarray | None = None) -> DataFrame:
+    """The inverted index of the nodes that ``stay``, a map of bits by the last bits of their
+    names, or, without it, of all nodes but only shingles of the sample, as (bucket, nodes, sizes, owner, step): of each hash range
     the nodes met, their sizes, and per posting, by shingle, the node's place and the
     step from the shingle before, in as few bytes as all steps need.  Common shingles
     have rows of their own, by range of nodes, with no step but the whole shingle."""
     common = np.frombuffer(naming.common, np.uint64)
+    mask = 8 * len(stay) - 1 if stay is not None else 0
     pack = max(PACK, 16 << bits)  # so that ranges of large indexes hold some postings of each pack
 
-    def flush(held: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
-        sizes, ids = np.array([len(s) for s in held], np.int32), np.array(nodes, np.int64)
-        h, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
+    def flush(held: list[np.ndarray], nodes: list[int], whole: list[int]) -> Iterator[pa.RecordBatch]:
+        sizes, ids = np.array(whole, np.int32), np.array(nodes, np.int64)
+        h, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(s) for s in held])
         out: list[list] = [[], [], [], [], []]
 
         def add(*values) -> None:
@@ -183,22 +194,23 @@ def _packed_index(docs: DataFrame, bits: int, naming: Naming) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _KINDS, strict=True)], names=["bucket", "nodes", "sizes", "owner", "step"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, nodes, total, seen = [], [], 0, set()
+        held, nodes, whole, total, seen = [], [], [], 0, set()
         for batch in slices(batches, "text"):
             for s in naming.sets(batch.column(0)):
                 node = naming.name(_digest(s)) if len(s) else None
-                if node is None or node in seen:
+                if node is None or node in seen or (stay is not None and not stay[(node & mask) >> 3] >> (node & 7) & 1):
                     continue
                 if len(seen) < 200_000:  # spares most copies; the rest are found equal later
                     seen.add(node)
-                held.append(s)
+                whole.append(len(s))
+                held.append(s[_sampled(s)] if stay is None else s)
                 nodes.append(node)
-                total += len(s)
+                total += len(held[-1])
                 if total >= pack or len(held) >= 60_000:
-                    yield from flush(held, nodes)
-                    held, nodes, total = [], [], 0
+                    yield from flush(held, nodes, whole)
+                    held, nodes, whole, total = [], [], [], 0
         if held:
-            yield from flush(held, nodes)
+            yield from flush(held, nodes, whole)
 
     return docs.select("text").mapInArrow(run, "bucket int, nodes binary, sizes binary, owner binary, step binary")
 
@@ -213,20 +225,64 @@ def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield by.popitem()[1]
 
 
+def _postings(row: tuple, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, node, size) of the postings of a row of the index."""
+    place = np.frombuffer(row[3], "<u2")
+    step = np.zeros((len(place), 8), np.uint8)
+    step[:, : len(row[4]) // len(place)] = np.frombuffer(row[4], np.uint8).reshape(len(place), -1)
+    h = np.cumsum(step.view("<u8").ravel(), dtype=np.uint64) + np.uint64(row[0] << (64 - bits))
+    return h, np.frombuffer(row[1], np.int64)[place], np.frombuffer(row[2], np.int32)[place]
+
+
+def staying(docs: DataFrame, nodes: DataFrame, bits: int, naming: Naming) -> tuple[np.ndarray, int]:
+    """(map of bits, postings) of the nodes (node, n_shingles, sampled) that may link, by a
+    sample of the shingles: a node of which more than a quarter of its shingles are in the
+    sample and in no other node has fewer than T shared ones, whatever the others are.
+
+    The map has 16 bits a node and MOST_BITS at most; a node that stays only because
+    another one has its bit costs postings, but no link is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_range(batches):
+            parts = [np.frombuffer(r[1], np.int64) for r in rows if not len(r[3])]  # once for each common shingle
+            found = [_postings(r, bits)[:2] for r in rows if len(r[3])]
+            if found:
+                h, node = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.argsort(h, kind="stable")
+                h, node = h[order], node[order]
+                same = h[1:] == h[:-1]
+                many = np.concatenate((same, [False])) | np.concatenate(([False], same))
+                h, node = h[many], node[many]
+                order = np.lexsort((node, h))
+                h, node = h[order], node[order]
+                fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (node[1:] != node[:-1]))) if len(h) else np.empty(0, bool)
+                h, node = h[fresh], node[fresh]
+                same = h[1:] == h[:-1]
+                parts.append(node[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(h) else node)
+            each, count = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(count)], names=["node", "shared"])
+
+    index = _packed_index(docs, bits, naming).select("bucket", "nodes", "sizes", "owner", "step")
+    shared = index.repartitionById(1 << bits, F.col("bucket")).mapInArrow(run, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    known = nodes.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("sampled").alias("sampled"))
+    stay = saved(known.join(shared, "node", "left").where("4 * (sampled - coalesce(shared, 0)) <= n").select("node", "n"), "jaccard-staying", scratch := [])
+    total = stay.agg(F.count("*").alias("nodes"), F.sum("n").alias("n")).first()
+    size = min(MOST_BITS, 1 << max(15, (16 * total["nodes"]).bit_length()))
+    place = F.pmod("node", F.lit(size)) + 1
+    out = np.zeros(size // 8, np.uint8)
+    for r in stay.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toLocalIterator():
+        out[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    remove(docs.sparkSession, scratch)
+    return out, total["n"] or 0
+
+
 def _shared_postings(packed: DataFrame, bits: int) -> DataFrame:
     """The postings of lists with two nodes or more, as (range, node, size, h, df, who)
     arrays by ranges of nodes; common shingles have the largest df.  ``who`` is the same
     for lists of the same nodes: a sum over hashes of all of them."""
 
-    def postings(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        place = np.frombuffer(row[3], "<u2")
-        step = np.zeros((len(place), 8), np.uint8)
-        step[:, : len(row[4]) // len(place)] = np.frombuffer(row[4], np.uint8).reshape(len(place), -1)
-        h = np.cumsum(step.view("<u8").ravel(), dtype=np.uint64) + np.uint64(row[0] << (64 - bits))
-        return h, np.frombuffer(row[1], np.int64)[place], np.frombuffer(row[2], np.int32)[place]
-
     def listed(rows: list[tuple]) -> tuple[np.ndarray, ...]:
-        h, node, size = (np.concatenate(x) for x in zip(*map(postings, rows), strict=True))
+        h, node, size = (np.concatenate(x) for x in zip(*(_postings(r, bits) for r in rows), strict=True))
         order = np.argsort(h, kind="stable")
         h, node, size = h[order], node[order], size[order]
         same = h[1:] == h[:-1]
@@ -511,11 +567,13 @@ def _meetings(here: DataFrame, scratch: list[str]) -> DataFrame:
     return asks.join(lists, [*place, "strong"]).where(f"{smaller} and {meet}").select("block", "node").distinct()
 
 
-def node_links(docs: DataFrame, naming: Naming, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
+def node_links(docs: DataFrame, nodes: DataFrame, naming: Naming, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
     """(a, b) links that connect all nodes of each component, and (node, comp) of all nodes linked."""
     parts = docs.rdd.getNumPartitions()
     bits = max(4, int(np.ceil(np.log2(max(parts, 1)))) + 1)
-    active = saved(_linkable(_shared_postings(_packed_index(docs, bits, naming), bits), bits), "jaccard-nodes", scratch)
+    stay, postings = staying(docs, nodes, bits, naming)
+    bits = min(bits, max(4, (postings // RANGE).bit_length()))
+    active = saved(_linkable(_shared_postings(_packed_index(docs, bits, naming, stay), bits), bits), "jaccard-nodes", scratch)
     active = saved(with_marks(with_common_runs(active, naming)).drop("runs", "weights"), "jaccard-marked", scratch)
     least = F.ceil(F.col("n") * 3 / 4)
     head = F.slice("shingles", F.lit(1), (F.size("shingles") - least + 1).cast("int"))
@@ -587,7 +645,7 @@ def document_components(docs: DataFrame, tries: int = 3) -> tuple[DataFrame, Nam
     for seed in range(tries):
         nodes, naming = named_nodes(docs, seed)
         scratch: list[str] = []
-        links, comps = node_links(docs, naming, scratch)
+        links, comps = node_links(docs, nodes, naming, scratch)
         wrong = false_links(docs, links, naming, scratch).head(1)
         remove(docs.sparkSession, scratch)
         if not wrong:
