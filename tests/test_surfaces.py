@@ -152,3 +152,25 @@ def test_needed_only(spark, samples):
     whole, _ = surfaces.synthesise(roots(built), built, HALF, N, LEVELS)
     known = patches.where("known[0] and known[1]").select(*surfaces.KEY, "low")
     assert known.exceptAll(whole.select(*surfaces.KEY, "low")).count() == 0
+
+
+def test_leaves_are_filled_from_sorted_rows(spark, samples):
+    """Leaves that go on in the next batch, that lie in four and that have no sample at all; nothing is collected into lists."""
+    some = samples.where("root = 1 or px < 3").unionByName(spark.createDataFrame([(3, 1, 0, 5), (None, 0, 0, 7), (2, 4, 4, None)], "root long, px long, py long, value long"))
+    leaves = surfaces.sampled_leaves(some, HALF, N, LEVELS, -1)
+    assert "collect_list" not in leaves._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    step, width = surfaces.reach(LEVELS, HALF) // N, 2 * N + 1
+    values = {(r["root"], r["px"], r["py"]): r["value"] for r in some.collect() if r["value"] is not None}
+    for root in (1, 2, 3):
+        for x in (HALF // 2, 3 * HALF // 2):
+            for y in (HALF // 2, 3 * HALF // 2):
+                at = [(x + (b - N) * step, y + (a - N) * step) if (a + b) % 2 == 0 else None for a in range(width) for b in range(width)]
+                want[root, x, y] = [values.get((root, *p), -1) if p else -1 for p in at]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in ("7", before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            assert {(r["root"], r["x"], r["y"]): r["matrix"] for r in leaves.select("*").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

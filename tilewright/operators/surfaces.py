@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,19 +99,38 @@ def _too_large(*parts: np.ndarray) -> np.ndarray:
     return bad
 
 
-def _filled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches that have rows."""
-    return (f for f in frames if len(f))
+def _ints(column: pa.Array, missing: int = 0) -> np.ndarray:
+    return column.fill_null(missing).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _lists(a: np.ndarray) -> list[np.ndarray]:
-    return list(a.reshape(len(a), int(np.prod(a.shape[1:]))))
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of one length as rows; null lists have none."""
+    return _ints(column.flatten(), -1).reshape(-1, width)
+
+
+def _lists(a: np.ndarray) -> pa.Array:
+    width = int(np.prod(a.shape[1:]))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * width), pa.array(a.ravel()))
+
+
+def _same(value: int, rows: int) -> pa.Array:
+    return pa.array(np.full(rows, value, np.int32))
+
+
+def _offsets(dx: np.ndarray, dy: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(dx, dy, places) of each pair that occurs: four at most between diamonds and their children."""
+    for x, y in np.unique(np.stack([dx, dy], axis=1), axis=0).tolist():
+        yield x, y, np.flatnonzero((dx == x) & (dy == y))
 
 
 BUILT = "root long, level int, x long, y long, low array<long>, codes array<long>, tolerance int, status string"
 
 
-def _analysed(f: pd.DataFrame, level: int, matrix: np.ndarray, tolerance: int) -> pd.DataFrame:
+def _columns(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+def _analysed(root: pa.Array, x: pa.Array, y: pa.Array, level: int, matrix: np.ndarray, tolerance: int) -> pa.RecordBatch:
     """Records of matrices: details are quantised first, and corners gain from what the
     codes stand for, so that synthesis gives the corners back exactly."""
     p, q = _split(matrix)
@@ -119,12 +138,20 @@ def _analysed(f: pd.DataFrame, level: int, matrix: np.ndarray, tolerance: int) -
     codes = lifting.quantise(details, tolerance)
     low = p + lifting.update(lifting.dequantise(codes, tolerance))
     bad = _too_large(low, details)
-    return pd.DataFrame({"root": f["root"].to_numpy(), "level": np.int32(level), "x": f["x"].to_numpy(), "y": f["y"].to_numpy(), "low": _lists(low), "codes": _lists(codes), "tolerance": np.int32(tolerance), "status": np.where(bad, "overflow", "ok")})
+    columns = [root, _same(level, len(bad)), x, y, _lists(low), _lists(codes), _same(tolerance, len(bad)), pa.array(np.where(bad, "overflow", "ok"))]
+    return pa.RecordBatch.from_arrays(columns, names=_columns(BUILT))
+
+
+MATRIX = "root long, x long, y long, matrix array<long>"
 
 
-def sampled_leaves(samples: DataFrame, half: int, n: int, levels: int) -> DataFrame:
-    """(root, x, y, places, values): the samples (root, px, py, value) of each leaf's
-    matrix.  A sample goes to each of the one, two or four leaves that hold it."""
+def sampled_leaves(samples: DataFrame, half: int, n: int, levels: int, missing: int = 0, roots: DataFrame | None = None) -> DataFrame:
+    """(root, x, y, matrix): every leaf of the roots that have samples (root, px, py, value;
+    ``roots`` has each root once, where that costs less than to look at all samples), with those in its matrix, flat, ``missing`` where there is none.  A sample goes to each
+    of the one, two or four leaves that hold it.
+
+    Rows are sorted by leaf and put into matrices as they come: a task holds no more than
+    a batch and one leaf."""
     if levels % 2:
         raise ValueError("leaves are cells of an even level")
     s, step = reach(levels, half), reach(levels, half) // n
@@ -134,17 +161,42 @@ def sampled_leaves(samples: DataFrame, half: int, n: int, levels: int) -> DataFr
     def cells(v: str) -> Column:
         last = half // s - 1
         k = F.floor(F.col(v) / (2 * s)).cast("long")
-        both = F.array(F.when(k <= last, k), F.when((F.col(v) % (2 * s) == 0) & (k > 0), k - 1))
-        return F.explode(F.filter(both, lambda c: c.isNotNull()))
+        shared = (F.col(v) % (2 * s) == 0) & k.between(1, last)
+        return F.explode(F.when(shared, F.array(k, k - 1)).otherwise(F.array(F.least(k, F.lit(last)))))
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = np.stack([_ints(c) for c in batch.columns], axis=1)
+            rows = rows if rest is None else np.concatenate([rest, rows])
+            if len(rows):
+                last = int(np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))[-1]) + 1 if (rows[0, :3] != rows[-1, :3]).any() else 0
+                rest = rows[last:]  # the last leaf may go on
+                if last:
+                    yield matrices(rows[:last])
+        if rest is not None:
+            yield matrices(rest)
+
+    def matrices(rows: np.ndarray) -> pa.RecordBatch:
+        fresh = np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
+        leaf, m = np.cumsum(fresh) - 1, np.full((int(fresh.sum()), (2 * n + 1) ** 2), missing, np.int64)
+        held = rows[:, 3] >= 0
+        m[leaf[held], rows[held, 3]] = rows[held, 4]
+        return pa.RecordBatch.from_arrays([*(pa.array(rows[fresh, k]) for k in range(3)), _lists(m)], names=_columns(MATRIX))
 
-    rows = samples.where(F.col("px").between(0, 2 * half) & F.col("py").between(0, 2 * half) & (F.col("px") % step == 0) & (F.col("py") % step == 0))
+    keys = ["root", "x", "y"]
+    rows = samples.where(F.col("px").between(0, 2 * half) & F.col("py").between(0, 2 * half) & (F.col("px") % step == 0) & (F.col("py") % step == 0) & F.col("value").isNotNull())
+    rows = rows.where((F.col("px") / step + F.col("py") / step) % 2 == 0)  # corners and centres of any leaf
     rows = rows.withColumn("cx", cells("px")).withColumn("cy", cells("py")).select("root", "value", "px", "py", ((F.col("cx") * 2 + 1) * s).alias("x"), ((F.col("cy") * 2 + 1) * s).alias("y"))
     a, b = (((F.col(p) - F.col(c) + s) / step).cast("int") for p, c in (("py", "y"), ("px", "x")))
-    rows = rows.where((a + b) % 2 == 0)
-    return rows.groupBy("root", "x", "y").agg(F.collect_list(a * (2 * n + 1) + b).alias("places"), F.collect_list("value").alias("values"))  # (2n + 1)^2 at most
+    rows = rows.select(*keys, (a * (2 * n + 1) + b).cast("long").alias("place"), F.col("value").cast("long").alias("value"))
+    roots = samples.select("root").distinct() if roots is None else roots
+    every = diamonds.complete(roots.where("root is not null"), half, levels).where(F.col("level") == levels)
+    every = every.select(*keys, F.lit(-1).cast("long").alias("place"), F.lit(0).cast("long").alias("value"))  # a row for each leaf, also without samples
+    return rows.where("root is not null").unionByName(every).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(filled, MATRIX)
 
 
-def build(samples: DataFrame, half: int, n: int, levels: int, tolerance: int = 0, inner_tolerance: int = 0, missing: int = 0) -> DataFrame:
+def build(samples: DataFrame, half: int, n: int, levels: int, tolerance: int = 0, inner_tolerance: int = 0, missing: int = 0, roots: DataFrame | None = None) -> DataFrame:
     """Records (root, level, x, y, low, codes, tolerance, status) of every diamond of
     the roots that have samples (root, px, py, value; one for a place).
 
@@ -156,42 +208,42 @@ def build(samples: DataFrame, half: int, n: int, levels: int, tolerance: int = 0
     loops.ensure_checkpoint_dir(samples.sparkSession)
     size = (2 * n + 1) ** 2
 
-    def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in _filled(frames):
-            m = np.full((len(f), size), missing, np.int64)
-            count = f["places"].str.len().to_numpy()
-            m[np.repeat(np.arange(len(f)), count), np.concatenate(f["places"].to_numpy())] = np.concatenate(f["values"].to_numpy())
-            yield _analysed(f, levels, m.reshape(len(f), 2 * n + 1, 2 * n + 1), tolerance)
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            root, x, y, matrix = batch.columns
+            yield _analysed(root, x, y, levels, _matrix(matrix, size).reshape(-1, 2 * n + 1, 2 * n + 1), tolerance)
 
     def inner(level: int):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in _filled(frames):
-                m, known = np.zeros((len(f), size), np.int64), np.zeros((len(f), size), bool)
-                for k, (x, y, parts) in enumerate(zip(f["x"], f["y"], f["parts"], strict=True)):
-                    for part in parts:
-                        mine, at = half_of(level, half, n, int(part["x"] - x), int(part["y"] - y))
-                        m[k, at], known[k, at] = np.asarray(part["low"])[mine], True
-                shape = (len(f), 2 * n + 1, 2 * n + 1)
-                side = ((f["x"] == 0) | (f["x"] == 2 * half)).to_numpy()
-                yield _analysed(f, level, mirrored(m.reshape(shape), known.reshape(shape), ~side), inner_tolerance)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                root, x, y, part_x, part_y, low = batch.columns
+                m, known = np.zeros((batch.num_rows, size), np.int64), np.zeros((batch.num_rows, size), bool)
+                own_x, own_y, low = _ints(x), _ints(y), _matrix(low, (n + 1) ** 2)
+                owner = np.repeat(np.arange(batch.num_rows), _ints(part_x.value_lengths()))
+                for dx, dy, at in _offsets(_ints(part_x.flatten()) - own_x[owner], _ints(part_y.flatten()) - own_y[owner]):
+                    mine, theirs = half_of(level, half, n, dx, dy)
+                    place = owner[at][:, None], theirs[None, :]
+                    m[place], known[place] = low[at][:, mine], True
+                shape = (batch.num_rows, 2 * n + 1, 2 * n + 1)
+                side = (own_x == 0) | (own_x == 2 * half)
+                yield _analysed(root, x, y, level, mirrored(m.reshape(shape), known.reshape(shape), ~side), inner_tolerance)
 
         return run
 
-    cells = diamonds.complete(samples.select("root").distinct(), half, levels).where(F.col("level") == levels)
-    given = cells.join(sampled_leaves(samples, half, n, levels), ["root", "x", "y"], "left")
-    empty = F.array().cast("array<int>")
-    given = given.select("root", "x", "y", F.coalesce("places", empty).alias("places"), F.coalesce("values", empty.cast("array<long>")).alias("values"))
-    now = given.mapInPandas(leaves, BUILT).checkpoint()  # each level reads the one below
+    now = sampled_leaves(samples, half, n, levels, missing, roots).mapInArrow(leaves, BUILT).checkpoint()  # each level reads the one below
     out = now
     for level in range(levels - 1, -1, -1):
         up = diamonds.with_parents(now, half, ["root", "low"])
         parts = up.groupBy("root", F.col("parent_x").alias("px"), F.col("parent_y").alias("py")).agg(F.collect_list(F.struct("x", "y", "low")).alias("parts"))  # four at most
-        now = parts.select("root", F.col("px").alias("x"), F.col("py").alias("y"), "parts").mapInPandas(inner(level), BUILT).checkpoint()
+        flat = parts.select("root", F.col("px").alias("x"), F.col("py").alias("y"), F.col("parts.x").alias("part_x"), F.col("parts.y").alias("part_y"), F.flatten("parts.low").alias("low"))
+        now = flat.mapInArrow(inner(level), BUILT).checkpoint()
         out = out.unionByName(now)
     return out
 
 
 PATCH = "root long, level int, x long, y long, low array<long>, known array<boolean>, data_levels array<int>"
+HALVES = "root long, x long, y long, from_x long, from_y long, part array<long>, data_level int"
+LEAF = "root long, x long, y long, corners array<long>, centres array<long>, status string"
 
 
 def synthesise(roots: DataFrame, records: DataFrame, half: int, n: int, levels: int, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -210,54 +262,58 @@ def synthesise(roots: DataFrame, records: DataFrame, half: int, n: int, levels:
     loops.ensure_checkpoint_dir(records.sparkSession)
 
     def refined(level: int, whole: bool):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in _filled(frames):
-                low = np.stack(f["low"].to_numpy()).reshape(-1, n + 1, n + 1)
-                codes = np.array([np.zeros(n * n, np.int64) if c is None else c for c in f["codes"]], np.int64).reshape(-1, n, n)
-                step = 2 * f["tolerance"].fillna(0).to_numpy(np.int64)[:, None, None] + 1
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                root, x, y, low, data_levels, coded, tolerance = batch.columns
+                low = _matrix(low, (n + 1) ** 2).reshape(-1, n + 1, n + 1)
+                absent = coded.is_null().to_numpy(zero_copy_only=False)
+                codes = np.zeros((batch.num_rows, n, n), np.int64)
+                codes[~absent] = _matrix(coded, n * n).reshape(-1, n, n)
+                step = 2 * _ints(tolerance)[:, None, None] + 1
                 details = np.clip(codes * step, _LEAST, _MOST)
                 p = low - lifting.update(details)
                 q = details + lifting.predict(p)
                 bad = _too_large(p, q)
                 if whole:
-                    yield pd.DataFrame({"root": f["root"].to_numpy(), "x": f["x"].to_numpy(), "y": f["y"].to_numpy(), "corners": _lists(p), "centres": _lists(q), "status": np.where(bad, "overflow", "ok")})
+                    yield pa.RecordBatch.from_arrays([root, x, y, _lists(p), _lists(q), pa.array(np.where(bad, "overflow", "ok"))], names=_columns(LEAF))
                     continue
-                m = np.zeros((len(f), 2 * n + 1, 2 * n + 1), np.int64)
+                m = np.zeros((batch.num_rows, 2 * n + 1, 2 * n + 1), np.int64)
                 m[:, ::2, ::2], m[:, 1::2, 1::2] = p, q
-                m, good = m.reshape(len(f), (2 * n + 1) ** 2)[~bad], f[~bad]
-                if not len(good):
-                    continue
-                absent = f["codes"].isna().to_numpy()[~bad]
-                own = np.stack(good["data_levels"].to_numpy())
+                m = m.reshape(-1, (2 * n + 1) ** 2)
+                x, y, own = _ints(x), _ints(y), _matrix(data_levels, 2)
                 for dx, dy in children(level, half):
-                    x, y = good["x"].to_numpy() + dx, good["y"].to_numpy() + dy
-                    inside = (x >= 0) & (x <= 2 * half) & (y >= 0) & (y <= 2 * half)
+                    kept = ~bad & (x + dx >= 0) & (x + dx <= 2 * half) & (y + dy >= 0) & (y + dy <= 2 * half)
+                    good_x, good_y = x[kept], y[kept]
                     mine, at = half_of(level, half, n, dx, dy)
-                    part = np.zeros((len(good), (n + 1) ** 2), np.int64)
-                    part[:, mine] = m[:, at]
+                    part = np.zeros((len(good_x), (n + 1) ** 2), np.int64)
+                    part[:, mine] = m[kept][:, at]
                     # the side of the diamond on which the child stands
-                    first = _lower_side(level, good["x"].to_numpy(), good["y"].to_numpy(), np.full(len(good), dx), np.full(len(good), dy), half)
-                    data = np.where(absent, np.where(first, own[:, 0], own[:, 1]), level + 1)
-                    yield pd.DataFrame({"root": good["root"].to_numpy(), "x": x, "y": y, "from_x": good["x"].to_numpy(), "from_y": good["y"].to_numpy(), "part": _lists(part), "data_level": data})[inside]
+                    first = _lower_side(level, good_x, good_y, np.full(len(good_x), dx), np.full(len(good_x), dy), half)
+                    data = np.where(absent[kept], np.where(first, own[kept, 0], own[kept, 1]), level + 1)
+                    columns = [root.filter(pa.array(kept)), *(pa.array(v) for v in (good_x + dx, good_y + dy, good_x, good_y)), _lists(part), pa.array(data.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=_columns(HALVES))
 
         return run
 
     def assembled(level: int):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in _filled(frames):
-                low, known = np.zeros((len(f), (n + 1) ** 2), np.int64), np.zeros((len(f), (n + 1) ** 2), bool)
-                sides, data = np.zeros((len(f), 2), bool), np.full((len(f), 2), -1)
-                x, y = f["x"].to_numpy(), f["y"].to_numpy()
-                for k, parts in enumerate(f["parts"]):
-                    for part in parts:
-                        dx, dy = int(x[k] - part["from_x"]), int(y[k] - part["from_y"])
-                        mine, _ = half_of(level - 1, half, n, dx, dy)
-                        low[k, mine], known[k, mine] = np.asarray(part["part"])[mine], True
-                        side = 0 if (dy > 0 or (dy == 0 and dx > 0)) else 1  # the parent lies lower, or to the left
-                        sides[k, side], data[k, side] = True, part["data_level"]
-                rising = _rising(level, x, y, half)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                root, x, y, from_x, from_y, parts, levels_of = batch.columns
+                rows = batch.num_rows
+                low, known = np.zeros((rows, (n + 1) ** 2), np.int64), np.zeros((rows, (n + 1) ** 2), bool)
+                sides, data = np.zeros((rows, 2), bool), np.full((rows, 2), -1, np.int32)
+                own_x, own_y, parts, levels_of = _ints(x), _ints(y), _matrix(parts, (n + 1) ** 2), _ints(levels_of.flatten(), -1)
+                owner = np.repeat(np.arange(rows), _ints(from_x.value_lengths()))
+                for dx, dy, at in _offsets(own_x[owner] - _ints(from_x.flatten()), own_y[owner] - _ints(from_y.flatten())):
+                    mine, _ = half_of(level - 1, half, n, dx, dy)
+                    place = owner[at][:, None], mine[None, :]
+                    low[place], known[place] = parts[at][:, mine], True
+                    side = 0 if (dy > 0 or (dy == 0 and dx > 0)) else 1  # the parent lies lower, or to the left
+                    sides[owner[at], side], data[owner[at], side] = True, levels_of[at]
+                rising = _rising(level, own_x, own_y, half)
                 low = mirrored(low.reshape(-1, n + 1, n + 1), known.reshape(-1, n + 1, n + 1), rising)
-                yield pd.DataFrame({"root": f["root"].to_numpy(), "level": np.int32(level), "x": x, "y": y, "low": _lists(low), "known": list(sides), "data_levels": [[int(v) if v >= 0 else None for v in d] for d in data]})
+                known_levels = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * 2), pa.array(data.ravel(), mask=data.ravel() < 0))
+                yield pa.RecordBatch.from_arrays([root, _same(level, rows), x, y, _lists(low), _lists(sides), known_levels], names=_columns(PATCH))
 
         return run
 
@@ -272,10 +328,11 @@ def synthesise(roots: DataFrame, records: DataFrame, half: int, n: int, levels:
             ready = ready.join(wanted.where(F.col("level") == level).select(*keys), keys, "left_semi")
         ready = ready.select(*keys, "low", "data_levels").join(of_level, keys)
         if level == levels:
-            return out, ready.mapInPandas(refined(level, True), "root long, x long, y long, corners array<long>, centres array<long>, status string")
-        parts = ready.mapInPandas(refined(level, False), "root long, x long, y long, from_x long, from_y long, part array<long>, data_level int")
+            return out, ready.mapInArrow(refined(level, True), LEAF)
+        parts = ready.mapInArrow(refined(level, False), HALVES)
         parts = parts.groupBy(*keys).agg(F.collect_list(F.struct("from_x", "from_y", "part", "data_level")).alias("parts"))  # two at most
-        now = parts.mapInPandas(assembled(level + 1), PATCH).checkpoint()  # each level reads the one above
+        flat = parts.select(*keys, F.col("parts.from_x").alias("from_x"), F.col("parts.from_y").alias("from_y"), F.flatten("parts.part").alias("part"), F.col("parts.data_level").alias("data_level"))
+        now = flat.mapInArrow(assembled(level + 1), PATCH).checkpoint()  # each level reads the one above
         out = out.unionByName(now)
     raise AssertionError("unreachable")
 

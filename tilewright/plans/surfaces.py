@@ -21,6 +21,11 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("root", "px", "py").agg(F.max("value").alias("value"))
 
 
+def roots(spark: SparkSession, folder: str) -> DataFrame:
+    """(root): those that have samples."""
+    return table(spark, folder, "lineitem").select(F.col("l_suppkey").cast("long").alias("root")).distinct()
+
+
 def touched(spark: SparkSession, folder: str, flag: str, quantity: int) -> DataFrame:
     """(root, level, x, y) of diamonds in which certain line items lie."""
     rows = table(spark, folder, "lineitem").where((F.col("l_returnflag") == flag) & (F.col("l_quantity") == quantity) & (F.col("l_partkey") % 5 == 0))
@@ -31,7 +36,7 @@ def touched(spark: SparkSession, folder: str, flag: str, quantity: int) -> DataF
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """The records of all roots as they can be fetched: some are known to hold no details, some are lost."""
-    built = surfaces.build(samples(spark, folder), _HALF, _N, _LEVELS, _TOLERANCE)
+    built = surfaces.build(samples(spark, folder), _HALF, _N, _LEVELS, _TOLERANCE, roots=roots(spark, folder))
     lost, absent = touched(spark, folder, "R", 50), touched(spark, folder, "A", 49).withColumn("absent", F.lit(True))
     kept = built.join(lost, surfaces.KEY, "left_anti").join(absent, surfaces.KEY, "left")
     return kept.withColumn("codes", F.when(F.col("absent").isNull(), F.col("codes")))
@@ -115,7 +120,7 @@ def surface_records(spark: SparkSession, folder: str) -> DataFrame:
     def weighed(c: str):
         return F.aggregate(F.transform(c, lambda v, k: v * (k + 1)), F.lit(0).cast("long"), lambda s, v: s + v).alias(c)
 
-    return surfaces.build(samples(spark, folder), _HALF, _N, _LEVELS, _TOLERANCE).select("root", "level", "x", "y", weighed("low"), weighed("codes"), "tolerance", "status")
+    return surfaces.build(samples(spark, folder), _HALF, _N, _LEVELS, _TOLERANCE, roots=roots(spark, folder)).select("root", "level", "x", "y", weighed("low"), weighed("codes"), "tolerance", "status")
 
 
 @query("surface_leaves", "with " + _built() + f" select root, x, y, list_max(list_transform(range(1, 17), lambda k: abs(back[k] - details[k])))::bigint as error, 'ok' as status from b{_LEVELS}")
@@ -123,17 +128,16 @@ def surface_leaves(spark: SparkSession, folder: str) -> DataFrame:
     """Builds all roots, reads them down again, and compares each leaf with its samples:
     corners come back exactly, centres within the tolerance."""
     given = samples(spark, folder)
-    built = surfaces.build(given, _HALF, _N, _LEVELS, _TOLERANCE)
+    built = surfaces.build(given, _HALF, _N, _LEVELS, _TOLERANCE, roots=roots(spark, folder))
     _, leaves = surfaces.synthesise(built.where("level = 0").select("root", "low"), built, _HALF, _N, _LEVELS)
-    leaf = surfaces.sampled_leaves(given, _HALF, _N, _LEVELS).select("root", "x", "y", F.map_from_arrays("places", "values").alias("given"))
+    leaf = surfaces.sampled_leaves(given, _HALF, _N, _LEVELS, roots=roots(spark, folder)).withColumnRenamed("matrix", "given")
     width = 2 * _N + 1
 
     def errors(name: str, side: int, odd: int):
         place = lambda k: F.floor(k / side).cast("int") * 2 * width + k % side * 2 + odd * (width + 1)
-        return F.array_max(F.transform(name, lambda v, k: F.abs(v - F.coalesce(F.try_element_at("given", place(k)), F.lit(0)))))
+        return F.array_max(F.transform(name, lambda v, k: F.abs(v - F.get("given", place(k)))))
 
-    none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<long>"))
-    rows = leaves.join(leaf, ["root", "x", "y"], "left").withColumn("given", F.coalesce("given", none))
+    rows = leaves.join(leaf, ["root", "x", "y"])  # both have every leaf
     return rows.select("root", "x", "y", F.greatest(errors("corners", _N + 1, 0), errors("centres", _N, 1)).alias("error"), "status")
 
 
