@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from tilewright.llm import ngram_join
 from tilewright.llm.ngram_join import divide_skip
@@ -157,3 +158,35 @@ def test_sample_leaves_out_nodes_that_cannot_link(spark):
     assert whole <= postings + 3 * 200
     comps = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df).collect()}
     assert all(comps[300 + n] == n for n in range(20)) and comps[321] == 320 and len(set(comps.values())) == 325 - 21
+
+
+def test_counts_of_the_sample_cost_few_rows(spark):
+    """Rows that the sample's index sends on follow the ranges, not the nodes of each range."""
+    passage = [f"t{k}" for k in range(60)]
+    texts = [" ".join([*passage, *(f"o{k}x{j}" for j in range(20))]) for k in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    nodes, naming = ngram_join.named_nodes(df)
+    naming = ngram_join.Naming(naming.seed, naming.renamed)  # the passage's shingles go through the index
+    counts = ngram_join._counts(ngram_join._packed_index(df, 4, naming), 4)
+    got = {r["node"]: r["shared"] for r in counts.collect()}
+    ids = {r["node"] for r in nodes.where("node is not null").collect()}
+    sampled = int(ngram_join._sampled(naming.sets(pa.array([" ".join(passage)]))[0]).sum())
+    assert set(got) == ids and set(got.values()) == {sampled}
+    ranges = ngram_join._packed_index(df, 4, naming).select("bucket").distinct().count()
+    packed = ngram_join._range_counts(ngram_join._packed_index(df, 4, naming), 4, 4).count()
+    assert packed <= ranges * 16 < sum(got.values())
+
+
+def test_few_texts_are_shuffled_to_drop_copies(spark, monkeypatch):
+    """With more copies than may be broadcast, the others are left out by a map, and nothing else changes."""
+    monkeypatch.setattr(ngram_join, "MOST_BROADCAST", 0)
+    rng = random.Random(3)
+    alone = [" ".join(f"w{rng.randrange(1 << 30)}" for _ in range(30)) for _ in range(200)]
+    texts = list(enumerate([*alone, *(t + " end" for t in alone[:15]), *alone[:5], "", "x", None]))
+    df = table(spark, texts)
+    asked = []
+    make = ngram_join._map_of
+    monkeypatch.setattr(ngram_join, "_map_of", lambda rows, count: asked.append(count) or make(rows, count))
+    kept = sorted(r["doc_id"] for r in ngram_join.drop_near_copies(df).collect())
+    assert kept == sorted({c for _, _, c in brute(texts)})
+    assert asked[-1] == 20  # those that go, not all nodes

@@ -62,8 +62,8 @@ MOST_BROADCAST = 200_000
 COMMON_SHARE, COMMON_LEAST = 1000, 64
 #: Shingles below this hash are the sample by which nodes are left out first: more than a quarter of all.
 SAMPLE = 3 << 61
-#: Postings of a range of the index, and bits at most of the map of the nodes that stay in it.
-RANGE, MOST_BITS = 500_000, 1 << 29
+#: Postings of a range of the index, of one of the sample's index, and bits at most of a map of nodes.
+RANGE, SAMPLE_RANGE, MOST_BITS = 500_000, 1_500_000, 1 << 29
 #: Names that clash are carried by closures; so many are expected only beyond 10^11 documents.
 MOST_RENAMED = 10_000
 _KINDS = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
@@ -165,14 +165,14 @@ def _packed_index(docs: DataFrame, bits: int, naming: Naming, stay: np.ndarray |
     """The inverted index of the nodes that ``stay``, a map of bits by the last bits of their
     names, or, without it, of all nodes but only shingles of the sample, as (bucket, nodes, sizes, owner, step): of each hash range
     the nodes met, their sizes, and per posting, by shingle, the node's place and the
-    step from the shingle before, in as few bytes as all steps need.  Common shingles
-    have rows of their own, by range of nodes, with no step but the whole shingle."""
+    step from the shingle before, in as few bytes as all steps need; the sample's index has no
+    sizes.  Common shingles have rows of their own, by range of nodes, with no step but the whole shingle."""
     common = np.frombuffer(naming.common, np.uint64)
     mask = 8 * len(stay) - 1 if stay is not None else 0
     pack = max(PACK, 16 << bits)  # so that ranges of large indexes hold some postings of each pack
 
     def flush(held: list[np.ndarray], nodes: list[int], whole: list[int]) -> Iterator[pa.RecordBatch]:
-        sizes, ids = np.array(whole, np.int32), np.array(nodes, np.int64)
+        sizes, ids, none = np.array(whole, np.int32), np.array(nodes, np.int64), np.empty(0, np.int32)
         h, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(s) for s in held])
         out: list[list] = [[], [], [], [], []]
 
@@ -184,13 +184,13 @@ def _packed_index(docs: DataFrame, bits: int, naming: Naming, stay: np.ndarray |
             past = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
             for b, at in _cut(ids[owner[past]].view(np.uint64), bits):
                 who = owner[past][at]
-                add(b, ids[who], sizes[who], np.empty(0, np.uint8), h[past][at])
+                add(b, ids[who], none if stay is None else sizes[who], np.empty(0, np.uint8), h[past][at])
             h, owner = h[~past], owner[~past]
         for b, at in _cut(h, bits):
             used, place = np.unique(owner[at], return_inverse=True)
             step = np.diff(h[at], prepend=np.uint64(b << (64 - bits)))
             width = max(1, (int(step.max()).bit_length() + 7) // 8)
-            add(b, ids[used], sizes[used], place.astype("<u2"), step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+            add(b, ids[used], none if stay is None else sizes[used], place.astype("<u2"), step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _KINDS, strict=True)], names=["bucket", "nodes", "sizes", "owner", "step"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,27 +225,34 @@ def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield by.popitem()[1]
 
 
-def _postings(row: tuple, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingle, node, size) of the postings of a row of the index."""
+def _postings(row: tuple, bits: int) -> tuple[np.ndarray, ...]:
+    """(shingle, node, size) of the postings of a row of the index, without size in the sample's."""
     place = np.frombuffer(row[3], "<u2")
     step = np.zeros((len(place), 8), np.uint8)
     step[:, : len(row[4]) // len(place)] = np.frombuffer(row[4], np.uint8).reshape(len(place), -1)
     h = np.cumsum(step.view("<u8").ravel(), dtype=np.uint64) + np.uint64(row[0] << (64 - bits))
-    return h, np.frombuffer(row[1], np.int64)[place], np.frombuffer(row[2], np.int32)[place]
+    sizes = [np.frombuffer(row[2], np.int32)[place]] if len(row[2]) else []
+    return h, np.frombuffer(row[1], np.int64)[place], *sizes
 
 
-def staying(docs: DataFrame, nodes: DataFrame, bits: int, naming: Naming) -> tuple[np.ndarray, int]:
-    """(map of bits, postings) of the nodes (node, n_shingles, sampled) that may link, by a
-    sample of the shingles: a node of which more than a quarter of its shingles are in the
-    sample and in no other node has fewer than T shared ones, whatever the others are.
+def _map_of(nodes: DataFrame, count: int) -> np.ndarray:
+    """Map of bits by the last bits of (node): 16 bits for each of ``count`` nodes, MOST_BITS at most."""
+    size = min(MOST_BITS, 1 << max(15, (16 * count).bit_length()))
+    place = F.pmod("node", F.lit(size)) + 1
+    out = np.zeros(size // 8, np.uint8)
+    for r in nodes.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toLocalIterator():
+        out[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
-    The map has 16 bits a node and MOST_BITS at most; a node that stays only because
-    another one has its bit costs postings, but no link is lost."""
+
+def _range_counts(index: DataFrame, bits: int, ranges: int) -> DataFrame:
+    """(range, node, shared): of each range of shingles, how many its nodes share with another
+    one, as packed arrays by range of nodes (2^``ranges``): a node costs no row for each range of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_range(batches):
             parts = [np.frombuffer(r[1], np.int64) for r in rows if not len(r[3])]  # once for each common shingle
-            found = [_postings(r, bits)[:2] for r in rows if len(r[3])]
+            found = [_postings(r, bits) for r in rows if len(r[3])]
             if found:
                 h, node = (np.concatenate(x) for x in zip(*found, strict=True))
                 order = np.argsort(h, kind="stable")
@@ -260,18 +267,38 @@ def staying(docs: DataFrame, nodes: DataFrame, bits: int, naming: Naming) -> tup
                 same = h[1:] == h[:-1]
                 parts.append(node[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(h) else node)
             each, count = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(count)], names=["node", "shared"])
+            out = [(b, each[at].tobytes(), count[at].astype(np.int32).tobytes()) for b, at in _cut(each.view(np.uint64), ranges)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS[:3], strict=True)], names=["range", "node", "shared"])
+
+    return index.repartitionById(1 << bits, F.col("bucket")).mapInArrow(run, "range int, node binary, shared binary")
+
+
+def _counts(index: DataFrame, bits: int) -> DataFrame:
+    """(node, shared): how many of its sampled shingles a node shares with another one; nodes without any have no row."""
+    ranges = max(4, bits - 2)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_range(batches):
+            node, count = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in ((1, np.int64), (2, np.int32)))
+            each, at = np.unique(node, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.bincount(at, count).astype(np.int64))], names=["node", "shared"])
+
+    return _range_counts(index, bits, ranges).repartitionById(1 << ranges, F.col("range")).mapInArrow(add, "node long, shared long")
 
-    index = _packed_index(docs, bits, naming).select("bucket", "nodes", "sizes", "owner", "step")
-    shared = index.repartitionById(1 << bits, F.col("bucket")).mapInArrow(run, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+
+def staying(docs: DataFrame, nodes: DataFrame, bits: int, naming: Naming) -> tuple[np.ndarray, int]:
+    """(map of bits, postings) of the nodes (node, n_shingles, sampled) that may link, by a
+    sample of the shingles: a node of which more than a quarter of its shingles are in the
+    sample and in no other node has fewer than T shared ones, whatever the others are.
+
+    A node that stays only because another one has its bit in the map costs postings, but
+    no link is lost."""
+    shared = _counts(_packed_index(docs, bits, naming), bits)
     known = nodes.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("sampled").alias("sampled"))
     stay = saved(known.join(shared, "node", "left").where("4 * (sampled - coalesce(shared, 0)) <= n").select("node", "n"), "jaccard-staying", scratch := [])
     total = stay.agg(F.count("*").alias("nodes"), F.sum("n").alias("n")).first()
-    size = min(MOST_BITS, 1 << max(15, (16 * total["nodes"]).bit_length()))
-    place = F.pmod("node", F.lit(size)) + 1
-    out = np.zeros(size // 8, np.uint8)
-    for r in stay.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toLocalIterator():
-        out[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    out = _map_of(stay, total["nodes"])
     remove(docs.sparkSession, scratch)
     return out, total["n"] or 0
 
@@ -552,14 +579,15 @@ def _meetings(here: DataFrame, scratch: list[str]) -> DataFrame:
     size, and if their marks agree; of two caps one at least isn't below its node's own
     size (strong)."""
     here = here.withColumn("strong", F.col("cap") >= F.col("n")).withColumn("own", _band(F.col("n")))
+    mixed = here.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("strong").alias("any")).where("lo <> hi and any").select("h")
+    here = saved(here.join(mixed, "h", "left_semi"), "jaccard-mixed", scratch)  # few lists hold several components
     met = here.select("h", "node", "n", "cap", "comp", "size", "strong", "own", F.explode("marks").alias("m")).select("*", F.col("m.band").alias("other"), F.col("m.mark").alias("mark")).drop("m")
     # of each list the components by band, and by the marks for each band of those who ask
     lists = met.groupBy("h", F.col("own").alias("band"), F.col("other").alias("asking"), "mark", "strong", "comp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("cap").alias("most_cap"), F.max("size").alias("size"))
     lists = saved(lists, "jaccard-lists", scratch)
     place = ["h", "band", "asking", "mark"]
-    mixed = here.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("strong").alias("any")).where("lo <> hi and any").select("h")
     lists = lists.select(*place, "strong", F.col("comp").alias("block"), F.col("size").alias("block_size"), "least_n", "most_n", "most_cap")
-    asks = met.join(mixed, "h").where(F.col("other") <= _band(F.least("cap", F.floor(F.col("n") * 4 / 3))))
+    asks = met.where(F.col("other") <= _band(F.least("cap", F.floor(F.col("n") * 4 / 3))))
     others = F.when(F.col("strong"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
     asks = asks.select("h", "node", "n", "cap", "comp", "size", F.col("other").alias("band"), F.col("own").alias("asking"), "mark", F.explode(others).alias("strong"))
     smaller = "(size < block_size or size = block_size and comp < block)"
@@ -571,7 +599,8 @@ def node_links(docs: DataFrame, nodes: DataFrame, naming: Naming, scratch: list[
     """(a, b) links that connect all nodes of each component, and (node, comp) of all nodes linked."""
     parts = docs.rdd.getNumPartitions()
     bits = max(4, int(np.ceil(np.log2(max(parts, 1)))) + 1)
-    stay, postings = staying(docs, nodes, bits, naming)
+    sampled = nodes.agg(F.sum("sampled")).first()[0] or 0
+    stay, postings = staying(docs, nodes, min(bits, max(4, (sampled * 8 // 3 // SAMPLE_RANGE).bit_length())), naming)
     bits = min(bits, max(4, (postings // RANGE).bit_length()))
     active = saved(_linkable(_shared_postings(_packed_index(docs, bits, naming, stay), bits), bits), "jaccard-nodes", scratch)
     active = saved(with_marks(with_common_runs(active, naming)).drop("runs", "weights"), "jaccard-marked", scratch)
@@ -685,17 +714,35 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     marked = per.join(first, "comp").select("doc_id", "node", "count", (order == F.col("first")).alias("stays"))
     marked = saved(marked.where("not stays or count > 1"), "jaccard-others")
 
+    def names(texts: pa.Array) -> list[int | None]:
+        whole = pa.RecordBatch.from_arrays([texts], names=["text"])
+        return [naming.name(_digest(s)) if len(s) else None for one in slices([whole]) for s in naming.sets(one.column(0))]
+
     @F.arrow_udf("long")
     def name(texts: pa.Array) -> pa.Array:
-        whole = pa.RecordBatch.from_arrays([texts], names=["text"])
-        return pa.array([naming.name(_digest(s)) if len(s) else None for one in slices([whole]) for s in naming.sets(one.column(0))], pa.int64())
+        return pa.array(names(texts), pa.int64())
 
     # rows without words: a key of their own each, that no other has
     node = F.coalesce("_jaccard_name", F.xxhash64("doc_id"))
-    named = docs.withColumn("_jaccard_name", name("text")).withColumn("_jaccard_node", node).withColumn("_jaccard_empty", F.col("_jaccard_name").isNull())
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_jaccard_name", name("text")).withColumn("_jaccard_node", node).withColumn("_jaccard_empty", F.col("_jaccard_name").isNull())
+
     keys = marked.select(F.col("node").alias("_jaccard_right"), F.col("doc_id").alias("_jaccard_id"), F.lit(False).alias("_jaccard_full"), "stays")
     same = (F.col("_jaccard_node") == F.col("_jaccard_right")) & F.col("doc_id").eqNullSafe(F.col("_jaccard_id")) & (F.col("_jaccard_empty") == F.col("_jaccard_full"))
-    kept = named.join(keys, same, "left_anti").select(*docs.columns)
+    count = marked.count()
+    if count <= MOST_BROADCAST:
+        kept = named(docs).join(F.broadcast(keys), same, "left_anti").select(*docs.columns)
+    else:  # only texts whose node may be among these are shuffled
+        going = _map_of(marked.select("node").distinct(), count)
+
+        @F.arrow_udf("boolean")
+        def may_go(texts: pa.Array) -> pa.Array:
+            places = [None if n is None else n & 8 * len(going) - 1 for n in names(texts)]
+            return pa.array([p is not None and bool(going[p >> 3] >> (p & 7) & 1) for p in places])
+
+        few = named(docs.where(may_go("text"))).join(keys, same, "left_anti").select(*docs.columns)
+        kept = docs.where(~may_go("text")).union(few)
     again = keys.where("stays")
     if not again.head(1):
         return kept
