@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators import diamonds, surfaces
+from tilewright.operators import diamonds, surfaces, whole_roots
 
 HALF, N, LEVELS = 8, 4, 2
 SIDE = 2 * HALF
@@ -174,3 +174,40 @@ def test_leaves_are_filled_from_sorted_rows(spark, samples):
             assert {(r["root"], r["x"], r["y"]): r["matrix"] for r in leaves.select("*").collect()} == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_whole_roots_are_as_level_by_level(spark, monkeypatch):
+    """Roots built and answered whole, in one pass, agree with those that go level by level."""
+    half, levels = 16, 4
+    side = 2 * half
+    given = spark.range(4 * (side + 1) ** 2).select((F.col("id") % 4).alias("root"), F.floor(F.col("id") / 4 % (side + 1)).cast("long").alias("px"), F.floor(F.col("id") / 4 / (side + 1)).cast("long").alias("py"))
+    given = given.where("hash(root, px, py) % 5 <> 0").withColumn("value", F.expr("cast(hash(px, py, root) % 2000 as long)"))
+    given = given.union(spark.createDataFrame([(7, 0, 0, 1 << 40), (8, 99, 0, 5), (None, 1, 1, 5), (9, 4, 4, None)], given.schema)).checkpoint()
+
+    def answers():
+        built = surfaces.build(given, half, N, levels, 2, missing=3)
+        key = F.xxhash64("root", "level", "x", "y")
+        kept = built.where(F.pmod(key, F.lit(11)) != 3).withColumn("codes", F.when(F.pmod(key, F.lit(7)) != 2, F.col("codes")))
+        requests = spark.range(4000).select("id", F.when(F.col("id") % 97 > 0, F.col("id") % 11).alias("root"), F.expr("id * 7919 % 32001 / 1000.0D").alias("px"), F.expr("case when id % 89 > 0 then id * 104729 % 32001 / 1000.0D end").alias("py"), F.expr("100 * pow(2.0D, id % 5 - 1)").alias("wanted"))
+        edges = spark.range(81 * 4).select((F.col("id") + 5000).alias("id"), (F.col("id") % 4).alias("root"), (F.floor(F.col("id") / 4) % 9 * 4.0).alias("px"), (F.floor(F.col("id") / 36) * 4.0).alias("py"), F.lit(1.0).alias("wanted"))
+        found = surfaces.answer(requests.union(edges), kept.where("level = 0").select("root", "low"), kept, half, N, levels, 100.0)
+        return sorted(map(tuple, built.select("root", "level", "x", "y", "low", "codes", "tolerance", "status").collect())), sorted(map(tuple, found.withColumn("height", F.round("height", 6)).collect()))
+
+    whole = answers()
+    calls = []
+    monkeypatch.setattr(whole_roots, "SHARE", 100)
+    monkeypatch.setattr(whole_roots, "AT_ONCE", 80)
+    assert answers() == whole
+    monkeypatch.setattr(whole_roots, "fits", lambda *_: calls.append(1))
+    levelwise = answers()
+    assert len(calls) == 2 and levelwise[0] == whole[0] and levelwise[1] == whole[1]
+    states = {r[-1] for r in whole[1]}
+    assert states == {"ready", "limited", "unavailable"} and any(r[-1] == "overflow" for r in whole[0])
+
+
+def test_whole_roots_need_no_join(spark, samples):
+    """However many levels, a root's records and requests meet in one shuffle."""
+    built = surfaces.build(samples, HALF, N, LEVELS)
+    asked = spark.createDataFrame([(1, 1, 3.0, 4.0, 1.0)], "id long, root long, px double, py double, wanted double")
+    plan = surfaces.answer(asked, roots(built), built, HALF, N, LEVELS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan

@@ -205,7 +205,11 @@ def build(samples: DataFrame, half: int, n: int, levels: int, tolerance: int = 0
     by ``tolerance`` at leaves and by ``inner_tolerance`` above: with 0 there, leaves come
     back within ``tolerance``.  ``low`` is what a diamond gives to its parents; at level 0
     it is the root's patch.  A diamond that leaves 32 bits has the status overflow."""
+    from tilewright.operators import whole_roots
+
     loops.ensure_checkpoint_dir(samples.sparkSession)
+    if levels % 2 == 0 and reach(levels, half) % n == 0 and whole_roots.fits(half, levels):
+        return whole_roots.build(samples, half, n, levels, tolerance, inner_tolerance, missing, roots).checkpoint()
     size = (2 * n + 1) ** 2
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,8 +409,13 @@ def answer(requests: DataFrame, roots: DataFrame, records: DataFrame, half: int,
     last one.  All that this depends on, at both sides of each diamond, is fetched once
     and read down; the answer is of the finest level that could be read.  ready: its
     data are as fine as wanted; limited: coarser; unavailable: there is no root."""
+    from tilewright.operators import whole_roots
+
+    loops.ensure_checkpoint_dir(requests.sparkSession)
+    if whole_roots.fits(half, levels):
+        return whole_roots.answer(requests, roots, records, half, n, levels, unit)
     level = F.col("level")
-    every = requests.select("id", "root", "px", "py", "wanted", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    every = requests.where("px is not null and py is not null").select("id", "root", "px", "py", "wanted", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
     finer = spacing(level - 1, half, n, unit)  # a level is asked for if the one above is too coarse
     every = every.where((level == 0) | (finer > F.col("wanted")))
     x, y = diamonds.locate(level, F.col("px"), F.col("py"), half)

@@ -37,7 +37,7 @@ def touched(spark: SparkSession, folder: str, flag: str, quantity: int) -> DataF
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """The records of all roots as they can be fetched: some are known to hold no details, some are lost."""
     built = surfaces.build(samples(spark, folder), _HALF, _N, _LEVELS, _TOLERANCE, roots=roots(spark, folder))
-    lost, absent = touched(spark, folder, "R", 50), touched(spark, folder, "A", 49).withColumn("absent", F.lit(True))
+    lost, absent = touched(spark, folder, "R", 50).checkpoint(), touched(spark, folder, "A", 49).withColumn("absent", F.lit(True)).checkpoint()
     kept = built.join(lost, surfaces.KEY, "left_anti").join(absent, surfaces.KEY, "left")
     return kept.withColumn("codes", F.when(F.col("absent").isNull(), F.col("codes")))
 
